@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from lodestack.llm.pii import op1_pii_anchor_expansion
 from lodestack.llm.simhash import op7_simhash_near_dedup
 
 QUERIES = {
+    "op1_pii_anchor_expansion": op1_pii_anchor_expansion,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
