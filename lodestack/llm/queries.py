@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from lodestack.llm.pii import op1_pii_anchor_expansion
+from lodestack.llm.packing import op5_best_fit_packing
 from lodestack.llm.simhash import op7_simhash_near_dedup
+from lodestack.llm.tokens import op4_token_id_orc
 
 QUERIES = {
     "op1_pii_anchor_expansion": op1_pii_anchor_expansion,
+    "op4_token_id_orc": op4_token_id_orc,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
