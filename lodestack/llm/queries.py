@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestack.llm.pii import op1_pii_anchor_expansion
+from lodestack.llm.decontamination import op9_benchmark_decontamination
 from lodestack.llm.packing import op5_best_fit_packing
 from lodestack.llm.simhash import op7_simhash_near_dedup
 from lodestack.llm.tokens import op4_token_id_orc
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_token_id_orc": op4_token_id_orc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 #: DuckDB SQL of those that SQL can express.
