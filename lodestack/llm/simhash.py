@@ -28,7 +28,7 @@ SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
 #: Variants that one shuffle key should hold, and those from which a key is split further.
-KEY_VARIANTS, SPLIT_VARIANTS = 2_000_000, 6_000_000
+KEY_VARIANTS, SPLIT_VARIANTS = 600_000, 1_200_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -127,7 +127,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         own = pdf["fp"].to_numpy().view(np.uint64)
         value, index = variants(own, pdf["flips"].to_numpy(), low_bits, int(key[1]), int(pdf["salt_bits"].iloc[0]))
         order = np.argsort(value)
-        same = np.flatnonzero(value[order[1:]] == value[order[:-1]])
+        value = value[order]
+        same = np.flatnonzero(value[1:] == value[:-1])
+        del value
         pair = np.unique(index[order[same]] * len(own) + index[order[same + 1]])
         u, v = pair // max(len(own), 1), pair % max(len(own), 1)
         near = np.bitwise_count(own[u] ^ own[v]) <= radius
