@@ -5,12 +5,14 @@ from __future__ import annotations
 from lodestack.llm.pii import op1_pii_anchor_expansion
 from lodestack.llm.decontamination import op9_benchmark_decontamination
 from lodestack.llm.langid import language_id_pages, op3_language_id
+from lodestack.llm.lm import op2_subword_lattice_lm
 from lodestack.llm.packing import op5_best_fit_packing
 from lodestack.llm.simhash import op7_simhash_near_dedup
 from lodestack.llm.tokens import op4_token_id_orc
 
 QUERIES = {
     "op1_pii_anchor_expansion": op1_pii_anchor_expansion,
+    "op2_subword_lattice_lm": op2_subword_lattice_lm,
     "op3_language_id": op3_language_id,
     "language_id_pages": language_id_pages,
     "op4_token_id_orc": op4_token_id_orc,
