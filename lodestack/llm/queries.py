@@ -7,6 +7,7 @@ from lodestack.llm.decontamination import op9_benchmark_decontamination
 from lodestack.llm.langid import language_id_pages, op3_language_id
 from lodestack.llm.lm import op2_subword_lattice_lm
 from lodestack.llm.packing import op5_best_fit_packing
+from lodestack.llm.secrets import op10_secret_markov
 from lodestack.llm.simhash import op7_simhash_near_dedup
 from lodestack.llm.tokens import op4_token_id_orc
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_secret_markov": op10_secret_markov,
 }
 
 #: DuckDB SQL of those that SQL can express.
