@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestack.llm.pii import op1_pii_anchor_expansion
+from lodestack.llm.chat import op6_chat_role_repair
 from lodestack.llm.decontamination import op9_benchmark_decontamination
 from lodestack.llm.langid import language_id_pages, op3_language_id
 from lodestack.llm.lm import op2_subword_lattice_lm
@@ -18,6 +19,7 @@ QUERIES = {
     "language_id_pages": language_id_pages,
     "op4_token_id_orc": op4_token_id_orc,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_chat_role_repair": op6_chat_role_repair,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_markov": op10_secret_markov,
