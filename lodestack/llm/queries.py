@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestack.llm.pii import op1_pii_anchor_expansion
+from lodestack.llm.bm25 import op8_bm25_block_max
 from lodestack.llm.chat import op6_chat_role_repair
 from lodestack.llm.decontamination import op9_benchmark_decontamination
 from lodestack.llm.langid import language_id_pages, op3_language_id
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_chat_role_repair": op6_chat_role_repair,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_bm25_block_max": op8_bm25_block_max,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_markov": op10_secret_markov,
 }
