@@ -110,10 +110,13 @@ def map_messages(messages: DataFrame, boards: DataFrame) -> DataFrame:
 
 def container_projects(issues: DataFrame, messages: DataFrame, boards: DataFrame, projects: DataFrame, pages: DataFrame, wikis: DataFrame, documents: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """One table of what an attachment can hang on: container_type, container_id, project_id, is_private, status_id."""
-    of = lambda df, kind, project="project_id", **more: df.select(F.lit(kind).alias("container_type"), F.col("id").alias("container_id"), F.col(project).alias("project_id"), *[F.col(v).alias(k) for k, v in more.items()])
+    def of(df: DataFrame, kind: str, project: str = "project_id", **more: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("container_type"), F.col("id").alias("container_id"), F.col(project).alias("project_id"), *[F.col(v).alias(k) for k, v in more.items()])
+
+    m, p = messages.select("id", "board_id"), pages.select("id", "wiki_id")
     b = boards.select(F.col("id").alias("board_id"), "project_id")
     w = wikis.select(F.col("id").alias("wiki_id"), "project_id")
-    parts = [of(issues, "Issue", is_private="is_private", status_id="status_id"), of(messages.join(b, "board_id"), "Message"), of(projects, "Project", "id"), of(pages.join(w, "wiki_id"), "WikiPage"), of(documents, "Document")]
+    parts = [of(issues, "Issue", is_private="is_private", status_id="status_id"), of(m.join(b, "board_id"), "Message"), of(projects, "Project", "id"), of(p.join(w, "wiki_id"), "WikiPage"), of(documents, "Document")]
     return union(*parts, *([others] if others is not None else []))
 
 

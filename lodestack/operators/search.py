@@ -115,16 +115,25 @@ def expand_preview(queries: DataFrame, expansions: DataFrame) -> DataFrame:
 
 
 def with_tokens(corpus: DataFrame, normalized: bool = True) -> DataFrame:
-    """corpus with the tokens of its title and content; normalized false runs the full normalisation first."""
+    """corpus with the tokens of its title and content; normalized false runs the full normalisation first.
+
+    The tokens pass through an explode of one element: filters on them can't be pushed below it, so a row is tokenised once
+    and not again inside every condition.
+    """
     lowered = (lambda c: F.lower(c)) if normalized else (lambda c: F.col(c))
     empty = F.array().cast("array<string>")
-    return corpus.withColumns({f"_{c}_tokens": F.coalesce(tokenize(lowered(c), normalized), empty) for c in ("title", "content")})
+    found = F.struct(*[F.coalesce(tokenize(lowered(c), normalized), empty).alias(c) for c in ("title", "content")])
+    return corpus.select("*", F.explode(F.array(found)).alias("_t")).select(*corpus.columns, F.col("_t.title").alias("_title_tokens"), F.col("_t.content").alias("_content_tokens"))
 
 
 def same_word(form: str, prefix: bool) -> Callable[[Column], Column]:
     return lambda t: t.startswith(form) if prefix else t == form
 
 
+def follows(form: str) -> Callable[[Column, Column], Column]:
+    return lambda before, t: before & (t == form)
+
+
 def occurrences(tokens: Column, x: Word) -> Column:
     """How often any form of a word occurs in an array of tokens."""
     total = F.lit(0)
@@ -134,10 +143,10 @@ def occurrences(tokens: Column, x: Word) -> Column:
         if len(form) == 1:
             total = total + F.size(F.filter(tokens, same_word(form[0], x.prefix)))
         else:
-            n = len(form)
-            whole = F.array(*map(F.lit, form))
-            places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.slice(tokens, i, n) == whole)
-            total = total + F.size(places)
+            flags = F.transform(tokens, same_word(form[0], False))
+            for k, own in enumerate(form[1:], 1):
+                flags = F.zip_with(flags, F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0))), follows(own))
+            total = total + F.size(F.filter(flags, lambda f: F.coalesce(f, F.lit(False))))
     return total
 
 

@@ -35,7 +35,7 @@ def tag_strings(tags: str = "tags") -> Column:
 
 
 def count(tokens: str, w: str) -> str:
-    return f"len(list_filter({tokens}, x -> x = '{w}'))"
+    return f"len(list_filter({tokens}, lambda x: x = '{w}'))"
 
 
 def scored(*words: str) -> str:
@@ -72,7 +72,7 @@ def fts_not(spark: SparkSession, sf: str) -> DataFrame:
     return hits(spark, sf, Request(All((word("the"), Not(word("from"))))))
 
 
-PHRASE = "len(list_filter(range(1, len({0})), i -> {0}[i] = 'of' AND {0}[i + 1] = 'the'))"
+PHRASE = "len(list_filter(range(1, len({0})), lambda i: {0}[i] = 'of' AND {0}[i + 1] = 'the'))"
 
 
 @query(found(f"{PHRASE.format('tt')} + {PHRASE.format('ct')} > 0", f"{PHRASE.format('tt')} * 100 + least({PHRASE.format('ct')}, 5)"))
@@ -80,7 +80,7 @@ def fts_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return hits(spark, sf, Request(search.parse("of-the")))
 
 
-@query(found("len(list_filter(tt || ct, x -> starts_with(x, 'theh'))) > 0", "len(list_filter(tt, x -> starts_with(x, 'theh'))) * 100 + least(len(list_filter(ct, x -> starts_with(x, 'theh'))), 5)"))
+@query(found("len(list_filter(tt || ct, lambda x: starts_with(x, 'theh'))) > 0", "len(list_filter(tt, lambda x: starts_with(x, 'theh'))) * 100 + least(len(list_filter(ct, lambda x: starts_with(x, 'theh'))), 5)"))
 def fts_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return hits(spark, sf, Request(word("theh", prefix=True)))
 
@@ -90,7 +90,7 @@ def fts_titles_only(spark: SparkSession, sf: str) -> DataFrame:
     return hits(spark, sf, Request("the of", titles_only=True))
 
 
-EITHER = "len(list_filter({}, x -> x IN ('from', 'para')))"
+EITHER = "len(list_filter({}, lambda x: x IN ('from', 'para')))"
 
 
 @query(found(f"{EITHER.format('tt')} + {EITHER.format('ct')} > 0", f"{EITHER.format('tt')} * 100 + least({EITHER.format('ct')}, 5)"))
@@ -318,7 +318,7 @@ def map_messages(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {ISSUES}, {PROJECTS}, a AS (SELECT doc_id AS id, ['Issue', 'Project', 'Nothing'][doc_id % 3 + 1] AS kind, CASE WHEN doc_id % 3 = 1 THEN doc_id % 40 ELSE doc_id END AS on_id, source || '.' || upper(lang) AS filename, doc_id FROM documents)
 SELECT a.id AS source_id, coalesce(i.project_id, p.id) AS project_id, kind AS container_type, on_id AS container_id, i.is_private, filename AS title,
-list_filter([CASE WHEN status_id IS NOT NULL THEN 'issue-status:' || status_id END, 'extension:' || lower(split_part(filename, '.', 2)), 'text-extraction:yet'], x -> x IS NOT NULL) AS tags
+list_filter([CASE WHEN status_id IS NOT NULL THEN 'issue-status:' || status_id END, 'extension:' || lower(split_part(filename, '.', 2)), 'text-extraction:yet'], lambda x: x IS NOT NULL) AS tags
 FROM a LEFT JOIN issues i ON kind = 'Issue' AND i.id = on_id LEFT JOIN projects p ON kind = 'Project' AND p.id = on_id WHERE i.id IS NOT NULL OR p.id IS NOT NULL"""
 )
 def map_attachments(spark: SparkSession, sf: str) -> DataFrame:
@@ -702,7 +702,7 @@ def truncate_words(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select("doc_id", x.truncate_words("text").alias("short"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE list_reduce(list_transform(range(0, 1001), i -> CASE WHEN strlen(left(text, i)) <= 1000 THEN left(text, i) ELSE '' END), (a, b) -> CASE WHEN length(b) > length(a) THEN b ELSE a END) END AS cut FROM documents")
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE list_reduce(list_transform(range(0, 1001), lambda i: CASE WHEN strlen(left(text, i)) <= 1000 THEN left(text, i) ELSE '' END), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) END AS cut FROM documents")
 def truncate_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select("doc_id", x.truncate_bytes("text", 1000).alias("cut"))
 
