@@ -170,10 +170,23 @@ def holds(tree: object, found: dict[Word, tuple[Column, Column]], titles_only: b
 
 
 def identifier_match(tree: object) -> Column:
-    """Whether a tag of type identifier equals any word of the query."""
-    words = sorted({" ".join(f) for x in positive_leaves(tree) for f in x.forms})
-    named = F.filter(F.coalesce("tags", F.array().cast("array<struct<type:string,name:string>>")), lambda t: (t["type"] == "identifier") & F.lower(t["name"]).isin(words))
-    return F.size(named) > 0 if words else F.lit(False)
+    """Whether the name of a tag of type identifier meets the query by itself."""
+    if not positive_leaves(tree):
+        return F.lit(False)
+
+    def meets(t: object, name: Column) -> Column:
+        if isinstance(t, Word):
+            ends = "" if t.prefix else " "
+            return reduce(lambda a, b: a | b, [name.contains(f" {' '.join(f)}{ends}") for f in t.forms])
+        if isinstance(t, Where):
+            return F.lit(True)
+        if isinstance(t, Not):
+            return ~meets(t.part, name)
+        return reduce((lambda a, b: a & b) if isinstance(t, All) else (lambda a, b: a | b), [meets(p, name) for p in t.parts])
+
+    named = F.filter(F.coalesce("tags", F.array().cast("array<struct<type:string,name:string>>")), lambda t: t["type"] == "identifier")
+    names = F.transform(named, lambda t: F.concat(F.lit(" "), F.array_join(tokenize(F.lower(t["name"])), " "), F.lit(" ")))
+    return F.exists(names, lambda n: meets(tree, n))
 
 
 def match(corpus: DataFrame, tree: object, titles_only: bool = False, normalized: bool = True) -> DataFrame:
