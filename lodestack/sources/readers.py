@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import parse_elapsed, parse_size
 
 PAIR = "source string, destination string"
+#: What lines of the log start with (written by sinks.write_search_log, too).
+JOB_MARK = r"^\[ActiveJob\] \[[^\]]*\] \[[^\]]*\] "
+LINE_MARK = r"^\[full-text-search\]\[([a-z-]+)\] "
 
 
 def read_expansions(spark: SparkSession, path: str) -> DataFrame:
@@ -47,16 +50,16 @@ def read_action_log(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_action_log(lines: DataFrame) -> DataFrame:
     """The same for a DataFrame of lines (file, position, value)."""
-    text = F.regexp_replace(F.call_function("make_valid_utf8", F.col("value")), r"^\[ActiveJob\] \[[^\]]*\] \[[^\]]*\] ", "")
+    text = F.regexp_replace(F.call_function("make_valid_utf8", F.col("value")), JOB_MARK, "")
     df = lines.withColumn("value", text)
-    mark = F.regexp_extract("value", r"^\[full-text-search\]\[([a-z-]+)\] ", 1)
+    mark = F.regexp_extract("value", LINE_MARK, 1)
     kind = (
         F.when(mark != "", mark)
         .when(F.col("value").startswith("Started "), "request")
         .when(F.col("value").rlike(r"^\s*Parameters: "), "parameters")
         .when(F.col("value").rlike(r"^\s*Current user: "), "user")
     )
-    body = F.regexp_replace("value", r"^\[full-text-search\]\[[a-z-]+\] ", "")
+    body = F.regexp_replace("value", LINE_MARK, "")
     field = lambda name: F.nullif(F.regexp_extract(body, rf"(?:^|: ){name}: <([^>]*)>", 1), F.lit(""))
     is_record = kind.isin("text-extract", "repository-entry")
     parameter = lambda name: F.nullif(F.regexp_extract("value", rf'"{name}"\s*=>\s*"?([^",}}]*)', 1), F.lit(""))
