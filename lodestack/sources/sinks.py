@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lodestack.operators.corpus import CORPUS, event_title, event_type, event_url
 from lodestack.operators.search import highlight
+from lodestack.sources.folders import shared_dir
 
 
 def current(spark: SparkSession, folder: str) -> str | None:
@@ -51,7 +52,9 @@ def sentence_buckets(records: DataFrame, max_bytes: int) -> DataFrame:
     """
     body = F.concat(F.array_join("sentences", "\n"), F.lit("\n"))
     sized = records.where("size(sentences) > 0").select("id", body.alias("text"), (F.octet_length(body) + 1).cast("long").alias("bytes"))
-    dealt = sized.repartitionByRange("id").withColumn("_part", F.spark_partition_id()).persist()
+    path = f"{shared_dir(records.sparkSession)}/{uuid.uuid4().hex}"
+    sized.repartitionByRange("id").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = records.sparkSession.read.parquet(path)
     before = dealt.groupBy("_part").agg(F.sum("bytes").alias("_sum"))
     before = before.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
     running = F.sum("bytes").over(Window.partitionBy("_part").orderBy("id"))

@@ -1,6 +1,5 @@
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from lodestack.operators import search as s
 from lodestack.operators import synonyms, visibility
