@@ -128,10 +128,15 @@ def nfkc_lower(x: Column | str) -> Column:
 
 
 def tokenize(x: Column | str, normalized: bool = True) -> Column:
-    """Index terms: runs of letters, runs of digits, and pairs of neighbours in runs of CJK characters."""
-    runs = F.regexp_extract_all(col(x) if normalized else nfkc_lower(x), F.lit(TOKEN), F.lit(0))
+    """Index terms: runs of letters, runs of digits, and pairs of neighbours in runs of CJK characters.
+
+    Rows without CJK characters take a plainer pattern and no step for each token.
+    """
+    x = col(x) if normalized else nfkc_lower(x)
+    runs = F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r))))
+    paired = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r))))
+    return F.when(x.rlike(f"[{CJK}]"), paired).otherwise(F.regexp_extract_all(x, F.lit(r"\p{L}+|\p{N}+"), F.lit(0)))
 
 
 def escape_html(x: Column | str) -> Column:

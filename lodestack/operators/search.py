@@ -189,16 +189,28 @@ def identifier_match(tree: object) -> Column:
     return F.exists(names, lambda n: meets(tree, n))
 
 
+def may_hold(tree: object, text: Column) -> Column:
+    """What a lower-cased text must contain to meet a condition: a cheap test before it is tokenised."""
+    if isinstance(tree, Word):
+        return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [text.contains(w) for w in f]) for f in tree.forms if f], F.lit(False))
+    if isinstance(tree, Not | Where):
+        return F.lit(True)
+    return reduce((lambda a, b: a & b) if isinstance(tree, All) else (lambda a, b: a | b), [may_hold(p, text) for p in tree.parts])
+
+
 def match(corpus: DataFrame, tree: object, titles_only: bool = False, normalized: bool = True) -> DataFrame:
     """Rows of corpus that meet the condition, with their score before the constant.
 
     A word scores 100 for every time it is in the title and 1 for every time in the content, up to 5; with titles_only 1 for every
     time in the title. A matching identifier tag adds 1, and matches by itself. The corpus is read once, without a shuffle.
     """
+    by_tag = identifier_match(tree)
+    if normalized:
+        text = F.lower(F.concat_ws("\n", "title", *([] if titles_only else ["content"])))
+        corpus = corpus.where(may_hold(tree, text) | by_tag)
     tokened, found = counts(with_tokens(corpus, normalized), tree)
     parts = [found[x] for x in dict.fromkeys(positive_leaves(tree))]
     of = [t if titles_only else t * TITLE_WEIGHT + F.least(c, F.lit(CONTENT_CAP)) for t, c in parts]
-    by_tag = identifier_match(tree)
     score = reduce(lambda a, b: a + b, of, F.lit(0)) + by_tag.cast("int")
     return tokened.where(holds(tree, found, titles_only) | by_tag).withColumn("score", score.cast("long")).select(*corpus.columns, "score")
 
