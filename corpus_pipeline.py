@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.common import table, written
+from lodestack.llm.copies import near_copies
 from lodestack.llm.decontamination import decontaminate
 from lodestack.llm.langid import keep_identified
 from lodestack.llm.packing import pack
@@ -23,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return one_of_each(docs)
+    return one_of_each(docs, near_copies)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ lie within 2h of each other, so linking them in a chain loses nothing and no gro
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import ceil, log2
 
@@ -170,12 +170,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, components: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """docs without near-duplicates: of each component the row of its smallest doc_id.
 
     Rows that share a doc_id count as one document: the first of them by the columns in order stays.
     """
-    ids = written(near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.expr("doc_id <=> component_id")).alias("stays")))
+    ids = written(components(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.expr("doc_id <=> component_id")).alias("stays")))
     once = without(docs, ids.where("not stays or rows > 1").select("doc_id"))
     repeated = ids.where("stays and rows > 1").select("doc_id")
     if repeated.isEmpty():
