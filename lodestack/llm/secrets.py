@@ -6,9 +6,9 @@ Base kinds are the leftmost non-overlapping matches of a pattern that pass a che
   hex     lower-case hexadecimal digits, 24 characters or more
 
 The kind the method adds:
-  markov  a run of letters, digits, + / _ = and - of 20 to 200 characters with a letter and a digit in it, outside all
+  markov  a run of letters, digits, + / _ = and - of 20 characters or more with a letter or a digit in it, outside all
           base spans, that the Markov model of random strings explains better than that of ordinary identifiers by
-          a set log-likelihood ratio
+          a set log-likelihood ratio, summed over the whole run
 
 Both models are first-order over 65 characters, trained from labelled samples: random strings are the hex and access
 spans and the values of assign spans of all documents, identifiers are the other long words of a sample of documents.
@@ -29,7 +29,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Any other character, and the start of a string, are the place 0.
 PLACES = len(ALPHABET) + 1
@@ -98,11 +98,12 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ordinary = words.where(f"not s rlike '{HEX}|{ACCESS}' and not (s rlike '[0-9]' and length(s) >= 16)")
     ratio = ratios(random, ordinary)
     array = "array(" + ", ".join(f"{x!r}D" for x in ratio) + ")"
-    place = lambda s, i: f"instr('{ALPHABET}', substring({s}, {i}, 1))"
-    gain = f"aggregate(sequence(1, length(s.found)), 0D, (sum, i) -> sum + element_at({array}, {PLACES} * if(i = 1, 0, {place('s.found', 'i - 1')}) + {place('s.found', 'i')} + 1))"
+    place = f"instr('{ALPHABET}', c)"
+    gain = f"""aggregate(regexp_extract_all(s.found, '.', 0), cast(struct(0 as at, 0D as sum) as struct<at: int, sum: double>),
+        (acc, c) -> struct({place} as at, acc.sum + element_at({array}, {PLACES} * acc.at + {place} + 1) as sum), acc -> acc.sum)"""
     outside = "not exists(base, b -> b.start < s.end and s.start < b.end)"
     found = f"case when text rlike '{CANDIDATE}' then {spans('text', CANDIDATE, 'markov')} else {NONE} end"
-    likely = based.withColumn("candidates", F.expr(f"filter({found}, s -> s.found rlike '[0-9]' and s.found rlike '[A-Za-z]')"))
+    likely = based.withColumn("candidates", F.expr(f"filter({found}, s -> s.found rlike '[0-9A-Za-z]')"))
     return likely.select("key", "base", F.expr(f"filter(candidates, s -> {outside} and {gain} >= {LEAST_RATIO}D)").alias("added")).withColumnRenamed("key", key)
 
 

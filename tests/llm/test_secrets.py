@@ -57,3 +57,14 @@ def test_edges(spark):
     got = sorted(((r.doc_id, [(s.kind, s.start, s.end) for s in r.base]) for r in secrets.find_secrets(docs).collect()), key=str)
     assert got == sorted([(1, []), (2, []), (3, [("assign", 0, 12)]), (3, [("assign", 0, 12)]), (None, [("access", 0, 20)]), (4, [("assign", 1_000_000, 1_000_012)])], key=str)
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_long_runs_and_runs_of_one_sort_reach_the_models(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    runs = ["".join(rng.choices(a, k=k)) for a, k in ((letters + "0123456789", 201), (letters + "0123456789", 50_000), (letters, 60), ("0123456789", 60))]
+    tested = spark.createDataFrame([(-1 - i, f"see {s} here") for i, s in enumerate([*runs, "-" * 300])], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.find_secrets(docs.union(tested)).where("doc_id < 0").collect()}
+    assert [got[-1 - i] for i in range(2)] == [[(4, 4 + len(s))] for s in runs[:2]]
+    assert got[-3] == [(4, 64)] and got[-5] == []
