@@ -24,8 +24,10 @@ from lodestack.llm.common import table, text_batches, without, written
 UNDETERMINED = "und"
 #: Labelled rows that the text model is fitted on: those with the smallest hashes of their keys.
 TRAIN_ROWS = 4000
-#: A label needs this share of the training rows to become a language of the model.
-LEAST_SHARE = 0.004
+#: Where that gives a label fewer than this share of TRAIN_ROWS (200 rows), its own rows are added up to about so many.
+LABEL_SHARE = 1 / 20
+#: A label becomes a language with so many labelled rows in the whole table; in small tables this share of them is enough.
+LEAST_ROWS, LEAST_SHARE = 16, 0.004
 CELLS, SMOOTHING = 1 << 16, 0.5
 #: Neighbouring trigrams share letters: their likelihood counts by this power.
 TEMPER = 1 / 3
@@ -74,7 +76,15 @@ def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
     last = rows.select(mark.alias("mark")).orderBy("mark").limit(train_rows).agg(F.max("mark")).first()[0]
     if last is None:
         return TextModel([], np.full((1, CELLS), -np.log(CELLS), np.float32))
-    sample = rows.where(mark <= last)
+    total = rows.count()
+    labels = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(mark).alias("low")).where(F.col("n") >= min(LEAST_ROWS, LEAST_SHARE * total))
+    # Hashes are spread evenly over 64 bits, so a share of their range holds that share of a label's rows.
+    limits = {r["label"]: max(last, r["low"], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, LABEL_SHARE * train_rows / r["n"])))) for r in labels.collect()}  # a row a language
+    languages = sorted(limits)
+    if not languages:
+        return TextModel([], np.full((1, CELLS), -np.log(CELLS), np.float32))
+    bounds = F.broadcast(rows.sparkSession.createDataFrame(sorted(limits.items()), "label string, most long"))
+    sample = rows.join(bounds, "label").where(mark <= F.col("most"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -87,10 +97,7 @@ def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["label", "cell", "n"])
 
-    total = sample.count()
-    shares = sample.groupBy("label").count().where(F.col("count") >= LEAST_SHARE * total).collect()  # 1 / LEAST_SHARE rows at most
-    languages = sorted(r["label"] for r in shares)
-    counted = sample.where(F.col("label").isin(languages)).select("label", "text").mapInArrow(count, "label string, cell int, n long")
+    counted = sample.select("label", "text").mapInArrow(count, "label string, cell int, n long")
     table = np.full((len(languages) + 1, CELLS), SMOOTHING)
     for r in counted.groupBy("label", "cell").agg(F.sum("n").alias("n")).toLocalIterator():  # CELLS rows a language at most
         table[languages.index(r["label"]), r["cell"]] += r["n"]
@@ -113,7 +120,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     names, k = model.names, len(model.names)
     key_type = rows.schema["key"].dataType.simpleString()
     context = rows.sparkSession.sparkContext
-    shared = context.broadcast(model)  # CELLS numbers for each of 1 / LEAST_SHARE languages at most
+    shared = context.broadcast(model)  # CELLS numbers for each language
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 2 << 20):

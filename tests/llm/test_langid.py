@@ -49,3 +49,14 @@ def test_edges(spark):
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 4, 5]
     assert langid.keep_identified(docs.limit(0)).count() == 0
+
+
+def test_rare_labels_become_languages(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.substring("text", 1, 300).alias("text"), "lang", "source")
+    many = docs.crossJoin(spark.range(12)).select((F.col("doc_id") * 12 + F.col("id")).alias("doc_id"), "text", "lang", "source")
+    words = ["".join(chr(rng.randrange(0x3B1, 0x3C9)) for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    greek = spark.createDataFrame([(-1 - i, " ".join(rng.choices(words, k=60)), "el", "src0") for i in range(30)], many.schema)
+    docs = many.union(greek)
+    assert langid.train(langid.labelled(docs)).languages == ["de", "el", "en", "es", "fr"]
+    assert langid.keep_identified(docs).where("doc_id < 0").count() == 30
