@@ -1,6 +1,6 @@
 """Benchmark decontamination: windows of a document that repeat a benchmark item.
 
-A window has as many words as the item. Windows and items get a SimHash of their five-word shingles. An index on the
+A window has as many words as the item, or is the whole document where that is shorter. Windows and items get a SimHash of their five-word shingles. An index on the
 bytes of the items' fingerprints (at distance r or less, at least one of the 8 bytes differs in r/8 bits or less) gives
 every item within the radius of a window; the exact weighted similarity of the two sets of shingles then decides.
 Windows that hold no shingle of any item have similarity 0 and are passed over without a fingerprint.
@@ -132,15 +132,16 @@ class ItemIndex:
                     if min(self.shingle_words, size) == width:
                         marks[size].append(p)
             for size, places in marks.items():
-                count, last = size - width + 1, len(words) - size
+                size_here = min(size, len(words))
+                count, last = size_here - width + 1, len(words) - size_here
                 for start, end in runs([(max(0, p - count + 1), min(p, last)) for p in places]):
                     starts = np.arange(end - start + 1)
                     sized = self.sizes[size]
                     w, i = self.candidates(fingerprints(hashes[start : end + count], starts, count), sized)
                     for a, k in zip(w.tolist(), i.tolist(), strict=True):
                         s = self.similarity(Counter(hashes[start + a : start + a + count].tolist()), sized.sets[k])
-                        if s >= least and (-s, start + a, size) < best.get(sized.ids[k], (0.0, 0, 0)):
-                            best[sized.ids[k]] = (-s, start + a, size)
+                        if s >= least and (-s, start + a, size_here) < best.get(sized.ids[k], (0.0, 0, 0)):
+                            best[sized.ids[k]] = (-s, start + a, size_here)
         return [(item, start, size, -s) for item, (s, start, size) in sorted(best.items())]
 
 

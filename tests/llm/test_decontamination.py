@@ -72,3 +72,12 @@ def test_edges(spark):
     kept = d.decontaminate(docs, items)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4] and kept.columns == docs.columns
     assert d.contaminated(docs.limit(0), items).count() == 0 and d.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_documents_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(50)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(1, " ".join(words[:-1])), (2, " ".join(words[2:])), (3, " ".join(words[:25])), (4, "w0 w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.n_words, round(r.similarity, 6)) for r in d.contaminated(docs, items).collect())
+    assert got == [(1, 0, 49, round(45 / 46, 6)), (2, 0, 48, round(44 / 46, 6))]
