@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestack.llm.common import OUT_ROWS, named, table, text_batches, written
+from lodestack.llm.common import named, table, text_batches, written
 from lodestack.llm.tokens import END_ID, TOKENIZER, encoder
 
 CAPACITY = 4096
@@ -91,27 +91,31 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, end = TaskContext.get().partitionId(), Counter(), np.array([END_ID], "<u4").tobytes()
-        for batch in text_batches(batches, 4 << 20):
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), part, seen[len(own)], own))
-                    seen[len(own)] += 1
-            for i in range(0, len(rows), OUT_ROWS):
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows[i : i + OUT_ROWS], strict=True), TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in text_batches(batches):
+            ids, starts = encoder(tokenizer).encode(batch.column(1), END_ID)
+            size = np.diff(starts)
+            pieces = -(-size // capacity)
+            doc = np.repeat(np.arange(len(size)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(size[doc] - piece * capacity, capacity)
+            order = np.argsort(length, kind="stable")
+            rank = np.empty(len(doc), np.int64)
+            rank[order] = np.arange(len(doc)) - np.searchsorted(length[order], length[order])
+            rank += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
+            data, at = memoryview(ids.tobytes()), (4 * (starts[doc] + piece * capacity)).tolist()
+            own = [data[i : i + n] for i, n in zip(at, (4 * length).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(doc)), piece.astype(np.int32), piece * capacity, length, np.array(list(map(zlib.crc32, own)), np.int64), np.full(len(doc), part, np.int32), rank]
+            if keep_ids:
+                columns.append(pa.array(list(map(bytes, own)), pa.binary()))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"] + ["ids"] * keep_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * keep_ids
     return named(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
-TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-
-
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
     """Every piece of docs with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 

@@ -8,69 +8,112 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestack.llm.common import named, shared_dir, table, text_batches
+from lodestack.llm.common import named, shared_dir, small, table, text_batches
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words that a worker remembers, and the longest of them in bytes.
-KNOWN_WORDS, KNOWN_BYTES = 600_000, 64
+#: Units of one generation that a worker remembers, the longest of them in bytes, and how many are learnt at a time.
+KNOWN_UNITS, KNOWN_BYTES, LEARNT = 400_000, 64, 20_000
 #: Latin letters and ASCII punctuation (without the apostrophe, which starts contractions).
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
-PLAIN = re.compile(f"([{LETTERS}]*)([{MARKS}]*)")
+PLAIN = f"^[{LETTERS}]*[{MARKS}]*$"
+LETTER_CHARS = "".join(c for c in map(chr, range(33, 256)) if re.fullmatch(f"[{LETTERS}]", c))
+MARK_CHARS = "".join(c for c in map(chr, range(33, 127)) if re.fullmatch(f"[{MARKS}]", c))
+
+
+def lists(values: list[bytes]) -> pa.ListArray:
+    """Lists of ids from their bytes."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]) // 4, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4")))
+
+
+def laid_out(table: pa.ListArray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists at these places one after another, and where each starts (and the last ends)."""
+    taken = table.take(pa.array(places))
+    return taken.flatten().to_numpy(), np.concatenate(([0], np.cumsum(taken.value_lengths().to_numpy(), dtype=np.int64)))
 
 
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that drops white space and never looks across it.
 
-    A word's ids are worked out once while the worker remembers the word. Words of letters and then marks go to the
-    tokenizer's model straight away, each of the two as one unit, which is what its own splitting would give; all other
-    words go through the whole tokenizer.
+    A batch's texts are split into words, and only its distinct words are worked on. A word of letters and then marks is two
+    units (the letters in lower case, the marks), which is what the tokenizer's own splitting would give. Units that the worker
+    doesn't remember go to the tokenizer's model many at a time; as it marks the last token of each, they are told apart again.
+    All other words are a unit each and go through the whole tokenizer. The memory has two generations: when the younger is
+    full it becomes the older, and units of the older that occur move on.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        chars = [c for c in map(chr, range(33, 256)) if PLAIN.fullmatch(c)]
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        chars = [c for c in map(chr, range(33, 256)) if re.fullmatch(f"[{LETTERS}{MARKS}]", c)]
         self.form = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c))[0][0] for c in chars})
-        self.known: dict[bytes, bytes] = {}
-
-    def ids_of(self, unit: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(unit.translate(self.form))] if unit else []
-
-    def learn(self, words: list[bytes]) -> None:
-        odd = []
-        for w in words:
-            m = PLAIN.fullmatch(w.decode())
-            if m:
-                self.known[w] = np.array(self.ids_of(m[1]) + self.ids_of(m[2]), "<u4").tobytes()
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, units: list[str], plain: bool) -> None:
+        for i in range(0, len(units), LEARNT):
+            some = units[i : i + LEARNT]
+            if plain:
+                ids = np.array(self.model.encode_batch_fast([" ".join(some).translate(self.form)], add_special_tokens=False)[0].ids, "<u4")
+                data, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+                self.known.update((u, data[a:b]) for u, a, b in zip(some, [0, *ends], ends, strict=False))
             else:
-                odd.append(w)
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        docs = [t.encode().split() if t else [] for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = set(chain.from_iterable(docs)).difference(self.known)
-        self.learn(list(new))
-        out = [b"".join(map(self.known.__getitem__, d)) for d in docs]
-        for w in new:
-            if len(w) > KNOWN_BYTES:
-                del self.known[w]
-        return out
+                found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                self.known.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(some, found, strict=True))
+
+    def ids_of(self, units: list[str], plain: bool) -> list[bytes]:
+        """The ids of distinct units, learnt where they aren't remembered. Plain and other units have nothing in common but "" ."""
+        ids = list(map(self.known.get, units))
+        if None in ids:
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            old = {u: x for i in gaps if (x := self.older.get(u := units[i])) is not None}
+            self.known.update(old)
+            self.learn([u for i in gaps if (u := units[i]) not in old], plain)
+            for i in gaps:
+                ids[i] = self.known[units[i]] if len(units[i]) <= KNOWN_BYTES else self.known.pop(units[i])
+        return ids
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by the id end, and where each text starts (and the last ends); null counts as empty."""
+        if len(self.known) > KNOWN_UNITS:
+            self.older, self.known = self.known, {"": b""}
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "") if texts.null_count else texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        plain = pc.match_substring_regex(words, PLAIN)
+        simple, others = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        letters = pc.utf8_lower(pc.ascii_rtrim(simple, MARK_CHARS)).dictionary_encode()
+        marks = pc.utf8_ltrim(simple, LETTER_CHARS).dictionary_encode()
+        units = [*self.ids_of(letters.dictionary.to_pylist(), True), *self.ids_of(marks.dictionary.to_pylist(), True), *self.ids_of(others, False), b"", np.array([end], "<u4").tobytes()]
+        # The two units of each word, and of the end as one word more.
+        nothing, is_plain = len(units) - 2, plain.to_numpy(zero_copy_only=False)
+        pairs = np.full((len(words) + 1, 2), nothing)
+        pairs[:-1][is_plain, 0] = letters.indices.to_numpy()
+        pairs[:-1][is_plain, 1] = marks.indices.to_numpy() + len(letters.dictionary)
+        pairs[:-1][~is_plain, 0] = np.arange(len(others)) + nothing - len(others)
+        pairs[-1, 0] = nothing + 1
+        ids, starts = laid_out(lists(units), pairs.ravel())
+        table = pa.ListArray.from_arrays(pa.array(starts[::2], pa.int32()), pa.array(ids))
+        ends = np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)
+        ids, starts = laid_out(table, np.insert(coded.indices.to_numpy(), ends, len(words)))
+        return ids.view("<u4"), starts[np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))]
 
 
 @cache
@@ -81,25 +124,26 @@ def encoder(name: str) -> WordEncoder:
 
 
 def encode_rows(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(row, doc_id, ids) of docs (doc_id, text): ids with the end id, row counting up within each partition."""
+    """(row, doc_id, ids) of docs (doc_id, text): ids with the end id, row counting up within and over partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, end = 0, np.array([END_ID], "<u4").tobytes()
-        for batch in text_batches(batches, 4 << 20):
-            encoded = [ids + end for ids in encoder(tokenizer).encode(batch.column(1).to_pylist())]
-            offsets = np.cumsum([0, *map(len, encoded)]) // 4
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(encoded))), batch.column(0), ids], names=["row", "doc_id", "ids"])
-            row += len(encoded)
+        row = TaskContext.get().partitionId() << ROW_BITS
+        for batch in text_batches(batches):
+            values, starts = encoder(tokenizer).encode(batch.column(1), END_ID)
+            ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.view("<i4")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), batch.column(0), ids], names=["row", "doc_id", "ids"])
+            row += len(ids)
 
     return docs.mapInArrow(run, "row long, doc_id long, ids array<int>")
 
 
+#: Rows of a partition are numbered in these low bits; the partition's number is above them.
+ROW_BITS = 40
 FORMAT = "row long, doc_id long, ids array<int>"
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
-    """Writes docs as token ids in ascending order of doc_id: ORC files in the order of their names, rows in order within.
+    """Writes docs as token ids in ascending order of doc_id: row numbers the documents of all files in that order.
 
     Integers are run-length encoded by ORC; stripes are small enough to be read in parallel, each has a row index, and
     a Bloom filter on doc_id lets a reader of single documents skip stripes and row groups. Texts are dealt by ranges
@@ -129,15 +173,16 @@ def checksums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files at path: start is the number of ids before it.
 
-    Starts are a running sum within each file on top of what the files before it hold; only a row for each file is
-    summed in one place.
+    Starts are a running sum within each file on top of what the files before it hold, by the number that a file's rows carry; only
+    a row for each file is summed in one place.
     """
-    rows = read_token_ids(spark, path).mapInArrow(checksums, "file string, row long, doc_id long, n_tokens long, ids_crc32 long")
-    sizes = spark.read.schema(FORMAT).orc(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum(F.size("ids").cast("long")).alias("total"))
-    first = sizes.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("first"))
-    within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.shiftright("row", ROW_BITS).alias("part")
+    rows = read_token_ids(spark, path).mapInArrow(checksums, "file string, row long, doc_id long, n_tokens long, ids_crc32 long").select(part, "row", "doc_id", "n_tokens", "ids_crc32")
+    sizes = spark.read.schema(FORMAT).orc(path).groupBy(part).agg(F.sum(F.size("ids").cast("long")).alias("total"))
+    first = sizes.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("first"))
+    within = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return rows.join(F.broadcast(first), "file").select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(small(first), "part").select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4_token_id_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
