@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the words of all texts in a row, as words_of() gives them, and where each text's start (and the last's end)."""
+    texts = pc.ascii_lower(pc.fill_null(texts, "") if texts.null_count else texts)
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    table = np.fromiter((xxhash.xxh64_intdigest(w, 9) for w in words), np.uint64, len(words))
+    indices, ends = coded.indices.to_numpy(), np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)))
+    if b"" in words:  # white space at either end of a text leaves an empty word
+        real = indices != words.index(b"")
+        return table[indices[real]], np.concatenate(([0], np.cumsum(real)))[ends]
+    return table[indices], ends
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], step_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about step_bytes, however long its texts are."""
     for batch in batches:
@@ -56,10 +72,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among ids (null is a doc_id like any other)."""
-    ids = small(ids.toDF("_gone"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti")
+def without_rows(docs: DataFrame, gone: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """docs without the rows whose numbers gone(numbered docs, name of the number) gives.
+
+    Rows are numbered once and written, so that each is judged by itself, whatever its doc_id and whatever other rows share it.
+    """
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()))
+    return rows.join(small(written(gone(rows, number))), number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:

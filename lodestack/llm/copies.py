@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import named, small, text_batches, words_of, written
+from lodestack.llm.common import hashed_words, named, small, text_batches, written
 from lodestack.llm.components import connected_components
-from lodestack.llm.decontamination import WordHashes, mixed, shingle_hashes
+from lodestack.llm.decontamination import mixed, shingle_hashes
 from lodestack.llm.simhash import fingerprint, links
 
 SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
@@ -43,10 +43,9 @@ def prints_and_bands(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, t, n, bands): SimHash, hash of the text, number of shingles, buckets; none for texts without words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in text_batches(batches, 2 << 20):
-            texts = batch.column(2).to_pylist()
-            sets = [shingles(known.of(words_of(t))) for t in texts]
+            texts, (hashes, starts) = batch.column(2).to_pylist(), hashed_words(batch.column(2))
+            sets = [shingles(hashes[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
             fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
             bands = [band_keys(s).view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -61,9 +60,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (a, b, ra, rb), hashes of texts in docs, that reach the similarity."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in text_batches(batches, 1 << 20):
-            own = [shingles(known.of(words_of(t))).view(np.int64) for t in batch.column(1).to_pylist()]
+            hashes, starts = hashed_words(batch.column(1))
+            own = [shingles(hashes[a:b]).view(np.int64) for a, b in zip(starts, starts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["t", "own"])
 
     wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import table, text_batches, without, written
+from lodestack.llm.common import table, text_batches, without_rows, written
 
 UNDETERMINED = "und"
 #: Labelled rows that the text model is fitted on: those with the smallest hashes of their keys.
@@ -170,9 +170,9 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     return joined.mapInArrow(fuse, f"key {key_type}, language string, confidence double, text_language string, accepted boolean")
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
+def document_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The evidence in documents: their text, the language they declare, and their source as the host."""
-    return docs.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    return docs.select(F.col(key).alias("key"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -198,7 +198,10 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those that are rejected; rows that share a doc_id are judged as one and go if all are rejected."""
-    judged = identify(document_rows(docs), train(labelled(docs)))
-    gone = judged.groupBy("key").agg(F.max("accepted").alias("accepted")).where("not accepted").select("key")
-    return without(docs, written(gone))
+    """docs without the rows that are rejected."""
+
+    def gone(rows: DataFrame, number: str) -> DataFrame:
+        judged = identify(document_rows(rows, number), train(labelled(docs)))
+        return judged.where("not accepted").select(F.col("key").alias(number))
+
+    return without_rows(docs, gone)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import named, roots, table, text_batches, without, words_of, written
+from lodestack.llm.common import named, roots, small, table, text_batches, without_rows, words_of, written
 from lodestack.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -110,7 +110,6 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     ball = len(masks(64, half))
     bits = max(2, ceil(log2(max(1.0, count * ball / KEY_VARIANTS))))
     low_bits = 64 - bits
-    split_from = max(1, SPLIT_VARIANTS // len(masks(low_bits, half)))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flip = masks(bits, half)
@@ -138,9 +137,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         return pd.DataFrame({"u": own[tied].view(np.int64), "v": own[root[tied]].view(np.int64)})
 
     sent = fps.mapInArrow(send, "prefix long, flips int, fp long")
-    hot = fps.groupBy(F.shiftrightunsigned("fp", low_bits).alias("prefix")).count().where(F.col("count") > split_from)
-    hot = hot.select("prefix", F.least(F.ceil(F.log2(F.col("count") / split_from)), F.lit(10)).cast("int").alias("salt_bits"))
-    sent = sent.join(hot, "prefix", "left").withColumn("salt_bits", F.coalesce("salt_bits", F.lit(0)))
+    each = F.element_at(F.array(*[F.lit(len(masks(low_bits, k))) for k in range(half + 1)]), F.col("flips") + 1)
+    hot = sent.groupBy("prefix").agg(F.sum(each).alias("variants")).where(F.col("variants") > SPLIT_VARIANTS)
+    hot = written(hot.select("prefix", F.ceil(F.log2(F.col("variants") / SPLIT_VARIANTS)).cast("int").alias("salt_bits")))
+    sent = sent.join(small(hot), "prefix", "left").withColumn("salt_bits", F.coalesce("salt_bits", F.lit(0)))
     sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, salt_bits) - 1"))))
     return sent.groupBy("prefix", "salt").applyInPandas(meet, "u long, v long").distinct()
 
@@ -171,14 +171,17 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, components: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """docs without near-duplicates: of each component the row of its smallest doc_id.
+    """docs without near-duplicates: of each component the row with the smallest doc_id (null after all others) stays.
 
-    Rows that share a doc_id count as one document: the first of them by the columns in order stays.
+    Rows are judged one by one: different texts under one doc_id, or under none, are different documents. An empty table
+    gives an empty result; columns and their order stay.
     """
-    ids = written(components(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.expr("doc_id <=> component_id")).alias("stays")))
-    once = without(docs, ids.where("not stays or rows > 1").select("doc_id"))
-    repeated = ids.where("stays and rows > 1").select("doc_id")
-    if repeated.isEmpty():
-        return once
-    again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-    return once.unionByName(again.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])).alias("row")).select("doc_id", "row.*"))
+
+    def gone(rows: DataFrame, number: str) -> DataFrame:
+        part = components(rows.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias(number), "component_id")
+        part = written(part.join(named(rows, number, "doc_id"), number))
+        first = part.groupBy("component_id").agg(F.count("*").alias("members"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", number)).alias("first"))
+        stays = written(first.where("members > 1").select("component_id", F.col(f"first.{number}").alias("_stays")))
+        return part.join(small(stays), "component_id").where(F.col(number) != F.col("_stays")).select(number)
+
+    return without_rows(docs, gone)

@@ -4,9 +4,9 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline
+from test_copies import brute as near
 from test_decontamination import brute as contaminated
 from test_pii import brute as base_spans
-from test_simhash import brute_components, brute_fp
 from test_tokens import brute as token_ids
 from test_tokens import check_packing, crc
 
@@ -20,8 +20,7 @@ def test_pipeline_equals_brute_force(spark):
     docs = {r.doc_id: r.text for r in table.orderBy("doc_id").collect()}
     judged = langid.identify(langid.document_rows(table), langid.train(langid.labelled(table))).collect()
     docs = {k: docs[k] for k in sorted(r.key for r in judged if r.accepted)}
-    fps = [brute_fp(t) for t in docs.values()]
-    docs = {k: t for (k, t), c in zip(docs.items(), brute_components(list(docs), fps), strict=True) if k == c}
+    docs = {k: docs[k] for k, c in near(list(docs.items())).items() if k == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {k for k, _ in contaminated(list(docs.items()), items)}
     assert bad

@@ -83,6 +83,8 @@ def test_edge_cases(spark):
     assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), (8, 8)]
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 4, 6, 8]
     assert simhash.one_of_each(docs).columns == docs.columns
+    same_ids = spark.createDataFrame([(None, "a b c d e"), (None, "f g h i j"), (5, "k l m n o"), (9, "a b c d e"), (5, "p q r s t")], "doc_id long, text string").withColumn("_row", F.lit("clash"))
+    assert sorted(map(str, (tuple(r)[:2] for r in simhash.one_of_each(same_ids).collect()))) == sorted(map(str, [(None, "f g h i j"), (5, "k l m n o"), (5, "p q r s t"), (9, "a b c d e")]))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
