@@ -20,13 +20,28 @@ OUT_ROWS = 20_000
 BROADCAST_ROWS = 500_000
 
 
+#: Bytes of texts that Spark hands to a Python task at once.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session hands rows to Python in batches of some BATCH_BYTES unless it has been told otherwise.
+
+    Spark's own bound (ten thousand rows or 64 MB) is held several times over in both processes, which long texts make much of.
+    """
+    conf = df.sparkSession.conf
+    if df.sparkSession.sparkContext.getConf().get(BATCH_SETTING) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def written(df: DataFrame, fmt: str = "parquet", **options: str) -> DataFrame:
     """df written once to the shared folder and read again: lineage ends here, and readers prune its columns."""
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.format(fmt).options(**options).save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)
@@ -37,18 +52,25 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of the words of all texts in a row, as words_of() gives them, and where each text's start (and the last's end)."""
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts in a row, as words_of() gives them: XXH64 of the distinct ones, each word's place among
+    them, and where each text's words start (and the last's end)."""
     texts = pc.ascii_lower(pc.fill_null(texts, "") if texts.null_count else texts)
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
     table = np.fromiter((xxhash.xxh64_intdigest(w, 9) for w in words), np.uint64, len(words))
     indices, ends = coded.indices.to_numpy(), np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)))
     if b"" in words:  # white space at either end of a text leaves an empty word
         real = indices != words.index(b"")
-        return table[indices[real]], np.concatenate(([0], np.cumsum(real)))[ends]
-    return table[indices], ends
+        indices, ends = indices[real], np.concatenate(([0], np.cumsum(real)))[ends]
+    return table, indices, ends
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the words of all texts in a row, and where each text's start (and the last's end)."""
+    table, indices, starts = coded_words(texts)
+    return table[indices], starts
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], step_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -64,7 +86,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], step_bytes: int = 8 << 20) -
 
 def named(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, so that further ones of any name don't clash with what an operator adds."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    return bounded(df).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -176,8 +176,11 @@ def document_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """The evidence in web pages: text without markup, the lang attribute of <html>, and the host of the address."""
-    plain = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?[a-zA-Z0-9]+;", " ")
+    """The evidence in web pages: text without markup, the lang attribute of <html>, and the host of the address.
+
+    A script, a style or a comment that isn't closed reaches to the end, so every character of a page is passed once.
+    """
+    plain = F.regexp_replace("html", r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+>?|&#?[a-zA-Z0-9]+;", " ")
     declared = F.nullif(F.lower(F.regexp_extract("html", r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1)), F.lit(""))
     host = F.nullif(F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     return pages.select(F.col("page_id").alias("key"), plain.alias("text"), declared.alias("declared"), host.alias("host"))

@@ -15,6 +15,7 @@ Beside it stands the base score: the words' own counts in the training texts wit
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ PRIOR_WEIGHT, COMMON_SHARE = 32_000.0, 400_000
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
 RANK_OFFSET = 3
+#: From so many bytes on the pieces of a word aren't kept: it takes some ten bytes of memory for each of its own.
+LONG_WORD = 1000
 LN10 = log(10)
 
 
@@ -105,17 +108,39 @@ class Lattice:
                     terms[j].append(at + w)
         return out
 
+    def arcs_at(self, word: bytes, i: int) -> list[tuple[int, int, float]]:
+        get, own = self.arcs.get, []
+        for j in range(i + 1, len(word) + 1):
+            arc = get(word[i:j])
+            if arc is None:
+                break
+            if arc[0] >= 0:
+                own.append((j, *arc))
+        return own
+
+    def ahead(self, word: bytes) -> array:
+        """forward() without keeping the pieces: the sums that are open reach no further than the longest piece."""
+        open_sums, out = {0: [0.0]}, array("d")
+        for i in range(len(word) + 1):
+            out.append(at := log_sum(open_sums.pop(i)))
+            for j, _, w in self.arcs_at(word, i):
+                open_sums.setdefault(j, []).append(at + w)
+        return out
+
     def score(self, word: bytes) -> float:
-        return self.forward(self.pieces_in(b" " + word))[-1]
+        word = b" " + word
+        return self.ahead(word)[-1] if len(word) > LONG_WORD else self.forward(self.pieces_in(word))[-1]
 
     def expected(self, word: bytes, times: int, into: dict[int, float]) -> None:
         """Adds the expected number of uses of each piece in so many occurrences of word."""
-        found = self.pieces_in(b" " + word)
-        ahead = self.forward(found)
-        behind = [0.0] * len(ahead)
-        for i in range(len(found) - 1, -1, -1):
-            behind[i] = log_sum([w + behind[j] for j, _, w in found[i]])
-        for i, own in enumerate(found):
+        word = b" " + word
+        is_long = len(word) > LONG_WORD
+        found = None if is_long else self.pieces_in(word)
+        ahead = self.ahead(word) if is_long else self.forward(found)
+        behind = array("d", bytes(8 * len(ahead)))
+        for i in range(len(word) - 1, -1, -1):
+            own = self.arcs_at(word, i) if is_long else found[i]
+            behind[i] = log_sum([w + behind[j] for j, _, w in own])
             for j, k, w in own:
                 into[k] += times * exp(ahead[i] + w + behind[j] - ahead[-1])
 

@@ -64,8 +64,7 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(c, ("number", 1))
     found.add_word("@", ("email", 1))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, (kind, len(form)))
+        found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -78,6 +77,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def folded(text: str) -> str:
+    """text in lower case, character by character, so that places stay."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def low_byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -110,7 +121,7 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, in
     out: list[tuple[int, int, int]] = []
     zone_end = mail_end = 0
     last = dict.fromkeys(KINDS, 0)
-    for at, (kind, size) in anchors.iter(text):
+    for at, (kind, size) in anchors.iter(folded(text)):
         first = at - size + 1
         if kind == "number":
             if at < zone_end:
@@ -122,7 +133,7 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, in
             if zone_end - start < 7:
                 continue
             zone = text[start:zone_end]
-            out += [(1, start + m.start(), start + m.end()) for m in IP.finditer(zone) if all(int(x) <= 255 for x in m[0].split("."))]
+            out += [(1, start + m.start(), start + m.end()) for m in IP.finditer(zone) if all(map(low_byte, m[0].split(".")))]
             out += [(2, start + m.start(), start + m.end()) for m in CARD.finditer(zone) if 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
             out += [(3, start + m.start(), start + m.end()) for m in PHONE.finditer(zone) if 9 <= len(digits_of(m[0])) <= 15]
         elif kind == "email":

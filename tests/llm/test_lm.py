@@ -64,3 +64,19 @@ def test_edges(spark, monkeypatch):
     assert len(got) == len(rows) and all(r.score < 0 and r.base_score < 0 for r in got)
     assert sorted(r.n_tokens for r in got) == [1, 1, 2, 2, 4, 4, 5, 200_001]
     assert lm.score_texts(docs.limit(0)).count() == 0
+
+
+def test_long_words_are_scored_alike_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    lattice = lm.Lattice.of(*lm.vocabulary(lm.VOCABULARY))
+    word, plain, long = b"internationalisation" * 30, Counter(), Counter()
+    score = lattice.score(word)
+    lattice.expected(word, 2, plain)
+    monkeypatch.setattr(lm, "LONG_WORD", 10)
+    lattice.expected(word, 2, long)
+    assert isclose(lattice.score(word), score) and plain.keys() == long.keys() and all(isclose(plain[k], long[k]) for k in plain)
+    tracemalloc.start()
+    lattice.score(bytes(97 + i * i % 26 for i in range(200_000)))
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()

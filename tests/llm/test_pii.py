@@ -75,3 +75,12 @@ def test_redaction_and_edges(spark):
     want = [(1, None, 0), (2, "", 0), (3, "mail [EMAIL] now", 16), (3, "mail [EMAIL] now", 16), (4, "clean text", 10), (5, "word " * 200_000 + "[EMAIL]", 1_000_007), (None, "[IP]", 4)]
     assert got == sorted(want, key=str)
     assert pii.find_pii(docs).count() == 7 and pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_long_numbers_and_cues_in_any_case():
+    anchors = pii.automaton()
+    for text in ("1" * 5000 + ".1.1.1", "1.2.3." + "9" * 6000):
+        assert not [x for x in pii.find(text, anchors) if x[0] == 1]
+    assert (1, 0, 5008) in pii.find("0" * 5000 + "1.1.1.25", anchors)
+    for text in ("Social Security 123-45-6789", "İ SOCIAL security: 123-45-6789", "sOcIaL sEcUrItY 123-45-6789"):
+        assert [text[a:b] for k, a, b in pii.find(text, anchors) if pii.KINDS[k] == "ssn"] == ["123-45-6789"]
