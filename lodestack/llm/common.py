@@ -82,6 +82,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], step_bytes: int = 8 << 20) -
         step = max(1, int(n * step_bytes / max(batch.nbytes, 1)))
         for i in range(0, n, step):
             yield batch.slice(i, step)
+    pa.default_memory_pool().release_unused()  # a worker outlives its task
 
 
 def named(df: DataFrame, *columns: str) -> DataFrame:

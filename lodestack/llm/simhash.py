@@ -28,7 +28,7 @@ SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
 #: Variants that one shuffle key should hold, and those from which a key is split further.
-KEY_VARIANTS, SPLIT_VARIANTS = 600_000, 1_200_000
+KEY_VARIANTS, SPLIT_VARIANTS = 300_000, 600_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:

@@ -22,7 +22,7 @@ from lodestack.llm.common import named, shared_dir, small, table, text_batches
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Units of one generation that a worker remembers, the longest of them in bytes, and how many are learnt at a time.
-KNOWN_UNITS, KNOWN_BYTES, LEARNT = 400_000, 64, 20_000
+KNOWN_UNITS, KNOWN_BYTES, LEARNT = 100_000, 64, 20_000
 #: Latin letters and ASCII punctuation (without the apostrophe, which starts contractions).
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 PLAIN = f"^[{LETTERS}]*[{MARKS}]*$"
