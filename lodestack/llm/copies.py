@@ -22,6 +22,7 @@ from lodestack.llm.simhash import fingerprint, links
 
 SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
+STAR_ROUNDS = 3
 FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -88,8 +89,9 @@ def joined(rows: DataFrame, part: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) as simhash.near_duplicates gives them, linked also by the similarity of shingle sets.
 
-    A bucket's texts are first held against one of them, which joins large groups of copies at a cost in proportion to their
-    size; only pairs that are still in different components are then all compared, so no pair of a bucket is left out.
+    A bucket's texts are first held against one of them, another one each time for STAR_ROUNDS rounds, which joins large groups of copies
+    at a cost in proportion to their size; only pairs that are still in different components are then all compared, so no pair
+    of a bucket is left out.
     """
     rows = written(prints_and_bands(docs))
     groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -98,17 +100,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     spread = rows.where("n > 0").join(known.select("fp", "root"), "fp").select(F.explode("bands").alias("key"), "t", "n", "root").distinct()
     near = f"least(n, n_b) >= {LEAST_SIMILARITY} * greatest(n, n_b)"
     bucket = busy(spread)
-    for first in (True, False):
-        if first:
-            other = bucket.groupBy("key").agg(F.min(F.struct("root", "t", "n")).alias("o")).select("key", F.col("o.root").alias("rb"), F.col("o.t").alias("b"), F.col("o.n").alias("n_b"))
+    for turn in range(STAR_ROUNDS + 1):
+        if turn < STAR_ROUNDS:
+            chosen = F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("mark"), "root", "t", "n")).alias("o")
+            other = bucket.groupBy("key").agg(chosen).select("key", F.col("o.root").alias("rb"), F.col("o.t").alias("b"), F.col("o.n").alias("n_b"))
+            apart = "root <> rb"
         else:
             other = bucket.select("key", F.col("root").alias("rb"), F.col("t").alias("b"), F.col("n").alias("n_b"))
-        pairs = written(bucket.join(other, "key").where(f"root > rb and {near}").select(F.col("t").alias("a"), "b", F.col("root").alias("ra"), "rb").distinct())
+            apart = "root > rb"
+        pairs = written(bucket.join(other, "key").where(f"{apart} and {near}").select(F.col("t").alias("a"), "b", F.col("root").alias("ra"), "rb").distinct())
         edges = written(verified(docs, pairs))
         if not edges.isEmpty():
             part = written(connected_components(edges.toDF("u", "v")))
             known, bucket = written(joined(known, part)), joined(bucket, part)
-        if first:
+        if turn < STAR_ROUNDS:
             bucket = busy(bucket)
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named_groups = known.join(smallest, "root").select("fp", "component_id")
