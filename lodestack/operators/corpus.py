@@ -241,6 +241,7 @@ def event_url(df: DataFrame, search_id: str | None = None, offset: int = 0, inde
         .when(kind == "Journal", path("/issues/", inside, "#change-", me))
         .when(kind == "WikiPage", path("/projects/", F.col("project_id").cast("string"), "/wiki/", F.coalesce("title", F.lit(""))))
         .when(kind == "Project", path("/projects/", me))
+        .when(kind == "News", path("/news/", me))
         .when(kind == "Message", path("/boards/", has("board_id"), "/topics/", me))
         .when(kind == "Attachment", path("/attachments/", me, "/", F.coalesce("title", F.lit(""))))
         .when(kind == "Changeset", path("/projects/", F.col("project_id").cast("string"), "/repository/revisions/", has("revision")))

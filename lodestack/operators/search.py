@@ -389,10 +389,11 @@ def search(corpus: DataFrame, request: Request, dims: Dims, tag_dim: DataFrame |
     return Result(shown, hit_counts(narrow, request.types, one), type_drilldown(narrow), None if tag_dim is None else tag_drilldown(chosen, tag_dim))
 
 
-def search_many(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search_many(corpus: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """(query_id, source_type, source_id, score, rank) of the k best rows for every query (query_id, text), all words required.
 
     Queries are split into distinct words that meet the corpus' words once, in a join by word; a word's score is as in match().
+    Without k all rows that are found come, and no rank.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.lower("text")))).alias("term"))
     size = asked.groupBy("query_id").agg(F.count("*").alias("words"))
@@ -403,5 +404,7 @@ def search_many(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     tf = each.groupBy("term", *KEY).agg((F.count_if(F.col("w") > 1) * TITLE_WEIGHT + F.least(F.count_if(F.col("w") == 1), F.lit(CONTENT_CAP))).alias("s"))
     hits = tf.join(asked, "term").groupBy("query_id", *KEY).agg(F.sum("s").cast("long").alias("score"), F.count("*").alias("found"))
     full = hits.join(size, "query_id").where("found = words")
+    if k is None:
+        return full.select("query_id", *KEY, "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY))
     return full.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", *KEY, "score", "rank")

@@ -177,5 +177,5 @@ def visible(corpus: DataFrame, request: Request, dims: Dims) -> DataFrame:
     if dims.hidden_fields is not None:
         df = visible_fields(df, dims.hidden_fields)
     if dims.permissions is not None:
-        df = permitted(df, dims.visible, dims.permissions)
+        df = permitted(df, corpus if dims.visible is None else dims.visible, dims.permissions)
     return df

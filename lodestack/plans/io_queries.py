@@ -109,13 +109,13 @@ def export_issue_histories(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     r"""WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+|\p{N}+'))) AS term FROM benchmark), n AS (SELECT item_id, count(*) AS words FROM q GROUP BY 1),
 d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+|\p{N}+')) AS term FROM documents), h AS (SELECT item_id, doc_id FROM d JOIN q USING (term) JOIN n USING (item_id) GROUP BY item_id, doc_id, words HAVING count(*) = words)
-SELECT CAST(item_id AS VARCHAR) AS search_id, least(count(doc_id) FILTER (doc_id % 2 = 0), 10000) AS n_hits, count(doc_id) AS total_n_hits FROM n LEFT JOIN h USING (item_id) GROUP BY item_id"""
+SELECT CAST(item_id AS VARCHAR) AS search_id, count(doc_id) FILTER (doc_id % 2 = 0) AS n_hits, count(doc_id) AS total_n_hits FROM n LEFT JOIN h USING (item_id) GROUP BY item_id"""
 )
 def search_log(spark: SparkSession, sf: str) -> DataFrame:
     """The log that a batch of searches writes, as read from it."""
     path = folder(spark)
     queries = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = search.search_many(documents(spark, sf), queries, 1_000_000).withColumn("selected", F.col("source_id") % 2 == 0)
+    hits = search.search_many(documents(spark, sf), queries, None).withColumn("selected", F.col("source_id") % 2 == 0)
     requests = queries.select("query_id", F.col("query_id").cast("string").alias("search_id"), F.col("text").alias("q"), F.lit("all").alias("scope"), F.lit(1).alias("user_id"), F.lit(None).cast("long").alias("project_id"), F.lit(0.5).alias("elapsed_time"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"))
     sinks.write_search_log(hits, requests, path)
     return readers.read_action_log(spark, path).select("search.search_id", "search.n_hits", "search.total_n_hits")
@@ -128,12 +128,13 @@ def result_page(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.result_page(found.page, ["the", "with"], found.counts.first()["n_hits"], request.offset, request.limit)
 
 
-@query("SELECT o_orderkey AS id, strlen(o_orderpriority) AS n FROM orders WHERE o_orderkey % 500 = 0")
+@query("SELECT o_orderkey % 100 AS id, CAST(sum(strlen(o_orderpriority) + 1) AS BIGINT) AS n FROM orders GROUP BY 1")
 def read_text_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders, a line each, in a file for each of a hundred groups."""
     path = folder(spark)
-    t(spark, sf, "orders").where("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("id"), "o_orderpriority").write.partitionBy("id").text(path)
+    t(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("id"), "o_orderpriority").repartition("id").write.partitionBy("id").text(path)
     files = readers.read_text_files(spark, f"{path}/*/*.txt")
-    return files.select(F.regexp_extract("path", "id=([0-9]+)", 1).cast("long").alias("id"), (F.octet_length("bytes") - 1).cast("long").alias("n"))
+    return files.groupBy(F.regexp_extract("path", "id=([0-9]+)", 1).cast("long").alias("id")).agg(F.sum(F.octet_length("bytes")).cast("long").alias("n"))
 
 
 def feed_of(spark: SparkSession, sf: str) -> DataFrame:

@@ -398,7 +398,7 @@ def sync_repository_listing(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {TRACKER}, st AS (SELECT DISTINCT o_orderstatus AS s FROM orders) SELECT c.source_type, c.source_id,
 CASE c.source_type WHEN 'Issue' THEN CASE WHEN list_contains(tags, 'issue-status:F') THEN 'issue-closed' ELSE 'issue' END WHEN 'Journal' THEN CASE WHEN c.source_id % 3 = 0 THEN CASE WHEN list_contains(tags, 'issue-status:F') THEN 'issue-closed' ELSE 'issue-edit' END ELSE 'issue-note' END ELSE lower(c.source_type) END AS type,
 CASE c.source_type WHEN 'Issue' THEN 'Bug #' || c.source_id || ' (New): ' || title WHEN 'Journal' THEN 'Bug #' || container_id || '#change-' || c.source_id || ' (New): Order ' || container_id WHEN 'Project' THEN 'Project: ' || title ELSE title END AS title,
-CASE c.source_type WHEN 'Issue' THEN '/issues/' || c.source_id WHEN 'Journal' THEN '/issues/' || container_id || '?search_id=s1&search_n=' || (c.source_id % 7 + 10) || '#change-' || c.source_id WHEN 'Project' THEN '/projects/' || c.source_id ELSE '/newss/' || c.source_id END || CASE WHEN c.source_type = 'Journal' THEN '' ELSE '?search_id=s1&search_n=' || (c.source_id % 7 + 10) END AS url FROM corpus c"""
+CASE c.source_type WHEN 'Issue' THEN '/issues/' || c.source_id WHEN 'Journal' THEN '/issues/' || container_id || '?search_id=s1&search_n=' || (c.source_id % 7 + 10) || '#change-' || c.source_id WHEN 'Project' THEN '/projects/' || c.source_id ELSE '/news/' || c.source_id END || CASE WHEN c.source_type = 'Journal' THEN '' ELSE '?search_id=s1&search_n=' || (c.source_id % 7 + 10) END AS url FROM corpus c"""
 )
 def events_shown(spark: SparkSession, sf: str) -> DataFrame:
     df = tracker(spark, sf).withColumns({"is_closed": F.array_contains(tag_strings(), "issue-status:F"), "sets_status": F.col("source_id") % 3 == 0, "tracker": F.lit("Bug"), "status": F.lit("New"), "issue_subject": F.concat(F.lit("Order "), "container_id")})
