@@ -284,11 +284,11 @@ def query_words(tree: object) -> list[str]:
 
 def highlight(x: Column | str, words: list[str]) -> Column:
     """Escaped text with every word of the query in <span class="keyword">."""
-    safe = escape_html(x)
     if not words:
-        return safe
+        return escape_html(x)
     pattern = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(r"\W+".join(re.escape(p) for p in w.split(" ")) for w in words) + r")(?![\p{L}\p{N}])"
-    return F.regexp_replace(safe, pattern, '<span class="keyword">$1</span>')
+    marked = F.regexp_replace(F.translate(x, "\x01\x02", ""), pattern, "\x01$1\x02")  # in the text itself, then escaped
+    return F.replace(F.replace(escape_html(marked), F.lit("\x01"), F.lit('<span class="keyword">')), F.lit("\x02"), F.lit("</span>"))
 
 
 def snippets_of(text: str | None, words: list[str], size: int = 200, most: int = 3) -> list[str]:

@@ -131,3 +131,9 @@ def test_similar_words(spark):
     table = spark.createDataFrame([("a", "b", T, T), ("old", "x", T, T)], "source string, destination string, created_at timestamp, updated_at timestamp")
     new, bad = synonyms.sync_expansions(table, spark.createDataFrame([("a", "b"), ("c", "d"), (" ", "x"), ("y", None)], "source string, destination string"))
     assert {r.source: r.created_at == T for r in new.collect()} == {"a": True, "c": False} and bad.count() == 2
+
+
+def test_highlight_marks_the_text_and_not_its_entities(spark):
+    df = spark.createDataFrame([("R&D <amp> lt",), (None,)], "title string")
+    got = [r[0] for r in df.select(s.highlight("title", ["amp", "lt"])).collect()]
+    assert got == ['R&amp;D &lt;<span class="keyword">amp</span>&gt; <span class="keyword">lt</span>', None]
