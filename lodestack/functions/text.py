@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
@@ -184,21 +185,21 @@ def format_elapsed(x: Column | str) -> Column:
     )
 
 
-NUMBERED = re.compile(r"\s*\(?[0-9]")
+NUMBERED = regex.compile(r"\s*\p{Ps}?\p{N}")
 MAX_SENTENCE_BYTES = 2048
 
 
 def paragraphs(text: str) -> Iterator[str]:
     """Lines put together up to a blank line, a change of indent, or a numbered line."""
     held: list[str] = []
-    indent = 0
+    indent = ""
     for line in text.splitlines():
         if not line.strip():
             if held:
                 yield "\n".join(held)
             held = []
             continue
-        own = len(line) - len(line.lstrip())
+        own = line[: len(line) - len(line.lstrip())]
         if held and (own != indent or NUMBERED.match(line)):
             yield "\n".join(held)
             held = []
@@ -208,14 +209,20 @@ def paragraphs(text: str) -> Iterator[str]:
         yield "\n".join(held)
 
 
-def ends_sentence(text: str, at: int) -> bool:
-    """Whether the full stop at this place ends a sentence."""
+UNENDED = re.compile(r"(?:[0-9. ]|\([0-9]\)|\bMr)$")
+
+
+def ends_sentence(text: str, at: int, start: int = 0) -> bool:
+    """Whether the full stop at this place ends the sentence that starts at start.
+
+    Not after a digit, a space, another full stop, (1) or Mr, nor before a Latin letter or another full stop.
+    """
     if text[at] == "。":
         return True
-    before, after = text[:at], text[at + 1 : at + 2]
-    if after.isalpha() or after == ".":
+    after = text[at + 1 : at + 2]
+    if after == "." or (after.isascii() and after.isalpha()):
         return False
-    return not (before[-1:].isdigit() or before[-1:] in (".", " ") or before.endswith("Mr") or re.search(r"\([0-9]\)$", before))
+    return UNENDED.search(text[max(start, at - 3) : at]) is None
 
 
 def sentences_of(text: str | None) -> list[str]:
@@ -224,7 +231,7 @@ def sentences_of(text: str | None) -> list[str]:
     for paragraph in paragraphs(text or ""):
         flat, start = paragraph.replace("\n", " "), 0
         for m in re.finditer("[。.]", flat):
-            if ends_sentence(flat, m.start()):
+            if ends_sentence(flat, m.start(), start):
                 out.append(flat[start : m.end()].strip())
                 start = m.end()
         out.append(flat[start:].strip())

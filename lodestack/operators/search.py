@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
+import html
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
@@ -22,7 +24,10 @@ TITLE_WEIGHT, CONTENT_CAP = 100, 5
 
 @dataclass(frozen=True)
 class Word:
-    """Words that must follow one another (one word, or a phrase), or any of several such (synonyms)."""
+    """Words that must follow one another (one word, or a phrase), or any of several such (synonyms).
+
+    With prefix the last of them need only start so.
+    """
 
     forms: tuple[tuple[str, ...], ...]
     prefix: bool = False
@@ -50,12 +55,15 @@ class Where:
     sql: str
 
 
+PLAIN_CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー々"
+PLAIN_TOKEN = regex.compile(rf"(?V1)[{PLAIN_CJK}]+|[\p{{L}}--[{PLAIN_CJK}]]+|\p{{N}}+")
+
+
 def plain_tokens(text: str) -> list[str]:
     """Tokens of a query word, as tokenize() makes them of a column."""
-    cjk = "぀-ヿ㐀-䶿一-鿿々ー"
     out = []
-    for run in re.findall(rf"[{cjk}]+|[^\W\d_{cjk}]+|\d+", text.lower()):
-        pairs = re.match(f"[{cjk}]", run) and len(run) > 1
+    for run in PLAIN_TOKEN.findall(text.lower()):
+        pairs = len(run) > 1 and regex.match(f"[{PLAIN_CJK}]", run)
         out += [run[i : i + 2] for i in range(len(run) - 1)] if pairs else [run]
     return out
 
@@ -64,9 +72,9 @@ def word(text: str, prefix: bool = False) -> Word:
     return Word((tuple(plain_tokens(text)),), prefix)
 
 
-def parse(text: str) -> All | None:
+def parse(text: str, nfkc: bool = False) -> All | None:
     """A plain string as a condition: its words, all of them; a word of several tokens is a phrase. Never an error."""
-    words = [w for w in map(word, text.split()) if w.forms[0]]
+    words = [w for w in map(word, (unicodedata.normalize("NFKC", text) if nfkc else text).split()) if w.forms[0]]
     return All(tuple(words)) if words else None
 
 
@@ -130,8 +138,8 @@ def same_word(form: str, prefix: bool) -> Callable[[Column], Column]:
     return lambda t: t.startswith(form) if prefix else t == form
 
 
-def follows(form: str) -> Callable[[Column, Column], Column]:
-    return lambda before, t: before & (t == form)
+def follows(form: str, prefix: bool) -> Callable[[Column, Column], Column]:
+    return lambda before, t: before & same_word(form, prefix)(t)
 
 
 def occurrences(tokens: Column, x: Word) -> Column:
@@ -145,7 +153,7 @@ def occurrences(tokens: Column, x: Word) -> Column:
         else:
             flags = F.transform(tokens, same_word(form[0], False))
             for k, own in enumerate(form[1:], 1):
-                flags = F.zip_with(flags, F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0))), follows(own))
+                flags = F.zip_with(flags, F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0))), follows(own, x.prefix and k == len(form) - 1))
             total = total + F.size(F.filter(flags, lambda f: F.coalesce(f, F.lit(False))))
     return total
 
@@ -216,49 +224,92 @@ def match(corpus: DataFrame, tree: object, titles_only: bool = False, normalized
 
 
 def build_postings(corpus: DataFrame, normalized: bool = True) -> DataFrame:
-    """(term, field, source_type, source_id, tf, positions): the inverted index of title, content and tag names."""
+    """(term, field, source_type, source_id, tf, positions): the inverted index of title, content and tag names.
+
+    A target's n-th identifier has a field "identifier n" of its own besides, as it must meet a query by itself.
+    """
     tokened = with_tokens(corpus, normalized)
-    tag_tokens = F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<struct<type:string,name:string>>")), lambda t: tokenize(F.lower(t["name"]))))
+    tags = F.coalesce("tags", F.array().cast("array<struct<type:string,name:string>>"))
+    tag_tokens = F.flatten(F.transform(tags, lambda t: tokenize(F.lower(t["name"]))))
     fields = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("tokens")) for n, c in (("title", F.col("_title_tokens")), ("content", F.col("_content_tokens")), ("tag", tag_tokens))])
-    each = tokened.select(*KEY, F.explode(fields).alias("f")).select(*KEY, "f.field", F.posexplode("f.tokens").alias("position", "term"))
+    identifiers = F.transform(
+        F.filter(tags, lambda t: t["type"] == "identifier"), lambda t, n: F.struct(F.concat(F.lit("identifier "), n.cast("string")).alias("field"), tokenize(F.lower(t["name"])).alias("tokens"))
+    )
+    each = tokened.select(*KEY, F.explode(F.concat(fields, identifiers)).alias("f")).select(*KEY, "f.field", F.posexplode("f.tokens").alias("position", "term"))
     return each.groupBy("term", "field", *KEY).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
-def match_postings(postings: DataFrame, tree: object) -> DataFrame:
-    """(source_type, source_id, score) of what meets a condition of words, from an inverted index alone.
+def write_postings(corpus: DataFrame, folder: str, normalized: bool = True) -> None:
+    """Writes the index sorted by term, so that a search reads only its terms' row groups; frequent terms are cut by target."""
+    order = ["term", "field", *KEY]
+    build_postings(corpus, normalized).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(folder)
+
+
+def read_postings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
+def met(tree: object, leaf: Callable[[Word], bool]) -> bool:
+    """Whether a condition of words is met where leaf tells which of them occur."""
+    if isinstance(tree, Word):
+        return leaf(tree)
+    if isinstance(tree, Not):
+        return not met(tree.part, leaf)
+    return (all if isinstance(tree, All) else any)([met(p, leaf) for p in tree.parts])
+
+
+def has_where(tree: object) -> bool:
+    parts = tree.parts if isinstance(tree, All | Some) else (tree.part,) if isinstance(tree, Not) else ()
+    return isinstance(tree, Where) or any(map(has_where, parts))
 
-    Only the query's terms are read (the index is sorted by term, so others are skipped); every leaf becomes one flag for each target.
-    """
-    found = list(dict.fromkeys(leaves(tree)))
-    if any(len(f) > 1 for x in found for f in x.forms):
-        return _match_phrases(postings, tree, found)
-    rows = [(i, f[0], x.prefix) for i, x in enumerate(found) for f in x.forms if f]
-    asked = postings.sparkSession.createDataFrame(rows, "leaf int, asked string, prefix boolean")
-    exact = [t for _, t, p in rows if not p]
-    some = F.col("term").isin(exact)
-    for _, t, p in rows:
-        some = some | F.col("term").startswith(t) if p else some
-    p = postings.where(some & F.col("field").isin("title", "content"))
-    hit = p.join(F.broadcast(asked), F.when(F.col("prefix"), F.col("term").startswith(F.col("asked"))).otherwise(F.col("term") == F.col("asked")))
-    flags = [F.sum(F.when((F.col("leaf") == i) & (F.col("field") == c), F.col("tf")).otherwise(0)).alias(f"_{c}_{i}") for i in range(len(found)) for c in ("title", "content")]
-    return _scored(hit.groupBy(*KEY).agg(*flags), tree, found)
 
+def match_postings(postings: DataFrame, tree: object, titles_only: bool = False, targets: DataFrame | None = None) -> DataFrame:
+    """(source_type, source_id, score) of what meets a condition of words, from an inverted index: what match() finds.
 
-def _scored(df: DataFrame, tree: object, found: list[Word]) -> DataFrame:
+    Only the query's terms are read (the written index is sorted by term, so others are skipped). Words of a phrase meet at the
+    position where the phrase starts. A condition that a target can meet without any of its words (a negation) needs targets, all rows
+    with their keys and tags; for others the index is enough. A condition on columns (Where) can't be met from an index.
+    """
+    if has_where(tree):
+        raise ValueError("a condition on columns can't be met from postings")
+    found = list(dict.fromkeys(leaves(tree)))
+    unseen = met(tree, lambda _: False)
+    if unseen and targets is None:
+        raise ValueError("this condition is met by targets without its words: give targets")
+    asked = [(i, k, j, t, len(f), x.prefix and j == len(f) - 1) for i, x in enumerate(found) for k, f in enumerate(x.forms) for j, t in enumerate(f)]
+    term = F.col("term")
+    same = [term.startswith(t) if prefix else term == t for *_, t, _, prefix in asked]
+    exact = sorted({t for *_, t, _, prefix in asked if not prefix})
+    some = reduce(lambda a, b: a | b, [c for c, a in zip(same, asked, strict=True) if a[5]], term.isin(exact))
+    fields = F.col("field") == "title" if titles_only else F.col("field").isin("title", "content")
+    parts = [F.when(c, F.struct(F.lit(i).alias("leaf"), F.lit(k).alias("form"), F.lit(j).alias("place"), F.lit(n).alias("size"))) for c, (i, k, j, _, n, _) in zip(same, asked, strict=True)]
+    p = postings.where(some & (fields | F.col("field").startswith("identifier "))).select(*KEY, "field", "tf", "positions", F.explode(F.array_compact(F.array(*parts))).alias("a"))
+    hit = p.where("a.size = 1").select(*KEY, "field", "a.leaf", "tf")
+    if any(a[4] > 1 for a in asked):
+        starts = p.where("a.size > 1").select(*KEY, "field", "a.leaf", "a.form", "a.size", F.explode(F.transform("positions", lambda at: at - F.col("a.place"))).alias("start"))
+        whole = starts.groupBy(*KEY, "field", "leaf", "form", "size", "start").agg(F.count("*").alias("n")).where("n = size")
+        hit = hit.unionByName(whole.select(*KEY, "field", "leaf", F.lit(1).cast("long").alias("tf")))
     at = {x: (F.col(f"_title_{i}"), F.col(f"_content_{i}")) for i, x in enumerate(found)}
-    score = reduce(lambda a, b: a + b, [at[x][0] * TITLE_WEIGHT + F.least(at[x][1], F.lit(CONTENT_CAP)) for x in dict.fromkeys(positive_leaves(tree))], F.lit(0))
-    return df.where(holds(tree, at)).select(*KEY, score.cast("long").alias("score"))
+    flags = [F.sum(F.when((F.col("leaf") == i) & (F.col("field") == c), F.col("tf")).otherwise(0)).alias(f"_{c}_{i}") for i in range(len(found)) for c in ("title", "content")]
+    named = F.collect_set(F.when(F.col("field").startswith("identifier "), F.struct("field", "leaf"))).alias("_named")
+    df = hit.groupBy(*KEY).agg(*flags, named)
+    if unseen:
+        df = targets.select(*KEY, identifier_match(tree).alias("_by_tag")).join(df, KEY, "left").fillna(0, [f"_{c}_{i}" for i in range(len(found)) for c in ("title", "content")])
+        by_tag = F.col("_by_tag")
+    else:
+        by_tag = F.exists(F.array_distinct(F.transform("_named", lambda t: t["field"])), lambda name: _meets_leaves(tree, found, name))
+    of = [at[x][0] if titles_only else at[x][0] * TITLE_WEIGHT + F.least(at[x][1], F.lit(CONTENT_CAP)) for x in dict.fromkeys(positive_leaves(tree))]
+    score = reduce(lambda a, b: a + b, of, F.lit(0)) + by_tag.cast("int")
+    return df.where(holds(tree, at, titles_only) | by_tag).select(*KEY, score.cast("long").alias("score"))
 
 
-def _match_phrases(postings: DataFrame, tree: object, found: list[Word]) -> DataFrame:
-    """With phrases: positions less a word's place in its phrase meet where the phrase starts."""
-    rows = [(i, k, j, t, len(f)) for i, x in enumerate(found) for k, f in enumerate(x.forms) for j, t in enumerate(f)]
-    asked = postings.sparkSession.createDataFrame(rows, "leaf int, form int, place int, term string, size int")
-    p = postings.where(F.col("term").isin([r[3] for r in rows]) & F.col("field").isin("title", "content"))
-    starts = p.join(F.broadcast(asked), "term").select(*KEY, "field", "leaf", "form", "size", F.explode(F.transform("positions", lambda x: x - F.col("place"))).alias("start"))
-    whole = starts.groupBy(*KEY, "field", "leaf", "form", "size", "start").agg(F.count("*").alias("n")).where("n = size")
-    flags = [F.count_if((F.col("leaf") == i) & (F.col("field") == c)).alias(f"_{c}_{i}") for i in range(len(found)) for c in ("title", "content")]
-    return _scored(whole.groupBy(*KEY).agg(*flags), tree, found)
+def _meets_leaves(tree: object, found: list[Word], name: Column) -> Column:
+    """Whether one identifier, of those in _named, holds words that meet the condition."""
+    if isinstance(tree, Word):
+        return F.array_contains(F.col("_named"), F.struct(name.alias("field"), F.lit(found.index(tree)).alias("leaf")))
+    if isinstance(tree, Not):
+        return ~_meets_leaves(tree.part, found, name)
+    return reduce((lambda a, b: a & b) if isinstance(tree, All) else (lambda a, b: a | b), [_meets_leaves(p, found, name) for p in tree.parts])
 
 
 def sort_columns(request: Request) -> list[Column]:
@@ -279,25 +330,46 @@ def page_offset(number: int, limit: int = 10) -> int:
 
 
 def query_words(tree: object) -> list[str]:
-    return sorted({" ".join(f) for x in positive_leaves(tree) for f in x.forms if f}, key=lambda w: (-len(w), w)) if tree is not None else []
+    """What to mark: the condition's words and phrases, the longest first; the start of a word ends in *."""
+    return sorted({" ".join(f) + "*" * x.prefix for x in positive_leaves(tree) for f in x.forms if f}, key=lambda w: (-len(w), w)) if tree is not None else []
+
+
+def marking(words: list[str]) -> str:
+    """A pattern, for Java and Python alike, of the words as they stand in a text.
+
+    Pairs of CJK characters are put together to the run they come from, and have no word boundaries; tokens of a phrase have
+    anything but letters and digits between them, or nothing where their kinds differ.
+    """
+    bound, cjk = r"[\p{L}\p{N}]", regex.compile(rf"[{PLAIN_CJK}]+")
+    out = []
+    for w in words:
+        runs: list[str] = []
+        for token in w.rstrip("*").split(" "):
+            joined = runs and len(token) == 2 and cjk.fullmatch(token) and cjk.fullmatch(runs[-1]) and runs[-1][-1] == token[0]
+            runs[-1:] = [runs[-1] + token[1]] if joined else [*runs[-1:], token]
+        before = "" if cjk.fullmatch(runs[0]) else f"(?<!{bound})"
+        after = "" if w.endswith("*") or cjk.fullmatch(runs[-1]) else f"(?!{bound})"
+        whole = regex.escape(runs[0])
+        for last, own in zip(runs, runs[1:], strict=False):
+            touch = last[-1].isalpha() != own[0].isalpha() or bool(cjk.match(last[-1])) != bool(cjk.match(own[0]))
+            whole += r"[^\p{L}\p{N}]" + "+*"[touch] + regex.escape(own)
+        out.append(before + whole + after)
+    return "(" + "|".join(out) + ")"
 
 
 def highlight(x: Column | str, words: list[str]) -> Column:
     """Escaped text with every word of the query in <span class="keyword">."""
     if not words:
         return escape_html(x)
-    pattern = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(r"\W+".join(re.escape(p) for p in w.split(" ")) for w in words) + r")(?![\p{L}\p{N}])"
-    marked = F.regexp_replace(F.translate(x, "\x01\x02", ""), pattern, "\x01$1\x02")  # in the text itself, then escaped
+    marked = F.regexp_replace(F.translate(x, "\x01\x02", ""), "(?iu)" + marking(words), "\x01$1\x02")  # in the text itself, then escaped
     return F.replace(F.replace(escape_html(marked), F.lit("\x01"), F.lit('<span class="keyword">')), F.lit("\x02"), F.lit("</span>"))
 
 
 def snippets_of(text: str | None, words: list[str], size: int = 200, most: int = 3) -> list[str]:
     """Up to so many fragments of size bytes around hits, one after another, escaped and highlighted."""
-    import html
-
     if not text or not words:
         return []
-    pattern = re.compile(r"(?i)(?<!\w)(" + "|".join(r"\W+".join(map(re.escape, w.split(" "))) for w in words) + r")(?!\w)")
+    pattern = regex.compile("(?i)" + marking(words))
     out, at = [], 0
     for m in pattern.finditer(text):
         if len(out) == most:
@@ -359,31 +431,40 @@ class Result:
     tags: DataFrame | None
 
 
-def find(corpus: DataFrame, request: Request, dims: Dims, expansions: DataFrame | None = None) -> DataFrame:
-    """All hits before the choice of types, with their scores (a constant 1 for the filter, 1 more with types chosen)."""
+def condition(request: Request, expansions: DataFrame | None = None) -> object:
+    """A request's query as a tree, its synonyms in place."""
+    tree = parse(request.query, request.nfkc) if isinstance(request.query, str) else request.query
+    return tree if tree is None or expansions is None else expand_query(tree, expansions)
+
+
+def find(corpus: DataFrame, request: Request, dims: Dims, expansions: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """All hits before the choice of types, with their scores (a constant 1 for the filter, 1 more with types chosen).
+
+    With postings (of the same corpus, built with normalized=not request.nfkc) no text is read; a condition on columns still scans.
+    """
     seen = visible(corpus, request, dims)
-    tree = parse(request.query) if isinstance(request.query, str) else request.query
-    if tree is not None and expansions is not None:
-        tree = expand_query(tree, expansions)
-    hits = seen.withColumn("score", F.lit(0).cast("long")) if tree is None else match(seen, tree, request.titles_only)
+    tree = condition(request, expansions)
+    if tree is None:
+        hits = seen.withColumn("score", F.lit(0).cast("long"))
+    elif postings is not None and not has_where(tree):
+        hits = seen.join(match_postings(postings, tree, request.titles_only, seen), KEY)
+    else:
+        hits = match(seen, tree, request.titles_only, not request.nfkc)
     return hits.withColumn("score", F.col("score") + 1 + int(bool(request.types)))
 
 
-def search(corpus: DataFrame, request: Request, dims: Dims, tag_dim: DataFrame | None = None, expansions: DataFrame | None = None, keep: bool = True) -> Result:
+def search(corpus: DataFrame, request: Request, dims: Dims, tag_dim: DataFrame | None = None, expansions: DataFrame | None = None, keep: bool = True, postings: DataFrame | None = None) -> Result:
     """A whole search: the hit set is kept once and feeds the page, the counts and both drilldowns.
 
     Texts take no part in sorting: keys and scores are ranked and cut, then joined back to the corpus and highlighted.
     """
-    narrow = find(corpus, request, dims, expansions).select(*KEY, "container_type", "last_modified_at", "registered_at", "tags", "score")
+    narrow = find(corpus, request, dims, expansions, postings).select(*KEY, "container_type", "last_modified_at", "registered_at", "tags", "score")
     if keep:
         narrow = narrow.persist()
     one = request.project_id is not None
     chosen = select_types(narrow, request.types, one)
     top = page(chosen if request.has_condition() else chosen.limit(0), request)
-    tree = parse(request.query) if isinstance(request.query, str) else request.query
-    if tree is not None and expansions is not None:
-        tree = expand_query(tree, expansions)
-    words = query_words(tree)
+    words = query_words(condition(request, expansions))
     rows = corpus.drop("last_modified_at", "registered_at", "tags", "container_type").join(F.broadcast(top) if request.limit >= 0 else top, KEY)
     shown = snippets(rows, words).withColumn("highlighted", highlight("title", words)).orderBy(*sort_columns(request))
     return Result(shown, hit_counts(narrow, request.types, one), type_drilldown(narrow), None if tag_dim is None else tag_drilldown(chosen, tag_dim))

@@ -48,6 +48,7 @@ class Request:
     descending: bool = True
     offset: int = 0
     limit: int = 10
+    nfkc: bool = False  # words meet after NFKC, in query and texts
 
     def has_condition(self) -> bool:
         return bool(self.query) or bool(self.tags) or self.open_issues or bool(self.types)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from lodestack.operators import exports, logs, search, similar, sync, synonyms,
 from lodestack.operators.search import All, Not, Some, word
 from lodestack.operators.visibility import Dims, Request
 from lodestack.sources import sinks
+from lodestack.sources.folders import shared_dir
 from lodestack.plans.sources import DOCUMENTS, ISSUES, JOURNALS, LOG, PROJECTS, TRACKER, action_log, documents, issues, journals, projects, statuses, t, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,12 +119,21 @@ def fts_postings_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return search.match_postings(search.build_postings(shown), search.parse("of-the")).select("source_id", "score")
 
 
+@query(found(f"NOT {has('and')} OR ({PHRASE.format('tt')} + {PHRASE.format('ct')} > 0)", f"{PHRASE.format('tt')} * 100 + least({PHRASE.format('ct')}, 5)"))
+def fts_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A phrase or the lack of a word, from an index that was written sorted by term."""
+    shown, path = visibility.hide_private(documents(spark, sf)), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    search.write_postings(shown, path)
+    tree = Some((Not(word("and")), word("of-the")))
+    return search.find(shown, Request(tree), Dims(), postings=search.read_postings(spark, path)).select("source_id", "score")
+
+
 @query(
     f"""WITH {DOCUMENTS}, p AS (SELECT source_id, unnest(tt) AS term, 'title' AS field FROM tok UNION ALL SELECT source_id, unnest(ct), 'content' FROM tok)
 SELECT term, field, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT source_id, term, field, count(*) AS tf FROM p GROUP BY ALL) GROUP BY ALL"""
 )
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    p = search.build_postings(visibility.hide_private(documents(spark, sf))).where("field <> 'tag'")
+    p = search.build_postings(visibility.hide_private(documents(spark, sf))).where("field IN ('title', 'content')")
     return p.groupBy("term", "field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tf"))
 
 
@@ -143,14 +154,16 @@ def browse(spark: SparkSession, sf: str) -> DataFrame:
     return hits(spark, sf, Request(tags=[("label", "de")], types=["documents"]))
 
 
+ESCAPED = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')"""
+THE = r"(^|[^\p{L}\p{N}\x01\x02])([tT][hH][eE])($|[^\p{L}\p{N}\x01\x02])"  # twice, as neighbours share a separator
+
+
 @query(
-    rf"""WITH {DOCUMENTS} SELECT source_id, regexp_replace(replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'),
-'(^|[^a-zA-Z0-9\x{{80}}-\x{{FFFF}}])([tT][hH][eE])($|[^a-zA-Z0-9\x{{80}}-\x{{FFFF}}])', '\1<span class="keyword">\2</span>\3', 'g') AS title FROM tok WHERE {count('tt', 'the')} = 1"""
+    f"""WITH {DOCUMENTS} SELECT source_id, replace(replace({ESCAPED.format(f"regexp_replace(regexp_replace(title, '{THE}', chr(92) || '1' || chr(1) || chr(92) || '2' || chr(2) || chr(92) || '3', 'g'), '{THE}', chr(92) || '1' || chr(1) || chr(92) || '2' || chr(2) || chr(92) || '3', 'g')")},
+  chr(1), '<span class="keyword">'), chr(2), '</span>') AS title FROM tok"""
 )
 def highlight(spark: SparkSession, sf: str) -> DataFrame:
-    shown = visibility.hide_private(documents(spark, sf))
-    once = search.with_tokens(shown).where(search.occurrences(F.col("_title_tokens"), word("the")) == 1)
-    return once.select("source_id", search.highlight("title", ["the"]).alias("title"))
+    return visibility.hide_private(documents(spark, sf)).select("source_id", search.highlight("title", ["the"]).alias("title"))
 
 
 @query()

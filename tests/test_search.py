@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pytest
+
 
 from lodestack.operators import search as s
 from lodestack.operators import synonyms, visibility
@@ -61,6 +63,47 @@ def test_conditions(spark):
         assert {r.source_id: r.score for r in s.match_postings(p, q).collect()} == plain
 
 
+def test_written_postings_find_what_a_scan_finds(spark, tmp_path):
+    tagged = {"tags": [("identifier", "red-shop"), ("tracker", "1"), ("identifier", "blue fish")]}
+    df = corpus(
+        spark, (1, "Issue", "red fish red fish", "green"), (2, "Issue", "blue", "fish red"), (3, "News", "greenhouse", None), (4, "Issue", None, None), (5, "Project", "Shop", "none", tagged),
+        (6, "Issue", "m² and 東京都庁", "red fishes " * 9),
+    )
+    s.write_postings(df, str(tmp_path / "p"))
+    p = s.read_postings(spark, str(tmp_path / "p"))
+    fish = s.parse("red-fish")
+    trees = [
+        Not(word("red")), Some((word("green"), Not(word("red")))), Some((fish, word("gre", prefix=True))), word("red-fi", prefix=True), All((word("blue"), word("shop"))), word("red"),
+        All((word("fish"), Not(word("red")))), s.parse("m²"), s.parse("京都"), Some((word("nothing"), word("shop"))), All((word("fish"), Not(fish))), word("red-sh", prefix=True), s.Word((("green",), ("red", "fish"))),
+    ]
+    for tree in trees:
+        for titles in (False, True):
+            request = Request(tree, titles_only=titles)
+            assert scores(s.find(df, request, Dims(), postings=p)) == scores(s.find(df, request, Dims())), tree
+    plan = s.match_postings(p, All((word("red"), word("fish"))))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [fish,red])" in plan
+    with pytest.raises(ValueError):
+        s.match_postings(p, Not(word("red")))
+    with pytest.raises(ValueError):
+        s.match_postings(p, Where("source_id = 1"))
+
+
+def test_full_width_words_meet_after_nfkc(spark):
+    df = corpus(spark, (1, "Issue", "ＡＢＣ ㌔", None), (2, "Issue", "abc", None), (3, "Issue", "abd", None))
+    wide = s.build_postings(df, normalized=False)
+    for query in ("abc", "ＡＢＣ"):
+        assert sorted(found(df, query, nfkc=True)) == [1, 2] == sorted(scores(s.find(df, Request(query, nfkc=True), Dims(), postings=wide)))
+    assert sorted(found(df, "abc")) == [2] and sorted(found(df, "キロ", nfkc=True)) == [1]
+
+
+def test_marks_of_cjk_runs_and_of_starts_of_words(spark):
+    df = spark.createDataFrame([("東京都庁へ greenhouse ofthe of the v2",)], "title string")
+    words = s.query_words(Some((s.parse("京都庁"), word("gre", prefix=True), s.parse("of-the"), s.parse("v2"))))
+    k = '<span class="keyword">'
+    want = f"東{k}京都庁</span>へ {k}gre</span>enhouse ofthe {k}of the</span> {k}v2</span>"
+    assert df.select(s.highlight("title", words)).first()[0] == want and s.snippets_of(df.first()[0], words) == [want]
+
+
 def test_synonyms(spark):
     df = corpus(spark, (1, "Issue", "press", None), (2, "Issue", "print", None))
     pairs = lambda *x: spark.createDataFrame(list(x), "source string, destination string")

@@ -57,6 +57,8 @@ def test_sentences_and_words(spark):
     assert t.sentences_of("一つ。二つ。\nThree.\n\n四つ。") == ["一つ。", "二つ。", "四つ。"]
     assert t.sentences_of("Mr. 田中は v1.2 を使う。") == ["Mr. 田中は v1.2 を使う。"]
     assert t.sentences_of("一行目\n二行目。") == ["一行目 二行目。"] and t.sentences_of("前。\n(1) 次。") == ["前。", "(1) 次。"]
+    assert t.sentences_of("終わり.次の文。") == ["次の文。"] and t.sentences_of("前\n１ 次。\n（① 後。\n\t続き。") == ["１ 次。", "（① 後。", "続き。"]
+    assert t.sentences_of("(1). 次。") == ["(1). 次。"] and t.sentences_of("tar.gz を..使う。") == ["tar.gz を..使う。"]
     assert t.sentences_of("あ" * 700 + "。") == [] and t.sentences_of(None) == []
     assert one(spark, "x" * 300, t.truncate_words) == "x" * 252 + "..." and one(spark, "<", t.truncate_words) == "&lt;"
     df = spark.createDataFrame([(1, "一つ。二つ。")], "id long, content string")
