@@ -4,6 +4,10 @@ At that similarity two 64-bit SimHashes differ in some ten bits, which no small
 links stays linked, and further candidates come from MinHash bands: texts whose BAND_ROWS minima agree in one of BANDS
 bands meet in a bucket. A pair of similarity s meets with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.9996 at 0.8.
 The exact similarity of the shingle sets then decides, so bands can only miss a pair and never add one.
+
+A bucket's texts meet with a sketch of their sets: a shingle flips one of SKETCH_BITS bits, so two sketches differ in no more bits
+than the sets do in shingles. Pairs whose sketches differ in more than the similarity allows never leave the join. That loses no pair;
+it passes more of them the longer the texts are.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from lodestack.llm.simhash import fingerprint, links
 SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
 STAR_ROUNDS = 3
+SKETCH_BITS = 512
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -40,8 +46,14 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return key
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """For each of SKETCH_BITS bits whether an odd number of a set's shingles fall on it."""
+    place = (mixed(own) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def prints_and_bands(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, t, n, bands): SimHash, hash of the text, number of shingles, buckets; none for texts without words."""
+    """(doc_id, fp, t, n, sketch, bands): SimHash, hash of the text, number of shingles, sketch, buckets; none for texts without words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 2 << 20):
@@ -49,12 +61,12 @@ def prints_and_bands(docs: DataFrame) -> DataFrame:
             sets = [shingles(hashes[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
             fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
             bands = [band_keys(s).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "fp", "t", "n", "bands"]
-            )
+            sizes, sketches = pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), pa.array(fps), batch.column(1), sizes, sketches, pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "t", "n", "sketch", "bands"])
 
     rows = named(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("t"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp long, t long, n long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, fp long, t long, n long, sketch array<long>, bands array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -75,7 +87,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def busy(rows: DataFrame) -> DataFrame:
-    """The rows (key, t, n, root) of buckets that hold more than one root."""
+    """The rows (key, t, n, root, ...) of buckets that hold more than one root."""
     keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     return written(rows.join(keys, "key", "left_semi"))
 
@@ -86,28 +98,36 @@ def joined(rows: DataFrame, part: DataFrame) -> DataFrame:
     return rows.join(small(part), "root", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
 
 
+def sketched(bucket: DataFrame, rows: DataFrame) -> DataFrame:
+    """bucket with the sketches of its texts, a column for each 64 bits."""
+    sketches = rows.select("t", "sketch").join(small(bucket.select("t").distinct()), "t", "left_semi").dropDuplicates(["t"])
+    return written(bucket.join(sketches.select("t", *[F.col("sketch")[i].alias(s) for i, s in enumerate(SKETCH)]), "t"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) as simhash.near_duplicates gives them, linked also by the similarity of shingle sets.
 
     A bucket's texts are first held against one of them, another one each time for STAR_ROUNDS rounds, which joins large groups of copies
-    at a cost in proportion to their size; only pairs that are still in different components are then all compared, so no pair
-    of a bucket is left out.
+    at a cost in proportion to their size. Those that are still in different components are then all held against each other by their
+    sketches, so no pair of a bucket is left out, and only pairs that may reach the similarity become rows.
     """
     rows = written(prints_and_bands(docs))
     groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     part = connected_components(links(groups))
     known = written(joined(groups.withColumn("root", F.col("fp")), part))
     spread = rows.where("n > 0").join(known.select("fp", "root"), "fp").select(F.explode("bands").alias("key"), "t", "n", "root").distinct()
-    near = f"least(n, n_b) >= {LEAST_SIMILARITY} * greatest(n, n_b)"
-    bucket = busy(spread)
+    apart_bits = " + ".join(f"bit_count({s} ^ {s}_b)" for s in SKETCH)
+    near = f"least(n, n_b) >= {LEAST_SIMILARITY} * greatest(n, n_b) and {apart_bits} <= (n + n_b) * {(1 - LEAST_SIMILARITY) / (1 + LEAST_SIMILARITY) + 1e-9}D"
+    bucket = sketched(busy(spread), rows)
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
-            chosen = F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("mark"), "root", "t", "n")).alias("o")
-            other = bucket.groupBy("key").agg(chosen).select("key", F.col("o.root").alias("rb"), F.col("o.t").alias("b"), F.col("o.n").alias("n_b"))
+            chosen = F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("mark"), "root", "t", "n", *SKETCH)).alias("o")
+            other = bucket.groupBy("key").agg(chosen).select("key", "o.*")
             apart = "root <> rb"
         else:
-            other = bucket.select("key", F.col("root").alias("rb"), F.col("t").alias("b"), F.col("n").alias("n_b"))
+            other = bucket
             apart = "root > rb"
+        other = other.select("key", F.col("root").alias("rb"), F.col("t").alias("b"), F.col("n").alias("n_b"), *[F.col(s).alias(f"{s}_b") for s in SKETCH])
         pairs = written(bucket.join(other, "key").where(f"{apart} and {near}").select(F.col("t").alias("a"), "b", F.col("root").alias("ra"), "rb").distinct())
         edges = written(verified(docs, pairs))
         if not edges.isEmpty():

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from test_simhash import brute_components, brute_fp
 
 from lodestack.llm import copies
@@ -44,3 +45,30 @@ def test_edited_copies_beyond_the_ball_go(spark):
     assert {r.doc_id: r.component_id for r in copies.near_copies(frame).collect()} == want
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()}
     assert kept == {i for i, c in want.items() if i == c} and len(kept) < 90
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 40, 300, 5000):
+        for edits in (0, 1, 3, 30):
+            a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+            b = np.unique(np.concatenate([a[edits:], rng.integers(0, 1 << 63, edits, np.uint64)]))
+            bits = int(np.bitwise_count((copies.sketch(a) ^ copies.sketch(b)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(a, b)) and (edits or bits == 0)
+
+
+def test_a_large_group_of_edited_copies(spark):
+    """Siblings around the similarity, nulls, wordless and repeated texts: components are those of all pairs, and few pairs leave the joins."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for _ in range(150):
+        words = list(base)
+        for p in rng.sample(range(150), rng.randint(2, 8)):
+            words[p] = f"e{rng.randint(0, 10**6)}"
+        docs.append((len(docs), " ".join(words)))
+    docs += [(200, docs[0][1]), (201, ""), (202, " ")]
+    frame = spark.createDataFrame([*docs, (203, None)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in copies.near_copies(frame).collect()}
+    want = brute([(i, x) for i, x in docs if x.strip()])
+    assert {i: got[i] for i in want} == want and got[201] == got[202] == got[203] == 201
