@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
-from pyspark.sql.window import Window
 
 from lodestack.functions.text import clean_text, extraction_state, join_parts, tag, truncate_bytes
 from lodestack.operators.corpus import KEY, TAG
@@ -75,9 +74,11 @@ def latest_by_key(changes: DataFrame, keys: list[str], order: list[Column]) -> D
 
 
 def upsert(corpus: DataFrame, changes: DataFrame, order: str = "last_modified_at") -> DataFrame:
-    """The corpus with each changed row in place of the one with its key; of several changes of a key the latest counts."""
-    newest = Window.partitionBy(*KEY).orderBy(F.desc(order))
-    last = changes.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """The corpus with each changed row in place of the one with its key; of several changes of a key the latest counts.
+
+    Null times come before all others; of equal times the row with the largest hash counts, whatever the order of changes.
+    """
+    last = latest_by_key(changes.select(*dict.fromkeys([*corpus.columns, order])), KEY, [F.col(order), F.xxhash64(*corpus.columns)])
     return corpus.join(last.select(*KEY), KEY, "left_anti").select(*corpus.columns).unionByName(last.select(*corpus.columns))
 
 

@@ -126,3 +126,13 @@ def test_exports(spark):
     assert {r.source_type: r.n_chars for r in exports.char_counts(df).collect()} == {"Issue": 5, "News": 2, None: 7}
     late = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, "b")], "k long, seq long, v string")
     assert sync.latest_by_key(late, ["k"], [F.col("seq")]).first().v == "c"
+
+
+def test_upsert_of_equal_times(spark):
+    row = lambda i, title, at: (i, "Issue", 1, None, None, None, False, at, at, title, "", [])
+    one, two = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    corpus = spark.createDataFrame([row(1, "old", one), row(2, "kept", one)], CORPUS)
+    changes = [row(1, "a", two), row(1, "b", two), row(1, "c", one), row(3, "d", None), row(3, "e", one)]
+    titles = [{r.source_id: r.title for r in sync.upsert(corpus, spark.createDataFrame(some, CORPUS).repartition(n)).collect()} for some, n in ((changes, 1), (changes[::-1], 4))]
+    assert titles[0] == titles[1] and titles[0][1] in ("a", "b") and titles[0][2] == "kept" and titles[0][3] == "e"
+    assert sync.upsert(corpus, corpus.limit(0)).count() == 2
