@@ -40,14 +40,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 GAP = r"(?:\s*(?:no|nr|number|num|code)\b\.?)?[\s:#=.]{1,4}"
+#: Letters are spelled out in both cases: when case is ignored, [a-z] also means U+0130, U+0131, U+017F and U+212A.
 CUED = {
-    "iban": re.compile(r"[\s:=.]{1,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.I),
+    "iban": re.compile(r"[\s:=.]{1,4}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})"),
     "account": re.compile(GAP + r"([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I),
     "ssn": re.compile(GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])", re.I),
     "tel": re.compile(GAP + r"(\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14})(?![0-9])", re.I),
 }
 LOGIN = re.compile(r"://[^\s/@:?#<>\"']+(?::[^\s/@?#<>\"']*)?@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s<>\"']*")
-OBSCURED = re.compile(r"\s?[\[(]at[\])]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[(]dot[\])]\s?)[A-Za-z0-9-]+)+", re.I)
+OBSCURED = re.compile(r"\s?[\[(][Aa][Tt][\])]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[(][Dd][Oo][Tt][\])]\s?)[A-Za-z0-9-]+)+")
 #: What the automaton looks for besides single characters, and the parser of each.
 CUES = {
     "iban": "iban", "account": "account", "acct": "account", "konto": "account", "kontonummer": "account", "cuenta": "account",

@@ -84,3 +84,13 @@ def test_long_numbers_and_cues_in_any_case():
     assert (1, 0, 5008) in pii.find("0" * 5000 + "1.1.1.25", anchors)
     for text in ("Social Security 123-45-6789", "İ SOCIAL security: 123-45-6789", "sOcIaL sEcUrItY 123-45-6789"):
         assert [text[a:b] for k, a, b in pii.find(text, anchors) if pii.KINDS[k] == "ssn"] == ["123-45-6789"]
+
+
+def test_letters_beyond_ascii_after_cues(spark):
+    odd = [chr(c) for c in range(128, 0x10000) if chr(c).lower() != chr(c).upper() and not 0xD800 <= c < 0xE000]
+    for cue, number in (("IBAN", "DE8937040044053201{}000"), ("IBAN", "D{}89370400440532013000"), ("konto", "1234{}5678"), ("tel", "030 12{}34567"), ("ssn", "123-45-67{}89"), ("https://a{}:b@c", ".de"), ("bob [at] ex{}", "ample.com")):
+        for c in odd:
+            pii.find(f"{cue} {number}".replace("{}", c), ANCHORS)
+    assert pii.find("bob [at] ex\u212aample [dot] com", ANCHORS) == []
+    docs = spark.createDataFrame([(i, f"IBAN DE8937040044053201{c}000", 0) for i, c in enumerate("\u0130\u0131\u017f\u212a")], "doc_id long, text string, n_chars long")
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == [r.text for r in docs.orderBy("doc_id").collect()]
