@@ -26,8 +26,8 @@ UNDETERMINED = "und"
 TRAIN_ROWS = 4000
 #: Where that gives a label fewer than this share of TRAIN_ROWS (200 rows), its own rows are added up to about so many.
 LABEL_SHARE = 1 / 20
-#: A label becomes a language with so many labelled rows in the whole table; in small tables this share of them is enough.
-LEAST_ROWS, LEAST_SHARE = 16, 0.004
+#: Labels that become languages: all of them, and beyond so many (256 KB of memory each) those with the most rows.
+MOST_LABELS = 1000
 CELLS, SMOOTHING = 1 << 16, 0.5
 #: Neighbouring trigrams share letters: their likelihood counts by this power.
 TEMPER = 1 / 3
@@ -70,19 +70,18 @@ class TextModel:
 
 
 def train(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
-    """Fits the text model on rows (key, text, label) that have both; without any there are no languages."""
+    """Fits the text model on rows (key, text, label) that have both; without any there are no languages.
+
+    A label of however few rows is a language; smoothing keeps its likelihoods near those of no knowledge."""
     rows = rows.where("text is not null and label is not null")
     mark = F.xxhash64("key")
     last = rows.select(mark.alias("mark")).orderBy("mark").limit(train_rows).agg(F.max("mark")).first()[0]
     if last is None:
         return TextModel([], np.full((1, CELLS), -np.log(CELLS), np.float32))
-    total = rows.count()
-    labels = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(mark).alias("low")).where(F.col("n") >= min(LEAST_ROWS, LEAST_SHARE * total))
+    labels = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(mark).alias("low")).orderBy(F.desc("n"), "label").limit(MOST_LABELS)
     # Hashes are spread evenly over 64 bits, so a share of their range holds that share of a label's rows.
     limits = {r["label"]: max(last, r["low"], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, LABEL_SHARE * train_rows / r["n"])))) for r in labels.collect()}  # a row a language
     languages = sorted(limits)
-    if not languages:
-        return TextModel([], np.full((1, CELLS), -np.log(CELLS), np.float32))
     bounds = F.broadcast(rows.sparkSession.createDataFrame(sorted(limits.items()), "label string, most long"))
     sample = rows.join(bounds, "label").where(mark <= F.col("most"))
 
@@ -201,10 +200,12 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are rejected."""
+    """docs without the rows that are rejected. A row that declares a language which the model doesn't know stays."""
 
     def gone(rows: DataFrame, number: str) -> DataFrame:
-        judged = identify(document_rows(rows, number), train(labelled(docs)))
+        model = train(labelled(docs))
+        evidence = document_rows(rows, number)
+        judged = identify(evidence.where(F.lower("declared").isin(model.languages) | F.col("declared").isNull() | F.trim(F.coalesce("text", F.lit(""))).eqNullSafe("")), model)
         return judged.where("not accepted").select(F.col("key").alias(number))
 
     return without_rows(docs, gone)

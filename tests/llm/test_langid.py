@@ -58,5 +58,17 @@ def test_rare_labels_become_languages(spark):
     words = ["".join(chr(rng.randrange(0x3B1, 0x3C9)) for _ in range(rng.randrange(2, 9))) for _ in range(300)]
     greek = spark.createDataFrame([(-1 - i, " ".join(rng.choices(words, k=60)), "el", "src0") for i in range(30)], many.schema)
     docs = many.union(greek)
-    assert langid.train(langid.labelled(docs)).languages == ["de", "el", "en", "es", "fr"]
-    assert langid.keep_identified(docs).where("doc_id < 0").count() == 30
+    few = docs.where("doc_id >= -3")
+    for rows, n in ((docs, 30), (few, 3)):
+        model = langid.train(langid.labelled(rows))
+        assert model.languages == ["de", "el", "en", "es", "fr"]
+        assert langid.identify(langid.document_rows(rows), model).where("key < 0 and language = 'el'").count() == n
+        assert langid.keep_identified(rows).where("doc_id < 0").count() == n
+
+
+def test_labels_beyond_the_bound_stay(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LABELS", 1)
+    rows = [(i, "the and of the thing", "en", None) for i in range(3)] + [(9, "\u4e00\u4e8c\u4e09" * 40, "ja", None), (10, "", "ja", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert langid.train(langid.labelled(docs)).languages == ["en"]
+    assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [0, 1, 2, 9]
