@@ -9,6 +9,7 @@ from lodestack.llm.decontamination import op9_benchmark_decontamination
 from lodestack.llm.langid import language_id_pages, op3_language_id
 from lodestack.llm.lm import op2_subword_lattice_lm
 from lodestack.llm.packing import op5_best_fit_packing
+from lodestack.llm.pieces import op13_sentencepiece_offsets
 from lodestack.llm.secrets import op10_secret_markov
 from lodestack.llm.simhash import op7_simhash_near_dedup
 from lodestack.llm.tokens import op4_token_id_orc
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_bm25_block_max": op8_bm25_block_max,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_markov": op10_secret_markov,
+    "op13_sentencepiece_offsets": op13_sentencepiece_offsets,
 }
 
 #: DuckDB SQL of those that SQL can express.
