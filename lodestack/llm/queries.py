@@ -10,6 +10,7 @@ from lodestack.llm.langid import language_id_pages, op3_language_id
 from lodestack.llm.lm import op2_subword_lattice_lm
 from lodestack.llm.packing import op5_best_fit_packing
 from lodestack.llm.pieces import op13_sentencepiece_offsets
+from lodestack.llm.runs import op12_periodic_runs
 from lodestack.llm.secrets import op10_secret_markov
 from lodestack.llm.simhash import op7_simhash_near_dedup
 from lodestack.llm.tokens import op4_token_id_orc
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_bm25_block_max": op8_bm25_block_max,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_markov": op10_secret_markov,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_sentencepiece_offsets": op13_sentencepiece_offsets,
 }
 
