@@ -14,6 +14,7 @@ from lodestack.llm.runs import op12_periodic_runs
 from lodestack.llm.secrets import op10_secret_markov
 from lodestack.llm.simhash import op7_simhash_near_dedup
 from lodestack.llm.tokens import op4_token_id_orc
+from lodestack.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_pii_anchor_expansion": op1_pii_anchor_expansion,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_bm25_block_max": op8_bm25_block_max,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_markov": op10_secret_markov,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_sentencepiece_offsets": op13_sentencepiece_offsets,
 }
