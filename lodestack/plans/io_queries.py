@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import split_sentences
 from lodestack.operators import corpus as c
 from lodestack.operators import logs, search, similar
 from lodestack.operators.visibility import Dims, Request
@@ -89,13 +88,20 @@ def write_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("source_id", "project_id", F.transform("tags", lambda s: F.concat_ws(":", s["type"], s["name"])).alias("tags"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM documents),
+r AS MATERIALIZED (SELECT len(lines) AS n, strlen(array_to_string(lines, chr(10))) + 1 AS b, row_number() OVER (ORDER BY doc_id) AS i FROM s WHERE len(lines) > 0),
+f AS (SELECT i, n, b, b AS fill, 0 AS bucket FROM r WHERE i = 1 UNION ALL
+SELECT r.i, r.n, r.b, CASE WHEN fill + r.b > 65536 THEN r.b ELSE fill + r.b END, CASE WHEN fill + r.b > 65536 THEN bucket + 1 ELSE bucket END FROM f JOIN r ON r.i = f.i + 1)
+SELECT bucket, CAST(sum(n) + count(*) - 1 AS BIGINT) AS lines, count(*) - 1 AS blank, CAST(sum(b) + count(*) - 1 AS BIGINT) AS bytes FROM f GROUP BY 1"""
+)
 def export_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of the exported files, by file."""
+    """Lines of the exported files, by file: documents' lines as sentences."""
     path = folder(spark)
-    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.replace("text", F.lit("."), F.lit("。")).alias("content"))
-    sinks.export_sentences(split_sentences(d), path, 1 << 20)
-    return spark.read.text(path).groupBy("bucket").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    lines = F.filter(F.split("text", "\n"), lambda s: s != "")
+    sinks.export_sentences(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), lines.alias("sentences")), path, 1 << 16)
+    out = spark.read.option("lineSep", "\n").schema("value string, bucket int").text(path)
+    return out.groupBy("bucket").agg(F.count("*").alias("lines"), F.count_if(F.col("value") == "").alias("blank"), F.sum(F.octet_length("value") + 1).alias("bytes"))
 
 
 @query(f"WITH {ISSUES} SELECT project_id AS project, count(*) AS issues FROM issues GROUP BY 1")

@@ -736,7 +736,12 @@ def sentence_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return exports.sentence_corpus(d)
 
 
-@query("SELECT doc_id AS id, CAST(floor((sum(strlen(text) + 2) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - 1) / 100000) AS BIGINT) AS bucket FROM documents WHERE text <> ''")
+@query(
+    """WITH RECURSIVE r AS MATERIALIZED (SELECT doc_id, strlen(text) + 1 AS b, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE text <> ''),
+f AS (SELECT i, doc_id, b AS fill, 0 AS bucket, true AS first FROM r WHERE i = 1 UNION ALL
+SELECT r.i, r.doc_id, CASE WHEN fill + b > 100000 THEN b ELSE fill + b END, CASE WHEN fill + b > 100000 THEN bucket + 1 ELSE bucket END, fill + b > 100000 FROM f JOIN r ON r.i = f.i + 1)
+SELECT doc_id AS id, CAST(bucket AS BIGINT) AS bucket, first FROM f"""
+)
 def sentence_buckets(spark: SparkSession, sf: str) -> DataFrame:
     records = t(spark, sf, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.array("text").alias("sentences"))
-    return sinks.sentence_buckets(records, 100_000).select("id", "bucket")
+    return sinks.sentence_buckets(records, 100_000).select("id", "bucket", "first")

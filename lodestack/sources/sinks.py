@@ -6,11 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestack.operators.corpus import CORPUS, event_title, event_type, event_url
 from lodestack.operators.search import highlight
-from lodestack.sources.folders import shared_dir
+from lodestack.sources.rolling import rolled
 
 
 def current(spark: SparkSession, folder: str) -> str | None:
@@ -46,26 +45,27 @@ def truncate_corpus(spark: SparkSession, folder: str) -> None:
 
 
 def sentence_buckets(records: DataFrame, max_bytes: int) -> DataFrame:
-    """records (id, sentences) with their text and the number of the file each goes to, in the order of ids.
+    """records (id, sentences, perhaps source_type) with their text, the number of the file each goes to, and whether it is the first there.
 
-    Ranges of ids are summed within partitions first; only a row for each of them is summed in one place.
+    Records come by id, then source type. A file takes records while their sentences, a line each, come to max_bytes at most; a larger
+    record has a file of its own. Records without sentences are left out.
     """
-    body = F.concat(F.array_join("sentences", "\n"), F.lit("\n"))
-    sized = records.where("size(sentences) > 0").select("id", body.alias("text"), (F.octet_length(body) + 1).cast("long").alias("bytes"))
-    path = f"{shared_dir(records.sparkSession)}/{uuid.uuid4().hex}"
-    sized.repartitionByRange("id").withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    dealt = records.sparkSession.read.parquet(path)
-    before = dealt.groupBy("_part").agg(F.sum("bytes").alias("_sum"))
-    before = before.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
-    running = F.sum("bytes").over(Window.partitionBy("_part").orderBy("id"))
-    df = dealt.join(F.broadcast(before), "_part").withColumn("_end", F.col("_before") + running)
-    return df.select("id", "text", "bytes", F.floor((F.col("_end") - 1) / max_bytes).alias("bucket"))
+    keys = [k for k in ("id", "source_type") if k in records.columns]
+    body = F.array_join("sentences", "\n")
+    sized = records.where("size(sentences) > 0").select(*keys, body.alias("text"), (F.octet_length(body) + 1).cast("long").alias("bytes"))
+    placed = rolled(sized.withColumn("_mark", F.xxhash64("text")), [*keys, "_mark"], F.col("bytes"), max_bytes)
+    return placed.select(*keys, "text", "bytes", F.col("_file").alias("bucket"), F.col("_first").alias("first"))
 
 
 def export_sentences(records: DataFrame, folder: str, max_bytes: int = 100 << 20) -> None:
-    """Writes records (id, sentences) as text files by size, a blank line between records."""
-    out = sentence_buckets(records, max_bytes)
-    out.repartition("bucket").sortWithinPartitions("bucket", "id").select("text", "bucket").write.partitionBy("bucket").text(folder)
+    """Writes records (id, sentences, perhaps source_type) as text files, a folder each, that roll over at max_bytes; a blank line between records.
+
+    As sentence_buckets() counts them: the blank lines are not part of a file's size.
+    """
+    keys = [k for k in ("id", "source_type") if k in records.columns]
+    out = sentence_buckets(records, max_bytes).withColumn("text", F.when(F.col("first"), F.col("text")).otherwise(F.concat(F.lit("\n"), "text")))
+    ordered = out.repartition("bucket").sortWithinPartitions("bucket", F.desc("first"), *keys, F.xxhash64(F.ltrim("text")))
+    ordered.select("text", "bucket").write.partitionBy("bucket").text(folder)
 
 
 def export_issue_histories(histories: DataFrame, folder: str) -> None:
