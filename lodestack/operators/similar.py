@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions.text import tokenize
+from lodestack.sources.folders import shared_dir
+
+#: Weights are whole numbers of 1 / UNIT.
+UNIT = 10_000
+#: Rounds of similar_pairs: terms of up to FIRST_ROUND issues, then up to ROUND_FACTOR times as many each.
+FIRST_ROUND, ROUND_FACTOR = 64, 8
+#: A term's issues are dealt to a key for each so many.
+BLOCK = 2_000
 
 
 def build_issue_contents(issues: DataFrame, journals: DataFrame, attachments: DataFrame) -> DataFrame:
@@ -41,41 +53,118 @@ def refresh_issue_contents(contents: DataFrame, issues: DataFrame, journals: Dat
     return contents.join(touched, "issue_id", "left_anti").unionByName(fresh.select(*contents.columns))
 
 
-def term_weights(contents: DataFrame, top_terms: int | None = None) -> DataFrame:
-    """(issue_id, project_id, term, w): tf times idf, for terms whose idf is over 0; the top_terms best of each issue."""
+@dataclass
+class Weights:
+    """Term weights of a set of contents, stored twice: by term for finding issues, by issue for looking into them.
+
+    A row (issue_id, project_id, term, w, df, rank) for every term of an issue with a weight over 0: w is tf times idf in units of
+    1 / UNIT, a whole number, so that sums are exact and don't depend on their order; df is how many issues hold the term; rank is
+    the term's place among its issue's, by weight, then term.
+    """
+
+    by_term: DataFrame
+    by_issue: DataFrame
+
+
+def term_weights(contents: DataFrame) -> DataFrame:
+    """The rows of Weights. Terms that all issues hold have no weight and no row; null contents count as empty."""
     tf = contents.select("issue_id", "project_id", F.explode(tokenize(F.lower("content"))).alias("term")).groupBy("issue_id", "project_id", "term").agg(F.count("*").alias("tf"))
     n = contents.select(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where("df < n").select("term", F.log(F.col("n") / F.col("df")).alias("idf"))
-    w = tf.join(df, "term").select("issue_id", "project_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    if top_terms is None:
-        return w
-    rank = F.row_number().over(Window.partitionBy("issue_id").orderBy(F.desc("w"), "term"))
-    return w.withColumn("_r", rank).where(F.col("_r") <= top_terms).drop("_r")
-
-
-def similar_issues(contents: DataFrame, issue_id: int, limit: int = 5, projects: DataFrame | None = None, top_terms: int = 30) -> DataFrame:
-    """(issue_id, score): other issues by the sum of tf-idf over the best terms of one issue, best first."""
-    w = term_weights(contents)
-    mine = w.where(F.col("issue_id") == issue_id).orderBy(F.desc("w"), "term").limit(top_terms).select("term", F.col("w").alias("own"))
-    hits = w.where(F.col("issue_id") != issue_id).join(F.broadcast(mine), "term")
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where("df < n").select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
+    w = tf.join(df, "term").select("issue_id", "project_id", "term", F.floor(F.col("tf") * F.col("idf") * UNIT + 0.5).cast("double").alias("w"), "df").where("w > 0")
+    return w.withColumn("rank", F.row_number().over(Window.partitionBy("issue_id").orderBy(F.desc("w"), "term")))
+
+
+def write_weights(contents: DataFrame, folder: str) -> None:
+    """Writes the weights of contents: sorted by term (a frequent term's issues in several files) and by issue, so that a search reads only its own."""
+    spark = contents.sparkSession
+    term_weights(contents).repartitionByRange("issue_id").sortWithinPartitions("issue_id", "rank").write.mode("overwrite").parquet(f"{folder}/issues")
+    by_issue = spark.read.parquet(f"{folder}/issues")
+    by_issue.repartitionByRange("term", "issue_id").sortWithinPartitions("term", "issue_id").write.mode("overwrite").parquet(f"{folder}/terms")
+
+
+def read_weights(spark: SparkSession, folder: str) -> Weights:
+    return Weights(spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/issues"))
+
+
+def weights_of(contents: DataFrame | Weights) -> Weights:
+    """Stored weights as they are; those of contents, written once to the shared folder."""
+    if isinstance(contents, Weights):
+        return contents
+    folder = f"{shared_dir(contents.sparkSession)}/{uuid.uuid4().hex}"
+    write_weights(contents, folder)
+    return read_weights(contents.sparkSession, folder)
+
+
+def similar_issues(contents: DataFrame | Weights, issue_id: int, limit: int = 5, projects: DataFrame | None = None, top_terms: int = 30) -> DataFrame:
+    """(issue_id, score): other issues by the sum of tf-idf over the best terms of one issue, best first.
+
+    Of stored weights only the rows of that issue and of its top_terms terms are read.
+    """
+    w = weights_of(contents)
+    mine = {r["term"]: r["w"] for r in w.by_issue.where((F.col("issue_id") == issue_id) & (F.col("rank") <= top_terms)).select("term", "w").collect()}  # top_terms rows
+    own = F.create_map(*[F.lit(x) for pair in mine.items() for x in pair])[F.col("term")] if mine else F.lit(0.0)
+    hits = w.by_term.where(F.col("term").isin(sorted(mine)) & (F.col("issue_id") != issue_id))
     if projects is not None:
         hits = hits.join(projects.select("project_id").distinct(), "project_id", "left_semi")
-    scored = hits.groupBy("issue_id").agg(F.round(F.sum(F.col("w") * F.col("own")), 6).alias("score"))
+    scored = hits.groupBy("issue_id").agg((F.sum(F.col("w") * own) / UNIT**2).alias("score"))
     return scored.orderBy(F.desc("score"), "issue_id").limit(limit)
 
 
-def similar_pairs(contents: DataFrame, limit: int = 5, most_df: int | None = None, top_terms: int = 30) -> DataFrame:
-    """(issue_id, other_id, score, rank): similar_issues() for every issue at once.
+def similar_pairs(contents: DataFrame | Weights, limit: int = 5, top_terms: int = 30, report: list[dict] | None = None) -> DataFrame:
+    """(issue_id, other_id, score, rank): similar_issues() for every issue at once, exactly.
 
-    Source terms are the best of each issue. Terms of more than most_df issues, if it is given, count for nothing (they carry
-    little and make the join grow with the square of their frequency).
+    An issue's terms are taken in the order of their frequency, in rounds. Rare terms bring other issues in; what the terms still to come can
+    add at most (own weight times the term's largest) bounds every issue that has not been met. As soon as the limit-th
+    best sum so far is above that, no unmet issue can be among the best: only those met that can still reach it are looked
+    into, by issue, and the frequent terms' pairs are never made. A frequent term's issues are dealt to several keys, so no key has
+    more than BLOCK squared of its pairs, about. report, if given, gets a row for each round: the greatest frequency, issues asked and pairs made.
     """
-    w = term_weights(contents)
-    if most_df is not None:
-        w = w.join(w.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= most_df).select("term"), "term", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("issue_id").orderBy(F.desc("w"), "term"))
-    source = w.withColumn("_r", rank).where(F.col("_r") <= top_terms).select("term", "issue_id", F.col("w").alias("own"))
-    other = w.select("term", F.col("issue_id").alias("other_id"), "w")
-    scored = source.join(other, "term").where("issue_id <> other_id").groupBy("issue_id", "other_id").agg(F.round(F.sum(F.col("w") * F.col("own")), 6).alias("score"))
-    best = F.row_number().over(Window.partitionBy("issue_id").orderBy(F.desc("score"), "other_id"))
-    return scored.withColumn("rank", best).where(F.col("rank") <= limit)
+    w = weights_of(contents)
+    spark = w.by_term.sparkSession
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    largest = w.by_term.groupBy("term").agg(F.max("w").alias("most"))
+    source = w.by_issue.where(F.col("rank") <= top_terms).select("issue_id", "term", F.col("w").alias("own"), "df").join(largest, "term")
+    source = kept(source.select("issue_id", "term", "own", "df", (F.col("own") * F.col("most")).alias("bound")), "source")
+    other = w.by_term.select("term", F.col("issue_id").alias("other_id"), "w", "df")
+    top = source.agg(F.max("df")).first()[0]
+    if top is None:
+        return spark.createDataFrame([], f"issue_id {source.schema['issue_id'].dataType.simpleString()}, other_id {source.schema['issue_id'].dataType.simpleString()}, score double, rank int")
+    active, sums, done = source.select("issue_id").distinct(), None, []
+    low, high, turn = 0, FIRST_ROUND, 0
+    best = Window.partitionBy("issue_id").orderBy(F.desc("score"), "other_id")
+    while True:
+        mine = source.where((F.col("df") > low) & (F.col("df") <= high)).join(active, "issue_id", "left_semi")
+        parts = F.ceil(F.col("df") / BLOCK).cast("int")  # keys that a term's issues are dealt to, on either side
+        part = lambda c: F.pmod(F.xxhash64(c), parts).cast("int")
+        all_parts = F.explode(F.sequence(F.lit(0), parts - 1))
+        asked = mine.select("issue_id", "term", "own", part("issue_id").alias("part"), all_parts.alias("other_part"))
+        dealt = other.where((F.col("df") > low) & (F.col("df") <= high)).select("term", "other_id", "w", part("other_id").alias("other_part"), all_parts.alias("part"))
+        pairs = asked.join(dealt, ["term", "part", "other_part"]).where("issue_id <> other_id").select("issue_id", "other_id", (F.col("own") * F.col("w")).alias("s"))
+        before = None if sums is None else sums.join(active, "issue_id", "left_semi").select("issue_id", "other_id", F.col("score").alias("s"), F.col("n"))
+        new = pairs.withColumn("n", F.lit(1).cast("long"))
+        sums = kept((new if before is None else new.unionByName(before)).groupBy("issue_id", "other_id").agg(F.sum("s").alias("score"), F.sum("n").alias("n")), f"sums{turn}")
+        # What is still to come, and the limit-th best so far (0 where fewer were met).
+        rest = source.join(active, "issue_id", "left_semi").groupBy("issue_id").agg(F.sum(F.when(F.col("df") > high, F.col("bound")).otherwise(0.0)).alias("rest"))
+        least = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") == limit).select("issue_id", F.col("score").alias("least"))
+        state = kept(rest.join(least, "issue_id", "left").fillna(0.0, ["least"]).withColumn("settled", (F.col("rest") == 0) | (F.col("least") > F.col("rest"))), f"state{turn}")
+        if report is not None:
+            made = sums.agg(F.sum("n")).first()[0] or 0
+            report.append({"most_df": min(high, top), "issues": active.count(), "pairs": made - (before.agg(F.sum("n")).first()[0] or 0 if before is not None else 0)})
+        ready = state.where("settled")
+        near = sums.join(ready, "issue_id").where("score + rest >= least").select("issue_id", "other_id", "score")
+        if high < top:
+            late = source.where(F.col("df") > high).join(ready.where("rest > 0"), "issue_id", "left_semi").select("issue_id", "term", "own")
+            looked = near.join(late, "issue_id").join(w.by_issue.select(F.col("issue_id").alias("other_id"), "term", "w"), ["other_id", "term"])
+            near = near.unionByName(looked.select("issue_id", "other_id", (F.col("own") * F.col("w")).alias("score"))).groupBy("issue_id", "other_id").agg(F.sum("score").alias("score"))
+        done.append(kept(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit), f"best{turn}"))
+        active = state.where("not settled").select("issue_id")
+        if high >= top or active.isEmpty():
+            break
+        low, high, turn = high, high * ROUND_FACTOR, turn + 1
+    return reduce(DataFrame.unionByName, done).select("issue_id", "other_id", (F.col("score") / UNIT**2).alias("score"), "rank")

@@ -649,7 +649,7 @@ CONTENTS = r"""parts AS (SELECT conv_id AS id, 0 AS o, turn, 0 AS s, 'Talk ' ||
 UNION ALL SELECT conv_id, 2, turn, 0, text FROM conversations WHERE turn > 0 AND turn <> 2 UNION ALL SELECT conv_id, 3, 0, 0, role || '.txt' FROM conversations WHERE turn = 0 AND conv_id % 3 = 0 UNION ALL SELECT conv_id, 3, 0, 1, 'about' FROM conversations WHERE turn = 0 AND conv_id % 6 = 0),
 contents AS (SELECT id, string_agg(t, chr(10) ORDER BY o, turn, s) AS content FROM parts GROUP BY 1)"""
 WEIGHTS = rf"""{CONTENTS}, tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(content), '\p{{L}}+|\p{{N}}+')) AS term FROM contents) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM contents), w AS (SELECT id, tf.term, tf * ln(n / df) AS w FROM tf JOIN df USING (term), n WHERE df < n),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM contents), w AS (SELECT * FROM (SELECT id, tf.term, floor(tf * ln(n / df) * 10000 + 0.5) AS w FROM tf JOIN df USING (term), n WHERE df < n) WHERE w > 0),
 own AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, term) AS r FROM w)"""
 
 
@@ -658,14 +658,17 @@ def issue_contents(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_contents(spark, sf).select("issue_id", "content")
 
 
-@query(f"WITH {WEIGHTS} SELECT w.id AS issue_id, round(sum(w.w * own.w), 4) AS score FROM w JOIN own ON own.term = w.term AND own.id = 3 AND own.r <= 30 WHERE w.id <> 3 GROUP BY 1 ORDER BY score DESC, issue_id LIMIT 5")
+@query(f"WITH {WEIGHTS} SELECT w.id AS issue_id, sum(w.w * own.w) / 1e8 AS score FROM w JOIN own ON own.term = w.term AND own.id = 3 AND own.r <= 30 WHERE w.id <> 3 GROUP BY 1 ORDER BY score DESC, issue_id LIMIT 5")
 def similar_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return similar.similar_issues(conversation_contents(spark, sf), 3).select("issue_id", F.round("score", 4).alias("score"))
+    """Of one issue, from stored weights."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    similar.write_weights(conversation_contents(spark, sf), path)
+    return similar.similar_issues(similar.read_weights(spark, path), 3)
 
 
-@query(f"WITH {WEIGHTS}, p AS (SELECT own.id AS issue_id, w.id AS other_id, round(sum(w.w * own.w), 6) AS score FROM w JOIN own ON own.term = w.term AND own.r <= 30 AND own.id <> w.id GROUP BY 1, 2) SELECT issue_id, other_id, round(score, 1) AS score FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, other_id) AS r FROM p) WHERE r <= 5")
+@query(f"WITH {WEIGHTS}, p AS (SELECT own.id AS issue_id, w.id AS other_id, sum(w.w * own.w) / 1e8 AS score FROM w JOIN own ON own.term = w.term AND own.r <= 30 AND own.id <> w.id GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, other_id) AS rank FROM p) WHERE rank <= 5")
 def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return similar.similar_pairs(conversation_contents(spark, sf)).select("issue_id", "other_id", F.round("score", 1).alias("score"))
+    return similar.similar_pairs(conversation_contents(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
 # Text and exports.
