@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,8 @@ class PieceModel:
         self.bytes = {i: int(texts[i][3:5], 16) for i in np.flatnonzero(kinds == byte).tolist()}
         self.unknown = set(np.flatnonzero(kinds == unknown).tolist())
         self.end = self.processor.eos_id()
+        #: Sizes of the pieces that are as long as the text they stand for, with 0 for the others.
+        self.direct = np.array([0 if k in (unknown, byte) else len(t) for k, t in zip(kinds.tolist(), texts, strict=True)], np.int32)
         #: Bytes after which a space may begin a unit: the normalised text before it is sure to end in no space there.
         keys = list(self.map.items())
         self.after = np.ones(256, bool)
@@ -209,6 +212,27 @@ class PieceModel:
         return np.array(ids, "<i4").tobytes(), np.array(starts, "<i4").tobytes(), np.array(ends, "<i4").tobytes()
 
 
+    def project_all(self, units: list[str], found: list[list[int]], first: bool) -> list[tuple[bytes, bytes, bytes]]:
+        """project() of many units. Without a map, spans are running sums where a unit has no space but its first and no bytes."""
+        if self.map.trie or self.squeeze or not self.prefix or not self.escape or not units:
+            return [self.project(u, ids, first) for u, ids in zip(units, found, strict=True)]
+        ids = np.fromiter(chain.from_iterable(found), np.int32)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = self.direct[ids]
+        stops = np.cumsum(counts)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ends = (ends[1:] - np.repeat(ends[stops - counts], counts) - len(MARK) + (0 if first else len(SPACE))).astype(np.int32)
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int32) if len(ends) else ends
+        starts[(stops - counts)[counts > 0]] = 0
+        odd = np.concatenate(([0], np.cumsum(sizes == 0)))
+        odd = (odd[stops] > odd[stops - counts]).tolist()
+        data = [x.tobytes() for x in (ids, starts, ends)]
+        return [
+            self.project(u, own, first) if bad or " " in (u if first else u[1:]) else (data[0][a:b], data[1][a:b], data[2][a:b])
+            for u, own, bad, a, b in zip(units, found, odd, (4 * (stops - counts)).tolist(), (4 * stops).tolist(), strict=True)
+        ]
+
+
 class PieceEncoder:
     """Encodes and decodes batches of texts. The memory of units has two generations: the younger, once full, becomes the older."""
 
@@ -222,8 +246,8 @@ class PieceEncoder:
         found = [self.known.get((u, first)) or self.older.get((u, first)) for u in units]
         gaps = [i for i, x in enumerate(found) if x is None]
         texts = [units[i] if first or not self.model.prefix else units[i][1:] for i in gaps]
-        for i, ids in zip(gaps, self.model.processor.encode(texts, num_threads=1), strict=True):
-            found[i] = self.model.project(units[i], ids, first)
+        for i, x in zip(gaps, self.model.project_all([units[i] for i in gaps], self.model.processor.encode(texts, num_threads=1), first), strict=True):
+            found[i] = x
         self.known.update({(u, first): x for u, x in zip(units, found, strict=True) if len(u) <= KNOWN_CHARS})
         return found
 
