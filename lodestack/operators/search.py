@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import html
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from pyspark.sql.window import Window
 from lodestack.functions.text import escape_html, tokenize, truncate_words, widened
 from lodestack.operators.corpus import KEY
 from lodestack.operators.visibility import Dims, Request, is_true, select_types, unselected, visible, without
+from lodestack.sources.folders import shared_dir
 
 TITLE_WEIGHT, CONTENT_CAP = 100, 5
 
@@ -78,6 +82,15 @@ def parse(text: str, nfkc: bool = False) -> All | None:
     return All(tuple(words)) if words else None
 
 
+def plain_negations(tree: object, negated: bool = False) -> object:
+    """The same condition with Not on words and columns' conditions alone, and never twice."""
+    if isinstance(tree, Not):
+        return plain_negations(tree.part, not negated)
+    if isinstance(tree, All | Some):
+        return (Some if isinstance(tree, All) == negated else All)(tuple(plain_negations(p, negated) for p in tree.parts))
+    return Not(tree) if negated else tree
+
+
 def leaves(tree: object) -> list[Word]:
     if isinstance(tree, Word):
         return [tree]
@@ -212,6 +225,7 @@ def match(corpus: DataFrame, tree: object, titles_only: bool = False, normalized
     A word scores 100 for every time it is in the title and 1 for every time in the content, up to 5; with titles_only 1 for every
     time in the title. A matching identifier tag adds 1, and matches by itself. The corpus is read once, without a shuffle.
     """
+    tree = plain_negations(tree)
     by_tag = identifier_match(tree)
     if normalized:
         text = F.lower(F.concat_ws("\n", "title", *([] if titles_only else ["content"])))
@@ -223,6 +237,27 @@ def match(corpus: DataFrame, tree: object, titles_only: bool = False, normalized
     return tokened.where(holds(tree, found, titles_only) | by_tag).withColumn("score", score.cast("long")).select(*corpus.columns, "score")
 
 
+POSTING = "term string, field string, source_type string, source_id long, tf long, positions array<int>"
+
+
+def grouped_positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (source_type, source_id, field, tokens): a row's tokens are sorted among themselves, nothing is shuffled."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * (8 << 20) / max(batch.nbytes, 1)))
+        for own in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+            sizes = own.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            coded = own.column(3).flatten().dictionary_encode()
+            codes, row = coded.indices.to_numpy(), np.repeat(np.arange(own.num_rows), sizes)
+            key = row * max(1, len(coded.dictionary)) + codes
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            positions = (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order].astype(np.int32)
+            of, ends = row[order][starts], np.append(starts, len(key))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(positions))
+            columns = [coded.dictionary.take(pa.array(codes[order][starts])), *(own.column(c).take(pa.array(of)) for c in (2, 0, 1)), pa.array(np.diff(ends), pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "field", *KEY, "tf", "positions"])
+
+
 def build_postings(corpus: DataFrame, normalized: bool = True) -> DataFrame:
     """(term, field, source_type, source_id, tf, positions): the inverted index of title, content and tag names.
 
@@ -235,8 +270,8 @@ def build_postings(corpus: DataFrame, normalized: bool = True) -> DataFrame:
     identifiers = F.transform(
         F.filter(tags, lambda t: t["type"] == "identifier"), lambda t, n: F.struct(F.concat(F.lit("identifier "), n.cast("string")).alias("field"), tokenize(F.lower(t["name"])).alias("tokens"))
     )
-    each = tokened.select(*KEY, F.explode(F.concat(fields, identifiers)).alias("f")).select(*KEY, "f.field", F.posexplode("f.tokens").alias("position", "term"))
-    return each.groupBy("term", "field", *KEY).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    each = tokened.select(*KEY, F.explode(F.concat(fields, identifiers)).alias("f")).where("size(f.tokens) > 0").select(*KEY, "f.field", "f.tokens")
+    return each.mapInArrow(grouped_positions, POSTING)
 
 
 def write_postings(corpus: DataFrame, folder: str, normalized: bool = True) -> None:
@@ -272,6 +307,7 @@ def match_postings(postings: DataFrame, tree: object, titles_only: bool = False,
     """
     if has_where(tree):
         raise ValueError("a condition on columns can't be met from postings")
+    tree = plain_negations(tree)
     found = list(dict.fromkeys(leaves(tree)))
     unseen = met(tree, lambda _: False)
     if unseen and targets is None:
@@ -425,16 +461,30 @@ def hit_counts(hits: DataFrame, types: list[str], one_project: bool = False) ->
 
 @dataclass
 class Result:
+    """What a search gives. close() lets go of the hits that were kept for it; with "with" that is done at its end."""
+
     page: DataFrame
     counts: DataFrame
     types: DataFrame
     tags: DataFrame | None
+    kept: DataFrame | None = None
+
+    def close(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+
+    def __enter__(self) -> Result:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
 
 def condition(request: Request, expansions: DataFrame | None = None) -> object:
     """A request's query as a tree, its synonyms in place."""
     tree = parse(request.query, request.nfkc) if isinstance(request.query, str) else request.query
-    return tree if tree is None or expansions is None else expand_query(tree, expansions)
+    tree = tree if tree is None or expansions is None else expand_query(tree, expansions)
+    return None if tree is None else plain_negations(tree)
 
 
 def find(corpus: DataFrame, request: Request, dims: Dims, expansions: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
@@ -467,25 +517,45 @@ def search(corpus: DataFrame, request: Request, dims: Dims, tag_dim: DataFrame |
     words = query_words(condition(request, expansions))
     rows = corpus.drop("last_modified_at", "registered_at", "tags", "container_type").join(F.broadcast(top) if request.limit >= 0 else top, KEY)
     shown = snippets(rows, words).withColumn("highlighted", highlight("title", words)).orderBy(*sort_columns(request))
-    return Result(shown, hit_counts(narrow, request.types, one), type_drilldown(narrow), None if tag_dim is None else tag_drilldown(chosen, tag_dim))
+    return Result(shown, hit_counts(narrow, request.types, one), type_drilldown(narrow), None if tag_dim is None else tag_drilldown(chosen, tag_dim), narrow if keep else None)
+
+
+#: Postings of a word that one key of search_many() holds, about.
+DEALT = 50_000
+#: Words of queries are broadcast up to so many.
+BROADCAST_WORDS = 200_000
 
 
-def search_many(corpus: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
+def search_many(corpus: DataFrame | None, queries: DataFrame, k: int | None = 10, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, source_type, source_id, score, rank) of the k best rows for every query (query_id, text), all words required.
 
-    Queries are split into distinct words that meet the corpus' words once, in a join by word; a word's score is as in match().
-    Without k all rows that are found come, and no rank.
+    Without k all rows that are found come, and no rank. A word's score is as in match(). The words meet postings (of the corpus, which is
+    then not read) or those made of the corpus on the way. A query starts from the rows that hold its rarest word; only they
+    are looked up, by word and row, among the postings of its other words. A frequent word's postings are dealt to several keys.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.lower("text")))).alias("term"))
-    size = asked.groupBy("query_id").agg(F.count("*").alias("words"))
     wanted = asked.select("term").distinct()
-    tokened = with_tokens(corpus)
-    fields = F.array(F.struct(F.lit(TITLE_WEIGHT).alias("w"), F.col("_title_tokens").alias("t")), F.struct(F.lit(1).alias("w"), F.col("_content_tokens").alias("t")))
-    each = tokened.select(*KEY, F.explode(fields).alias("f")).select(*KEY, "f.w", F.explode("f.t").alias("term")).join(wanted, "term", "left_semi")
-    tf = each.groupBy("term", *KEY).agg((F.count_if(F.col("w") > 1) * TITLE_WEIGHT + F.least(F.count_if(F.col("w") == 1), F.lit(CONTENT_CAP))).alias("s"))
-    hits = tf.join(asked, "term").groupBy("query_id", *KEY).agg(F.sum("s").cast("long").alias("score"), F.count("*").alias("found"))
-    full = hits.join(size, "query_id").where("found = words")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_WORDS else wanted
+    p = (build_postings(corpus) if postings is None else postings).where(F.col("field").isin("title", "content")).join(wanted, "term", "left_semi")
+    weight = F.when(F.col("field") == "title", F.col("tf") * TITLE_WEIGHT).otherwise(F.least("tf", F.lit(CONTENT_CAP)))
+    found = p.groupBy("term", *KEY).agg(F.sum(weight).cast("long").alias("s"))
+    folder = f"{shared_dir(queries.sparkSession)}/{uuid.uuid4().hex}"
+    found.write.parquet(folder)  # the asked words' rows alone; read twice
+    found = queries.sparkSession.read.parquet(folder)
+    asked = asked.join(found.groupBy("term").agg(F.count("*").alias("df")), "term", "left").fillna(0, ["df"])
+    order = Window.partitionBy("query_id").orderBy("df", "term")
+    asked = asked.withColumn("place", F.row_number().over(order)).withColumn("least", F.first("df").over(order))
+    asked = asked.withColumn("words", F.count("*").over(Window.partitionBy("query_id"))).where("least > 0")  # a word that no row holds ends its query
+    dealt = F.ceil(F.greatest("df", F.lit(1)) / DEALT).cast("int")
+    keys = F.explode(F.sequence(F.lit(0), dealt - 1))
+    first = asked.where("place = 1").select("query_id", "term", "words", "df", keys.alias("part"))
+    size = asked.select("term", "df").distinct()
+    parted = found.join(size, "term").withColumn("part", F.pmod(F.xxhash64(*KEY), dealt).cast("int"))
+    start = parted.join(first.drop("df"), ["term", "part"]).select("query_id", "words", *KEY, "s")
+    others = asked.where("place > 1").select("query_id", "term")
+    looked = start.select("query_id", *KEY).join(others, "query_id").join(found, ["term", *KEY]).select("query_id", *KEY, "s", F.lit(None).cast("long").alias("words"))
+    hits = start.unionByName(looked).groupBy("query_id", *KEY).agg(F.sum("s").alias("score"), F.count("*").alias("found"), F.max("words").alias("words")).where("found = words")
     if k is None:
-        return full.select("query_id", *KEY, "score")
+        return hits.select("query_id", *KEY, "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY))
-    return full.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", *KEY, "score", "rank")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", *KEY, "score", "rank")

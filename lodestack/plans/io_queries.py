@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators import corpus as c
-from lodestack.operators import logs, search, similar
+from lodestack.operators import index, logs, search, similar
 from lodestack.operators.visibility import Dims, Request
-from lodestack.plans.queries import query
-from lodestack.plans.sources import ISSUES, documents, issues, t
+from lodestack.plans.queries import ESCAPED, has, query, scored
+from lodestack.plans.sources import DOCUMENTS, ISSUES, documents, issues, t
 from lodestack.sources import readers, sinks
 from lodestack.sources.folders import shared_dir
 from lodestack.streaming import streams
@@ -185,11 +185,22 @@ def stream_issue_contents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/v{version[0]}").select("issue_id", (F.size(F.split("content", "note", -1)) - 1).cast("long").alias("notes"))
 
 
-@query()
+MARKED = r"(^|[^\p{L}\p{N}\x01\x02])(from|this|the)($|[^\p{L}\p{N}\x01\x02])"  # twice, as neighbours share a separator
+EITHER = "len(list_filter({}, lambda x: x IN ('from', 'this')))"
+MARK = f", '{MARKED}', chr(92) || '1' || chr(1) || chr(92) || '2' || chr(2) || chr(92) || '3', 'gi')"
+ONCE = f"regexp_replace(title{MARK}"
+
+
+@query(
+    f"""WITH {DOCUMENTS} SELECT source_id, CAST({EITHER.format("tt")} * 100 + least({EITHER.format("ct")}, 5) + {scored("the")} + 1 AS BIGINT) AS score,
+replace(replace({ESCAPED.format(f"regexp_replace({ONCE}{MARK}")}, chr(1), '<span class="keyword">'), chr(2), '</span>') AS highlighted
+FROM tok WHERE lang = 'en' AND project_id < 15 AND {EITHER.format("tt")} + {EITHER.format("ct")} > 0 AND {has("the")} ORDER BY score DESC, source_id DESC LIMIT 20"""
+)
 def whole_search(spark: SparkSession, sf: str) -> DataFrame:
-    """A search from request to page, with visibility, synonyms, drilldowns and late texts."""
-    d = documents(spark, sf)
+    """A search from request to page on a written index, with visibility, synonyms and late texts."""
+    d, path = documents(spark, sf), folder(spark)
+    index.write_index(d, path)
     dims = Dims(visible=d.select("project_id").distinct().where("project_id < 15"))
     pairs = spark.createDataFrame([("this", "this"), ("this", "from")], "source string, destination string")
-    found = search.search(d, Request("this the", tags=[("label", "en")], limit=20), dims, expansions=pairs, keep=False)
-    return found.page.select("source_id", "score", "highlighted", F.array_join("snippets", " ").alias("snippets"))
+    request = Request("this the", tags=[("label", "en")], limit=20)
+    return index.search_index(index.read_index(spark, path), request, dims, expansions=pairs, keep=False).page.select("source_id", "score", "highlighted")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as x
 from lodestack.operators import corpus as c
-from lodestack.operators import exports, logs, search, similar, sync, synonyms, vectors, visibility
+from lodestack.operators import exports, index, logs, search, similar, sync, synonyms, vectors, visibility
 from lodestack.operators.search import All, Not, Some, word
 from lodestack.operators.visibility import Dims, Request
 from lodestack.sources import sinks
@@ -128,6 +128,26 @@ def fts_index(spark: SparkSession, sf: str) -> DataFrame:
     return search.find(shown, Request(tree), Dims(), postings=search.read_postings(spark, path)).select("source_id", "score")
 
 
+@query(
+    f"""WITH {DOCUMENTS}, now AS (SELECT source_id, tt, CASE WHEN source_id % 10 = 1 THEN ['zzz', 'the', 'with'] || ct ELSE ct END AS ct FROM tok WHERE source_id % 7 > 0)
+SELECT source_id, CAST({scored("the", "with")} + 1 AS BIGINT) AS score FROM now WHERE {has("the")} AND {has("with")}"""
+)
+def fts_index_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """From an index of two thirds of the rows that took in the other rows, changed and removed ones afterwards."""
+    shown, path = documents(spark, sf), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    index.write_index(shown.where("source_id % 3 > 0"), path)
+    content = F.when(F.col("source_id") % 10 == 1, F.concat(F.lit("zzz the with "), "content")).otherwise(F.col("content"))
+    index.change_index(path, shown.where("(source_id % 3 = 0 or source_id % 10 = 1) and source_id % 7 > 0").withColumn("content", content), shown.where("source_id % 7 = 0"))
+    now = index.read_index(spark, path)
+    return search.find(now.keys, Request("the with"), Dims(), postings=now.postings).select("source_id", "score")
+
+
+@query(f"WITH {TRACKER} SELECT source_type, source_id, CAST(CASE WHEN source_type = 'Project' THEN 2 WHEN content LIKE 'P 3-%' THEN 102 ELSE 101 END AS BIGINT) AS score FROM corpus WHERE NOT coalesce(is_private, false) AND (source_type = 'Issue' OR list_contains(tags, 'identifier:p3'))")
+def fts_identifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by a word (some hold the phrase p 3 besides), and one by its identifier alone."""
+    return search.find(tracker(spark, sf), Request(Some((word("order"), word("p3")))), Dims()).select("source_type", "source_id", "score")
+
+
 @query(
     f"""WITH {DOCUMENTS}, p AS (SELECT source_id, unnest(tt) AS term, 'title' AS field FROM tok UNION ALL SELECT source_id, unnest(ct), 'content' FROM tok)
 SELECT term, field, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT source_id, term, field, count(*) AS tf FROM p GROUP BY ALL) GROUP BY ALL"""
@@ -196,6 +216,21 @@ def tag_drilldown_top10(spark: SparkSession, sf: str) -> DataFrame:
     return search.tag_drilldown(df, dim).select("type", "name", "n")
 
 
+@query(f"WITH {TRACKER} SELECT source_type, count(*) AS n FROM corpus WHERE NOT coalesce(is_private, false) AND project_id = 3 AND source_type <> 'Project' GROUP BY 1")
+def hidden_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """One project's rows without the project itself and without attachments (the documents play them)."""
+    files = documents(spark, sf).withColumns({"source_type": F.lit("Attachment"), "project_id": F.lit(3).cast("long")})
+    request = Request(scope="project", project_id=3, attachments="0")
+    return visibility.visible(c.union(tracker(spark, sf), files), request, Dims()).groupBy("source_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TRACKER} SELECT type, count(*) AS n, CAST(0 AS BIGINT) AS shown FROM (SELECT source_type AS type FROM corpus WHERE NOT coalesce(is_private, false) UNION ALL SELECT container_type FROM corpus WHERE NOT coalesce(is_private, false)) WHERE type IS NOT NULL GROUP BY 1")
+def no_condition(spark: SparkSession, sf: str) -> DataFrame:
+    """A search without any condition shows nothing but counts its types."""
+    found = search.search(tracker(spark, sf), Request(""), Dims(), keep=False)
+    return found.types.crossJoin(F.broadcast(found.page.agg(F.count("*").alias("shown"))))
+
+
 @query(f"WITH {TRACKER} SELECT count(*) FILTER (source_type IN ('Issue', 'Journal') AND coalesce(container_type, 'Issue') IN ('Issue', 'Journal')) AS n_hits, count(*) AS total_n_hits FROM corpus WHERE NOT coalesce(is_private, false)")
 def hit_counts(spark: SparkSession, sf: str) -> DataFrame:
     return search.hit_counts(visibility.hide_private(tracker(spark, sf)), ["issues"])
@@ -701,6 +736,13 @@ def path_extension(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "part").select("p_partkey", x.path_extension(path).alias("extension"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 THEN p_type WHEN p_partkey % 3 = 0 THEN 'application/gzip' WHEN p_partkey % 3 = 1 THEN 'application/x-bzip2' ELSE 'application/x-tar' END AS type FROM part")
+def content_type(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.concat("p_name", F.when(k % 3 == 0, ".tar.gz").when(k % 3 == 1, ".tar.bz2").otherwise(".tar"))
+    return t(spark, sf, "part").select("p_partkey", x.resolve_content_type(F.when(k % 4 > 1, F.col("p_type")).otherwise("application/x-tar"), name).alias("type"))
+
+
 @query("SELECT p_partkey, p_size * CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1e3 WHEN 2 THEN 1024.0 WHEN 3 THEN 1e6 WHEN 4 THEN 1048576.0 ELSE 1e9 END AS bytes, p_size * CASE p_partkey % 4 WHEN 0 THEN 0.001::DOUBLE WHEN 1 THEN 1 WHEN 2 THEN 60 ELSE 3600 END AS seconds FROM part")
 def parse_size(spark: SparkSession, sf: str) -> DataFrame:
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "KiB", "MB", "MiB", "GB"))), (F.col("p_partkey") % 6 + 1).cast("int"))
