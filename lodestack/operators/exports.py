@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import split_sentences
@@ -26,40 +28,71 @@ def sentence_corpus(corpus: DataFrame, projects: list[int] | None = None, types:
     return split.select("id", "source_type", "sentences").where("size(sentences) > 0")
 
 
-def issue_histories(issues: DataFrame, journals: DataFrame, details: DataFrame, dims: dict[str, DataFrame], time_entries: DataFrame, custom_fields: DataFrame | None = None) -> DataFrame:
-    """(project, issue): every issue as a nested record with its history.
+#: The kind of thing that some attributes name; others name what they are called.
+KINDS = {"author": "user", "assigned_to": "user", "user": "user", "fixed_version": "version"}
+VALUE = "struct<type:string,id:string,name:string,is_closed:boolean,number:long,text:string>"
+
+
+def names_table(dims: dict[str, DataFrame]) -> DataFrame | None:
+    """One table (attribute, id, name, is_closed, number) of all dims: by attribute, rows of id, name and perhaps is_closed or number."""
+    parts = []
+    for attribute, df in dims.items():
+        extra = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in (("is_closed", "boolean"), ("number", "long"))]
+        parts.append(df.select(F.lit(attribute).alias("attribute"), F.col("id").cast("string").alias("id"), F.col("name").cast("string").alias("name"), *extra))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def named_value(df: DataFrame, attribute: Column, value: str, names: DataFrame | None, out: str) -> DataFrame:
+    """df with a struct of the thing that a column names; without a name where it is gone, null where nothing is named."""
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[attribute], attribute)
+    df = df.withColumns({"_attribute": attribute, "_id": F.col(value).cast("string")})
+    if names is None:
+        df = df.withColumns({"_name": F.lit(None).cast("string"), "_closed": F.lit(None).cast("boolean"), "_number": F.lit(None).cast("long")})
+    else:
+        df = df.join(names.select(F.col("attribute").alias("_attribute"), F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("is_closed").alias("_closed"), F.col("number").alias("_number")), ["_attribute", "_id"], "left")
+    found = F.struct(kind.alias("type"), F.col("_id").alias("id"), F.col("_name").alias("name"), F.col("_closed").alias("is_closed"), F.col("_number").alias("number"), F.lit(None).cast("string").alias("text"))
+    return df.withColumn(out, F.when(F.col("_id").isNotNull(), found)).drop("_attribute", "_id", "_name", "_closed", "_number")
+
+
+def issue_histories(
+    issues: DataFrame, journals: DataFrame, details: DataFrame, dims: dict[str, DataFrame], time_entries: DataFrame, custom_fields: DataFrame | None = None
+) -> DataFrame:
+    """(project, issue): every issue as a nested record with its history, in the order of journals' and details' ids.
 
-    dims: users, statuses, trackers, priorities (id, name). Changes of attributes ending in _id are resolved through their dim, and
-    stay bare ids where it lacks them; custom fields carry their name; other changes stay as they are.
+    details: id, journal_id, property, prop_key, old_value, value. dims: by attribute (status, assigned_to, category, fixed_version and
+    any other), rows of id, name and perhaps is_closed or number. A change of an attribute x_id names what dims have of x, or the bare id
+    where they lack it; one of a custom field carries the field; other changes keep their text.
     """
-    dim = lambda k: dims[k].select(F.col("id").cast("string").alias("_id"), F.struct(F.col("id"), F.col("name")).alias("_value"))
-    kinds = {"status_id": "statuses", "tracker_id": "trackers", "priority_id": "priorities", "assigned_to_id": "users", "author_id": "users"}
-    table = None
-    for key, k in kinds.items():
-        if k in dims:
-            part = dims[k].select(F.lit(key).alias("prop_key"), F.col("id").cast("string").alias("value_id"), F.col("name").alias("value_name"))
-            table = part if table is None else table.unionByName(part)
+    names = names_table(dims)
+    attribute = F.when((F.col("property") == "attr") & F.col("prop_key").rlike("._id$"), F.regexp_extract("prop_key", "^(.+)_id$", 1))
     d = details
-    for c in ("old_value", "value"):
-        t = table.select("prop_key", F.col("value_id").alias(c), F.col("value_name").alias(f"{c}_name"))
-        d = d.join(t, ["prop_key", c], "left")
+    for c, out in (("old_value", "old"), ("value", "new")):
+        d = named_value(d, attribute, c, names, out)
+        text = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("type", "string"), ("id", "string"), ("name", "string"), ("is_closed", "boolean"), ("number", "long"))], F.col(c).cast("string").alias("text"))
+        d = d.withColumn(out, F.when(attribute.isNotNull(), F.col(out)).when(F.col(c).isNotNull(), text))
+    field = F.lit(None).cast("struct<id:string,name:string>")
     if custom_fields is not None:
-        f = custom_fields.select(F.lit("cf").alias("property"), F.col("id").cast("string").alias("prop_key"), F.col("name").alias("field"))
+        f = custom_fields.select(F.lit("cf").alias("property"), F.col("id").cast("string").alias("prop_key"), F.col("name").cast("string").alias("_field"))
         d = d.join(f, ["property", "prop_key"], "left")
-    else:
-        d = d.withColumn("field", F.lit(None).cast("string"))
-    named = lambda c: F.when(F.col("property") == "attr", F.col(f"{c}_name"))
-    change = F.struct("property", F.col("prop_key").alias("name"), "field", F.col("old_value").alias("old"), named("old_value").alias("old_name"), F.col("value").alias("new"), named("value").alias("new_name"))
-    changes = d.groupBy("journal_id").agg(F.sort_array(F.collect_list(change)).alias("changes"))
-    j = journals.where("journalized_type = 'Issue'").join(changes, F.col("id") == F.col("journal_id"), "left").join(dim("users").withColumnRenamed("_value", "user"), F.col("user_id").cast("string") == F.col("_id"), "left")
-    entry = F.struct(F.col("created_on").alias("created_at"), "id", "user", F.col("notes").alias("comment"), F.coalesce("changes", F.expr("cast(array() as array<struct<property:string,name:string,field:string,old:string,old_name:string,new:string,new_name:string>>)")).alias("changes"))
-    history = j.groupBy(F.col("journalized_id").alias("_issue")).agg(F.sort_array(F.collect_list(entry)).alias("history"))
-    hours = time_entries.groupBy(F.col("issue_id").alias("_issue")).agg(F.sum("hours").alias("spent_hours"))
+        field = F.when(F.col("property") == "cf", F.struct(F.col("prop_key").alias("id"), F.col("_field").alias("name")))
+    kind = F.when(F.col("property") == "attr", F.coalesce(attribute, "prop_key")).when(F.col("property") == "cf", "custom_field").otherwise(F.col("property"))
+    change = F.struct(F.col("id").alias("id"), kind.alias("type"), field.alias("custom_field"), "old", "new")
+    without_id = lambda c: F.struct(*[c[n].alias(n) for n in ("type", "custom_field", "old", "new")])
+    changes = d.groupBy("journal_id").agg(F.transform(F.sort_array(F.collect_list(change)), without_id).alias("changes"))
+
+    j = journals.where("journalized_type = 'Issue'").join(changes, F.col("id") == F.col("journal_id"), "left")
+    j = named_value(j, F.lit("user"), "user_id", names if names is None or "user" in dims else names_table({"user": dims["author"]}) if "author" in dims else None, "user")
+    none = F.array().cast(f"array<struct<type:string,custom_field:struct<id:string,name:string>,old:{VALUE},new:{VALUE}>>")
+    entry = F.struct("id", F.col("created_on").alias("created_at"), "user", F.col("notes").alias("comment"), F.coalesce("changes", none).alias("changes"))
+    history = j.groupBy(F.col("journalized_id").alias("_issue")).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: F.struct(*[e[n].alias(n) for n in ("created_at", "user", "comment", "changes")])).alias("history"))
+    hours = time_entries.groupBy(F.col("issue_id").alias("_issue")).agg(F.sum("hours").alias("elapsed_hours"))
     out = issues.withColumnRenamed("id", "_issue").join(history, "_issue", "left").join(hours, "_issue", "left")
-    for name, key, k in (("author", "author_id", "users"), ("assigned_to", "assigned_to_id", "users"), ("status", "status_id", "statuses"), ("tracker", "tracker_id", "trackers"), ("priority", "priority_id", "priorities")):
-        if key in issues.columns and k in dims:
-            out = out.join(dim(k).withColumnRenamed("_value", name), F.col(key).cast("string") == F.col("_id"), "left").drop("_id")
-        else:
-            out = out.withColumn(name, F.lit(None).cast("struct<id:bigint,name:string>"))
-    scalars = [c for c in ("subject", "description", "is_private", "estimated_hours", "created_on", "updated_on") if c in issues.columns]
-    return out.select(F.col("project_id").alias("project"), F.struct(F.col("_issue").alias("id"), *scalars, "author", "assigned_to", "status", "tracker", "priority", F.coalesce("spent_hours", F.lit(0.0)).alias("spent_hours"), "history").alias("issue"))
+    people = {"author": ("author", "author_id"), "assignee": ("assigned_to", "assigned_to_id"), "status": ("status", "status_id"), "tracker": ("tracker", "tracker_id"), "priority": ("priority", "priority_id")}
+    for name, (attribute, key) in people.items():
+        out = named_value(out.withColumn("_value", F.col(key) if key in issues.columns else F.lit(None)), F.lit(attribute), "_value", names, name).drop("_value")
+    scalar = lambda c, t: (F.col(c) if c in issues.columns else F.lit(None)).cast(t)
+    record = F.struct(
+        F.col("_issue").alias("id"), "subject", "description", *people, scalar("created_on", "timestamp").alias("created_at"), scalar("updated_on", "timestamp").alias("updated_at"),
+        scalar("estimated_hours", "double").alias("estimated_hours"), F.coalesce(F.col("elapsed_hours").cast("double"), F.lit(0.0)).alias("elapsed_hours"), F.coalesce("history", F.array()).alias("history"),
+    )
+    return out.select(F.col("project_id").alias("project"), record.alias("issue"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import corpus as c
 from lodestack.operators import index, logs, search, similar
 from lodestack.operators.visibility import Dims, Request
-from lodestack.plans.queries import ESCAPED, has, query, scored
+from lodestack.plans.queries import ESCAPED, HISTORIES, flat_history, has, histories, query, scored
 from lodestack.plans.sources import DOCUMENTS, ISSUES, documents, issues, t
 from lodestack.sources import readers, sinks
 from lodestack.sources.folders import shared_dir
@@ -104,12 +104,13 @@ def export_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("bucket").agg(F.count("*").alias("lines"), F.count_if(F.col("value") == "").alias("blank"), F.sum(F.octet_length("value") + 1).alias("bytes"))
 
 
-@query(f"WITH {ISSUES} SELECT project_id AS project, count(*) AS issues FROM issues GROUP BY 1")
+@query(HISTORIES)
 def export_issue_histories(spark: SparkSession, sf: str) -> DataFrame:
-    path = folder(spark)
-    rows = issues(spark, sf).select(F.col("project_id").alias("project"), F.struct("id", "subject", "description").alias("issue"))
-    sinks.export_issue_histories(rows, path)
-    return spark.read.schema("project long, issue struct<id:long,subject:string,description:string>").json(path).groupBy("project").agg(F.count("issue.id").alias("issues"))
+    """The records of the projects' JSON arrays, as read back from the files."""
+    path, found = folder(spark), histories(spark, sf)
+    sinks.export_issue_histories(found, path)
+    line = F.regexp_replace("value", r"^[\[,]|\]$", "")
+    return flat_history(spark.read.text(path).select("project", F.from_json(line, found.schema["issue"].dataType).alias("issue")))
 
 
 @query(

@@ -15,7 +15,7 @@ from lodestack.operators.search import All, Not, Some, word
 from lodestack.operators.visibility import Dims, Request
 from lodestack.sources import sinks
 from lodestack.sources.folders import shared_dir
-from lodestack.plans.sources import DOCUMENTS, ISSUES, JOURNALS, LOG, PROJECTS, TRACKER, action_log, documents, issues, journals, projects, statuses, t, tracker
+from lodestack.plans.sources import DETAILS, DOCUMENTS, ISSUES, JOURNALS, LOG, PROJECTS, TRACKER, action_log, details, documents, issues, journals, projects, statuses, t, tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -714,19 +714,46 @@ def char_counts(spark: SparkSession, sf: str) -> DataFrame:
     return exports.char_counts(tracker(spark, sf))
 
 
-@query(
-    f"""WITH {ISSUES}, {JOURNALS} SELECT i.id, project_id, c_name AS author, count(j.id) AS n_journals, coalesce(string_agg(notes, '|' ORDER BY j.updated_on, j.id), '') AS comments, count(j.id) AS n_changes,
-round(coalesce(sum(CASE WHEN j.id % 10 < 3 THEN 0.5 END), 0), 3) AS spent_hours FROM issues i LEFT JOIN journals j ON journalized_id = i.id JOIN customer ON c_custkey = author_id GROUP BY 1, 2, 3"""
-)
-def issue_histories(spark: SparkSession, sf: str) -> DataFrame:
+def histories(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order's history: its lines as notes, with changes of every kind."""
     j = journals(spark, sf)
-    details = j.select(F.col("id").alias("journal_id"), F.lit("attr").alias("property"), F.lit("status_id").alias("prop_key"), F.lit("O").alias("old_value"), F.lit("F").alias("value"))
     users = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    places = t(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    versions = t(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
     hours = j.where("id % 10 < 3").select(F.col("journalized_id").alias("issue_id"), F.lit(0.5).alias("hours"))
-    df = exports.issue_histories(issues(spark, sf), j, details, {"users": users, "statuses": statuses(spark, sf).select("id", "name")}, hours)
-    flat = F.coalesce(F.array_join(F.transform("issue.history", lambda e: e["comment"]), "|"), F.lit(""))
-    n = F.coalesce(F.size(F.filter(F.flatten(F.transform("issue.history", lambda e: e["changes"])), lambda e: e["new_name"] == "F")), F.lit(0))
-    return df.select("issue.id", F.col("project").alias("project_id"), F.col("issue.author.name").alias("author"), F.greatest(F.size("issue.history"), F.lit(0)).cast("long").alias("n_journals"), flat.alias("comments"), F.greatest(n, F.lit(0)).cast("long").alias("n_changes"), F.round("issue.spent_hours", 3).alias("spent_hours"))
+    fields = spark.createDataFrame([(1, "area")], "id long, name string")
+    return exports.issue_histories(issues(spark, sf), j, details(j), {"author": users, "status": statuses(spark, sf), "category": places, "fixed_version": versions}, hours, fields)
+
+
+def said(value: str) -> Column:
+    """A change's value as text: id, name and whether it is closed, or its plain text."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.when(v["id"].isNotNull(), F.concat_ws("/", v["id"], F.coalesce(v["name"], F.lit("")), v["is_closed"].cast("string"))), v["text"], F.lit(""))
+
+
+def told(issue: Column) -> Column:
+    """A history as text: for each note its user, comment and changes."""
+    field = lambda c: F.coalesce(F.concat_ws("/", c["custom_field"]["id"], c["custom_field"]["name"]), F.lit(""))
+    change = lambda c: F.concat(c["type"], F.lit(":"), field(c), F.lit(":"), said(c["old"]), F.lit(">"), said(c["new"]))
+    note = lambda e: F.concat_ws("|", F.concat_ws("/", e["user"]["id"], F.coalesce(e["user"]["name"], F.lit(""))), e["comment"], F.date_format(e["created_at"], "yyyy-MM-dd"), F.array_join(F.transform(e["changes"], change), ";"))
+    return F.array_join(F.transform(issue["history"], note), "\n")
+
+
+HISTORIES = f"""WITH {ISSUES}, {JOURNALS}, {DETAILS}, notes AS (SELECT journalized_id AS id, string_agg(user_id || '/' || coalesce(c_name, '') || '|' || notes || '|' || strftime(j.updated_on, '%Y-%m-%d') || '|' || said, chr(10) ORDER BY j.id) AS history,
+sum(CASE WHEN j.id % 10 < 3 THEN 0.5 ELSE 0 END)::DOUBLE AS hours FROM journals j JOIN changes USING (id) LEFT JOIN customer ON c_custkey = user_id GROUP BY 1)
+SELECT i.id, project_id, subject, description, author_id || '/' || c_name AS author, status_id || '/' || status_id || '/' || (status_id = 'F')::VARCHAR AS status, strftime(updated_on, '%Y-%m-%d') AS updated, coalesce(hours, 0) AS elapsed_hours, coalesce(history, '') AS history
+FROM issues i LEFT JOIN notes USING (id) JOIN customer ON c_custkey = author_id"""
+
+
+def flat_history(df: DataFrame) -> DataFrame:
+    i = F.col("issue")
+    author = F.concat_ws("/", i["author"]["id"], i["author"]["name"])
+    return df.select(i["id"].alias("id"), F.col("project").cast("long").alias("project_id"), i["subject"].alias("subject"), i["description"].alias("description"), author.alias("author"), said(i["status"]).alias("status"), F.date_format(i["updated_at"], "yyyy-MM-dd").alias("updated"), i["elapsed_hours"].alias("elapsed_hours"), told(i).alias("history"))
+
+
+@query(HISTORIES)
+def issue_histories(spark: SparkSession, sf: str) -> DataFrame:
+    return flat_history(histories(spark, sf))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'gz' WHEN 2 THEN lower(split_part(p_type, ' ', 1)) ELSE NULL END AS extension FROM part")

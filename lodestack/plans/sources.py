@@ -99,3 +99,21 @@ def action_log(spark: SparkSession, sf: str) -> DataFrame:
 LOG = """log AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, event_type = 'view' AS is_search, CAST(event_id % 50 AS VARCHAR) AS search_id,
   CASE WHEN event_type = 'click' THEN CAST(floor(value) AS BIGINT) % 10 END AS search_n, ts AS timestamp, CASE WHEN event_type = 'view' THEN CAST(floor(value) AS BIGINT) % 4 END AS n_hits,
   CASE WHEN event_type = 'view' THEN value / 100 END AS elapsed FROM events WHERE event_type IN ('view', 'click'))"""
+
+
+def details(journals: DataFrame) -> DataFrame:
+    """Changes of every kind: a status, a category, a version, a custom field or a subject by the note's id, and a file with each tenth note."""
+    k = F.col("id") % 5
+    pick = lambda *x: F.when(k == 0, x[0]).when(k == 1, x[1]).when(k == 2, x[2]).when(k == 3, x[3]).otherwise(x[4])
+    user = F.col("user_id").cast("string")
+    first = journals.select(
+        (F.col("id") * 2).alias("id"), F.col("id").alias("journal_id"), F.when(k == 3, "cf").otherwise("attr").alias("property"), pick(*map(F.lit, ("status_id", "category_id", "fixed_version_id", "1", "subject"))).alias("prop_key"),
+        pick(F.lit("O"), F.lit(None), F.lit("4"), F.lit("a"), F.lit("x")).alias("old_value"), pick(F.lit("F"), user, F.lit("9"), F.col("notes"), F.lit(None)).alias("value"),
+    )
+    files = journals.where("id % 10 = 0").select((F.col("id") * 2 + 1).alias("id"), F.col("id").alias("journal_id"), F.lit("attachment").alias("property"), F.lit("7").alias("prop_key"), F.lit(None).cast("string").alias("old_value"), F.lit("f.txt").alias("value"))
+    return first.unionByName(files)
+
+
+#: What a change says, as text: kind, field, old and new.
+DETAILS = """changes AS (SELECT j.id, CASE j.id % 5 WHEN 0 THEN 'status::O/O/false>F/F/true' WHEN 1 THEN 'category::>' || user_id || '/' || coalesce(n_name, '') WHEN 2 THEN 'fixed_version::4/MIDDLE EAST>9/' WHEN 3 THEN 'custom_field:1/area:a>' || notes
+  ELSE 'subject::x>' END || CASE WHEN j.id % 10 = 0 THEN ';attachment::>f.txt' ELSE '' END AS said FROM journals j LEFT JOIN nation ON n_nationkey = user_id)"""
