@@ -36,22 +36,34 @@ class BodyText(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
         self.parts: list[str] = []
+        self.forget()
+
+    def forget(self) -> None:
+        """No element is open. places: where each tag's open elements stand; silent: how many of the open ones hide their text."""
+        self.open: list[tuple[str, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.silent = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "body":
-            self.open, self.parts = [], []
+            self.forget()
+            self.parts = []
         if tag not in self.VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append((tag, "wiki-anchor" in (dict(attrs).get("class") or "").split()))
+            self.silent += tag in self.SILENT
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
+        if self.places.get(tag):
+            last = self.places[tag][-1]
+            while len(self.open) > last:  # every element is closed once
+                own = self.open.pop()[0]
+                self.places[own].pop()
+                self.silent -= own in self.SILENT
 
     def handle_data(self, data: str) -> None:
-        if not any(t in self.SILENT for t, _ in self.open) and not (self.open and self.open[-1][1]):
+        if not self.silent and not (self.open and self.open[-1][1]):
             self.parts.append(data)
 
 
@@ -185,26 +197,27 @@ def format_elapsed(x: Column | str) -> Column:
     )
 
 
-NUMBERED = regex.compile(r"\s*\p{Ps}?\p{N}")
+WHITE = " \t\n\v\f\r"
+NUMBERED = regex.compile(rf"[{WHITE}]*\p{{Ps}}?\p{{N}}")
 MAX_SENTENCE_BYTES = 2048
 
 
 def paragraphs(text: str) -> Iterator[str]:
-    """Lines put together up to a blank line, a change of indent, or a numbered line."""
+    """Lines put together up to a blank line, a change of indent, or a numbered line; without white space at their ends.
+
+    Lines end at line feeds alone, and white space is ASCII's alone: an ideographic space is no indent.
+    """
     held: list[str] = []
     indent = ""
-    for line in text.splitlines():
-        if not line.strip():
-            if held:
-                yield "\n".join(held)
-            held = []
-            continue
-        own = line[: len(line) - len(line.lstrip())]
-        if held and (own != indent or NUMBERED.match(line)):
+    for line in text.split("\n"):
+        bare = line.strip(WHITE)
+        own = line[: len(line) - len(line.lstrip(WHITE))]
+        if held and (not bare or own != indent or NUMBERED.match(line)):
             yield "\n".join(held)
             held = []
-        indent = own
-        held.append(line)
+        if bare:
+            indent = own
+            held.append(bare)
     if held:
         yield "\n".join(held)
 
@@ -229,12 +242,13 @@ def sentences_of(text: str | None) -> list[str]:
     """Sentences that end in an ideographic full stop and fit the size limit."""
     out = []
     for paragraph in paragraphs(text or ""):
-        flat, start = paragraph.replace("\n", " "), 0
-        for m in re.finditer("[。.]", flat):
-            if ends_sentence(flat, m.start(), start):
-                out.append(flat[start : m.end()].strip())
+        start = 0
+        for m in re.finditer("[。.]", paragraph):
+            if ends_sentence(paragraph, m.start(), start):
+                out.append(paragraph[start : m.end()])
                 start = m.end()
-        out.append(flat[start:].strip())
+        out.append(paragraph[start:])
+    out = [s.replace("\n", " ").strip(WHITE) for s in out]
     return [s for s in out if s.endswith("。") and len(s.encode()) <= MAX_SENTENCE_BYTES]
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+from lodestack.sources.folders import shared_dir
 
 from lodestack.functions.text import path_extension
 
@@ -40,12 +44,29 @@ def extraction_errors(records: DataFrame) -> DataFrame:
 
 
 def visits(lines: DataFrame) -> DataFrame:
-    """(file, position, user_id, search_id, search_n, timestamp): a request, its parameters and its user, in this order of lines."""
-    w = Window.partitionBy("file").orderBy("position")
-    before = lambda c, n: F.lag(c, n).over(w)
-    df = lines.where("kind in ('request', 'parameters', 'user')")
-    df = df.select("file", "position", "kind", "user_id", before("kind", 1).alias("k1"), before("kind", 2).alias("k2"), before("search_id", 1).alias("search_id"), before("search_n", 1).alias("search_n"), before("request_at", 2).alias("timestamp"))
-    return df.where("kind = 'user' and k1 = 'parameters' and k2 = 'request' and search_id is not null and search_n is not null and user_id is not null").drop("kind", "k1", "k2")
+    """(file, position, user_id, search_id, search_n, timestamp): a request, its parameters and its user, in this order of lines.
+
+    Lines are dealt by ranges, so a large file is worked on by several tasks. What stands before a range's first two lines is carried
+    over: at most four lines of a range take part in that, however long the file is.
+    """
+    spark = lines.sparkSession
+    columns = ["kind", "user_id", "search_id", "search_n", "request_at"]
+    dealt = lines.where("kind in ('request', 'parameters', 'user')").select("file", "position", *columns).repartitionByRange("file", "position")
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    dealt.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+
+    def with_two_before(df: DataFrame, w: WindowSpec) -> DataFrame:
+        before = lambda c, n: F.lag(c, n).over(w)
+        return df.select("*", before("kind", 1).alias("k1"), before("kind", 2).alias("k2"), before("search_id", 1).alias("_id"), before("search_n", 1).alias("_n"), before("request_at", 2).alias("timestamp"))
+
+    own = Window.partitionBy("file", "_part")
+    numbered = dealt.withColumn("_first", F.row_number().over(own.orderBy("position"))).withColumn("_last", F.row_number().over(own.orderBy(F.desc("position"))))
+    inside = with_two_before(numbered, own.orderBy("position")).where("_first > 2")
+    edges = with_two_before(numbered.where("_first <= 2 or _last <= 2"), Window.partitionBy("file").orderBy("position")).where("_first <= 2")
+    df = inside.unionByName(edges).where("kind = 'user' and k1 = 'parameters' and k2 = 'request'")
+    df = df.select("file", "position", "user_id", F.col("_id").alias("search_id"), F.col("_n").alias("search_n"), "timestamp")
+    return df.where("search_id is not null and search_n is not null and user_id is not null")
 
 
 def actions(searches: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from lodestack.operators import index, logs, search, similar
 from lodestack.operators.visibility import Dims, Request
 from lodestack.plans.queries import ESCAPED, HISTORIES, flat_history, has, histories, query, scored
 from lodestack.plans.sources import DOCUMENTS, ISSUES, documents, issues, t
-from lodestack.sources import readers, sinks
+from lodestack.sources import buckets, readers, sinks
 from lodestack.sources.folders import shared_dir
 from lodestack.streaming import streams
 
@@ -155,12 +155,12 @@ def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus after a feed of files, a few at a time; it started with every second order."""
     base = folder(spark)
     i = issues(spark, sf)
-    sinks.write_corpus(c.map_issues(i).where("source_id % 2 = 0").withColumn("title", F.lit("old")), f"{base}/corpus")
+    buckets.create_buckets(c.map_issues(i).where("source_id % 2 = 0").withColumn("title", F.lit("old")), f"{base}/corpus", 8)
     feed_of(spark, sf).repartitionByRange(3, "source_id").write.parquet(f"{base}/feed")
     feed = spark.readStream.schema(streams.FEED).option("maxFilesPerTrigger", 2).parquet(f"{base}/feed")
     stream = streams.stream_upserts(feed, f"{base}/corpus", {"Issue": (i, c.map_issues)}, f"{base}/checkpoint")
     stream.awaitTermination()
-    return sinks.read_corpus(spark, f"{base}/corpus").select("source_id", (F.col("title") != "old").alias("fresh"))
+    return buckets.read_buckets(spark, f"{base}/corpus").select("source_id", (F.col("title") != "old").alias("fresh"))
 
 
 @query("SELECT conv_id AS issue_id, count(*) FILTER (turn > 0) AS notes FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1")

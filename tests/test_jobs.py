@@ -7,7 +7,7 @@ import __spark_entry__
 from lodestack.operators import exports, logs, similar, sync, vectors
 from lodestack.operators import corpus as c
 from lodestack.operators.corpus import CORPUS
-from lodestack.sources import readers, sinks
+from lodestack.sources import buckets, readers, sinks
 from lodestack.streaming import streams
 
 T = datetime(2024, 1, 1)
@@ -80,8 +80,8 @@ def test_snapshots_and_streams(spark, tmp_path):
     df = spark.createDataFrame(feed, streams.FEED)
     df.repartitionByRange(2, "seq").write.parquet(str(tmp_path / "feed"))
     stream = spark.readStream.schema(streams.FEED).parquet(str(tmp_path / "feed"))
-    streams.stream_upserts(stream, folder, sources, str(tmp_path / "cp")).awaitTermination()
-    streamed = sinks.read_corpus(spark, folder)
+    streams.stream_upserts(stream, str(tmp_path / "kept"), sources, str(tmp_path / "cp")).awaitTermination()
+    streamed = buckets.read_buckets(spark, str(tmp_path / "kept"))
     batch = streams.apply_feed(spark.createDataFrame([], CORPUS), df, sources)
     assert sorted(r.source_id for r in streamed.collect()) == sorted(r.source_id for r in batch.collect()) == [2, 3]
     sinks.truncate_corpus(spark, folder)

@@ -63,3 +63,20 @@ def test_sentences_and_words(spark):
     assert one(spark, "x" * 300, t.truncate_words) == "x" * 252 + "..." and one(spark, "<", t.truncate_words) == "&lt;"
     df = spark.createDataFrame([(1, "一つ。二つ。")], "id long, content string")
     assert t.split_sentences(df).first().sentences == ["一つ。", "二つ。"]
+
+
+def test_lines_end_at_line_feeds_and_white_space_is_ascii():
+    assert t.sentences_of("\u3000最初の行\n次の行。") == ["\u3000最初の行 次の行。"]
+    assert t.sentences_of("一\u2028二\x85三。\r\n四\f\r\n五。") == ["一\u2028二\x85三。", "四 五。"]
+    assert t.sentences_of("  字下げ\n  続き。\n別の段落。") == ["字下げ 続き。", "別の段落。"]
+
+
+def test_unclosed_and_nested_elements_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert t.body_text("<b>x" * 100_000) == "x" * 100_000
+    assert t.body_text("<i>" * 50_000 + "</b>" * 50_000 + "y" + "</i>" * 50_000) == "y"
+    assert t.body_text("<p><title>a</p>b" * 30_000) == "b" * 30_000
+    assert time.perf_counter() - began < 20
+    assert t.body_text("<div>a<title>b</div>c") == "ac"
