@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 K = 50
@@ -21,20 +24,129 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def semantic_search(vectors: DataFrame, query: list[float] | None, k: int = K, keep: Column | None = None, post_filter: bool = False) -> DataFrame:
+def kept(vectors: DataFrame, keep: Column | DataFrame | None) -> DataFrame:
+    """Rows of vectors that may be shown: by a condition on their columns, or by a table of their ids (id)."""
+    if keep is None:
+        return vectors
+    return vectors.where(keep) if isinstance(keep, Column) else vectors.join(keep.select("id").distinct(), "id", "left_semi").select(*vectors.columns)
+
+
+def semantic_search(vectors: DataFrame | VectorIndex, query: list[float] | None, k: int = K, keep: Column | DataFrame | None = None, post_filter: bool = False, report: list[dict] | None = None) -> DataFrame:
     """The k rows of vectors (id, embedding, ...) nearest to query by cosine, nearest first, with their similarity.
 
-    keep says which rows may be shown, before k are chosen or, with post_filter, after. No query gives no rows.
+    keep says which rows may be shown (a condition, or a table of ids: what visible() leaves of the corpus), before k are chosen or, with
+    post_filter, after. No query gives no rows; rows whose vector is null or zero have no similarity and aren't found.
+
+    Of a VectorIndex only the cells are read that can hold one of the k: cells come nearest bound first, in growing groups, until the next
+    bound is beyond the k-th distance found. report, if given, gets the number of rows in the cells read and in all.
     """
-    if not query:
-        return vectors.withColumn("similarity", F.lit(0.0)).limit(0)
+    index = vectors if isinstance(vectors, VectorIndex) else None
+    rows = index.rows.drop("_cell", "_distance") if index is not None else vectors
+    if not query or not any(query):
+        return rows.withColumn("similarity", F.lit(0.0)).limit(0)
+    if index is not None:
+        rows = index.near(query, k, keep if not post_filter else None, report).drop("_cell", "_distance")
     given = F.array(*[F.lit(float(x)) for x in query])
-    df = vectors if keep is None or post_filter else vectors.where(keep)
+    df = rows if post_filter else kept(rows, keep)
     top = df.withColumn("similarity", cosine("embedding", given)).where("similarity is not null").orderBy(F.desc("similarity"), "id").limit(k)
-    return top.where(keep).orderBy(F.desc("similarity"), "id") if post_filter and keep is not None else top
+    return kept(top, keep).orderBy(F.desc("similarity"), "id") if post_filter and keep is not None else top
+
+
+#: Rows that centres are fitted on, rows of a cell that are aimed at, and the most cells (their centres are held by the driver).
+SAMPLE_ROWS, CELL_ROWS, MOST_CELLS = 20_000, 10_000, 1_024
+#: Similarities within this of the k-th are looked at: bounds come from rounded distances.
+SLACK = 1e-6
+
+
+def unit_rows(column: pa.Array) -> np.ndarray:
+    rows = np.array(column.to_pylist(), float)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@dataclass
+class VectorIndex:
+    """Vectors in cells around centres: rows with _cell and _distance (to the centre, both of length 1), and the cells' centres, sizes and bounds.
+
+    By the triangle inequality a row is no nearer to a query than the query's distance to the centre and the row's differ. Rows lie in the files by cell,
+    then distance, so that both kinds of bounds skip row groups.
+    """
+
+    rows: DataFrame
+    centres: np.ndarray
+    sizes: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+
+    def near(self, query: list[float], k: int, keep: Column | DataFrame | None, report: list[dict] | None = None) -> DataFrame:
+        """Rows that include the k nearest to query of those that may be shown."""
+        q = np.array(query, float) / np.linalg.norm(query)
+        to = np.linalg.norm(self.centres - q, axis=1) if len(self.centres) else np.zeros(0)
+        bound = np.maximum(0, np.maximum(to - self.most, self.least - to))
+        order = np.argsort(bound, kind="stable")
+        given = F.array(*[F.lit(float(x)) for x in query])
+        read, limit, group = 0, np.inf, 1
+        while read < len(order) and bound[order[read]] <= limit:
+            while read < len(order) and (self.sizes[order[:read]].sum() < k * group or bound[order[read]] == 0) and bound[order[read]] <= limit:
+                read += 1
+            some = kept(self.rows.where(F.col("_cell").isin(order[:read].tolist())), keep)
+            best = some.select(cosine("embedding", given).alias("s")).where("s is not null").orderBy(F.desc("s")).limit(k).agg(F.min("s"), F.count("*")).first()
+            limit = np.sqrt(max(0.0, 2 - 2 * best[0])) + SLACK if best[1] == k else np.inf
+            group *= 4
+        if report is not None:
+            report.append({"read": int(self.sizes[order[:read]].sum()), "rows": int(self.sizes.sum())})
+        chosen = [order[i] for i in range(read) if bound[order[i]] <= limit]
+        if not chosen:
+            return self.rows.where(F.lit(False))
+        window = [(F.col("_cell") == int(c)) & F.col("_distance").between(float(max(0.0, to[c] - limit)), float(min(2.0, to[c] + limit) + SLACK)) for c in chosen]
+        return self.rows.where(reduce(lambda x, y: x | y, window))
+
+
+def write_vectors(vectors: DataFrame, folder: str, cells: int | None = None) -> None:
+    """Writes vectors (id, embedding of one length, further columns) as a VectorIndex.
+
+    Centres are fitted on the SAMPLE_ROWS rows with the smallest hashes of their ids, every row is put into the cell of its nearest centre.
+    Null and zero vectors are left out: they have no similarity to anything.
+    """
+    spark = vectors.sparkSession
+    real = vectors.where(F.col("embedding").isNotNull() & (dot(F.col("embedding"), F.col("embedding")) > 0))
+    n = real.count()
+    cells = cells or int(min(MOST_CELLS, max(1, n // CELL_ROWS)))
+    sample = [r[0] for r in real.select("embedding", F.xxhash64("id").alias("mark")).orderBy("mark").limit(SAMPLE_ROWS).collect()]
+    points = np.array(sample, float) if sample else np.zeros((0, 1))
+    points = points / np.linalg.norm(points, axis=1, keepdims=True)
+    centres = points[: min(cells, len(points))]
+    for _ in range(10):
+        at = (points @ centres.T).argmax(axis=1) if len(points) else np.zeros(0, int)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, points)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = unit_rows(batch.column(batch.schema.get_field_index("embedding")))
+                cell = (rows @ shared.value.T).argmax(axis=1)
+                distance = np.linalg.norm(rows - shared.value[cell], axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(distance)], names=[*batch.schema.names, "_cell", "_distance"])
+
+    schema = StructType([*real.schema.fields, StructField("_cell", IntegerType()), StructField("_distance", DoubleType())])
+    real.mapInArrow(place, schema).repartitionByRange("_cell", "_distance").sortWithinPartitions("_cell", "_distance").write.mode("overwrite").option("parquet.block.size", str(4 << 20)).parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    bounds = rows.groupBy("_cell").agg(F.count("*").alias("n"), F.min("_distance").alias("least"), F.max("_distance").alias("most"))
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "_cell int, centre array<double>")
+    table.join(bounds, "_cell", "left").na.fill({"n": 0, "least": 0.0, "most": 0.0}).write.mode("overwrite").parquet(f"{folder}/cells")
+
+
+def read_vectors(spark: SparkSession, folder: str) -> VectorIndex:
+    cells = sorted(spark.read.parquet(f"{folder}/cells").collect())  # MOST_CELLS rows at most
+    column = lambda c: np.array([r[c] for r in cells], float)
+    centres = np.array([r["centre"] for r in cells], float) if cells else np.zeros((0, 1))
+    return VectorIndex(spark.read.parquet(f"{folder}/rows"), centres, column("n"), column("least"), column("most"))
 
 
 def semantic_search_many(vectors: DataFrame, queries: DataFrame, k: int = K, exclude_self: bool = True) -> DataFrame:

@@ -658,6 +658,23 @@ def semantic_topk(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.semantic_search(e.where("id <> 7"), q, 50, F.col("label") != 3).select("id", F.round("similarity", 9).alias("similarity"))
 
 
+@query(
+    f"""WITH {DOCUMENTS}, q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7), seen AS (SELECT source_id FROM tok WHERE project_id < 15 AND lang IN ('en', 'de'))
+SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 9) AS similarity FROM embeddings JOIN seen ON source_id = vec_id, q WHERE vec_id <> 7
+ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 50"""
+)
+def semantic_visible(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest documents that a user may see, from vectors in cells: projects, private rows and a hidden field (Spanish and French texts have it) are joined."""
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    d, path = documents(spark, sf), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    corpus = d.withColumn("custom_field_id", F.when(F.element_at("tags", 1)["name"].isin("es", "fr"), 5).otherwise(F.lit(None)).cast("long"))
+    dims = Dims(visible=d.select("project_id").distinct().where("project_id < 15"), hidden_fields=spark.createDataFrame([(5,)], "custom_field_id long"))
+    seen = visibility.visible(corpus, Request(), dims).select(F.col("source_id").alias("id"))
+    vectors.write_vectors(e.where("id <> 7"), path, 16)
+    found = vectors.semantic_search(vectors.read_vectors(spark, path), e.where("id = 7").first()["embedding"], 50, seen)
+    return found.select("id", F.round("similarity", 9).alias("similarity"))
+
+
 @query("WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM p) WHERE r <= 10")
 def semantic_many(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
