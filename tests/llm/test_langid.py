@@ -72,3 +72,66 @@ def test_labels_beyond_the_bound_stay(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert langid.train(langid.labelled(docs)).languages == ["en"]
     assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [0, 1, 2, 9]
+
+
+def test_fusion_equals_plain_bayes(spark):
+    """op3 on all of sf0.001, in plain Python: trigrams, smoothed likelihoods, posteriors, confusions and priors without a row's own share."""
+    from collections import Counter
+    from math import exp, log
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    fold = lambda b: b if b >= 128 or 97 <= b <= 122 else 32
+
+    names = sorted({r.lang for r in docs})
+    counts = {x: Counter() for x in names}
+    own = {}
+    for r in docs:
+        raw = f" {r.text or ''} ".lower().encode()
+        data = [fold(b) for b in raw]
+        own[r.doc_id] = [((((a << 16 | b << 8 | c) * 2654435761) & 0xFFFFFFFF) >> 16) for a, b, c in zip(data, data[1:], data[2:], strict=False) if b != 32]
+        counts[r.lang].update(own[r.doc_id])
+    logs = {x: (counts[x], sum(counts[x].values()) + langid.SMOOTHING * langid.CELLS) for x in names}
+    soft = lambda v: [exp(x - max(v)) / sum(exp(y - max(v)) for y in v) for x in v]
+    scores, shares = {}, {}
+    for i, cells in own.items():
+        v = [sum(log((logs[x][0][c] + langid.SMOOTHING) / logs[x][1]) for c in cells) for x in names] + [-len(cells) * log(langid.CELLS)]
+        scores[i] = [x * langid.TEMPER for x in v]
+        shares[i] = soft(scores[i]) if cells else [0.0] * len(v)
+    k = len(names)
+    add = lambda rows: [sum(c) for c in zip(*rows, strict=True)] if rows else [0.0] * k
+    part = lambda keep: add([shares[r.doc_id][:k] for r in docs if keep(r)])
+    total = part(lambda r: True)
+    overall = [(x + 1) / (sum(total) + k) for x in total]
+    seen = total
+    told = {}
+    for d in names:
+        prior = [langid.DECLARED_TRUE if d == x else (1 - langid.DECLARED_TRUE) / (k - 1) for x in names]
+        told[d] = [log((s + langid.DECLARED_WEIGHT * p) / (n + langid.DECLARED_WEIGHT)) for s, p, n in zip(part(lambda r, d=d: r.lang == d), prior, seen, strict=True)] + [log(1 / (k + 2))]
+    hosts = {h: part(lambda r, h=h: r.source == h) for h in {r.source for r in docs}}
+    got = {r.doc_id: r for r in langid.op3_language_id(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        rest = lambda v: [max(x - y, 0) for x, y in zip(v, shares[r.doc_id], strict=False)]  # noqa: B023, E731
+        above = rest(total)  # no source has a dot: one suffix holds all
+        above = [(x + langid.SUFFIX_WEIGHT * o) / (sum(above) + langid.SUFFIX_WEIGHT) for x, o in zip(above, overall, strict=True)]
+        host = rest(hosts[r.source])
+        host = [(x + langid.HOST_WEIGHT * o) / (sum(host) + langid.HOST_WEIGHT) for x, o in zip(host, above, strict=True)]
+        prior = [log(x * (1 - langid.UNDETERMINED_PRIOR)) for x in host] + [log(langid.UNDETERMINED_PRIOR)]
+        post = soft([a + b + c for a, b, c in zip(scores[r.doc_id], prior, told[r.lang], strict=True)])
+        best = post.index(max(post))
+        assert got[r.doc_id].language == (names + ["und"])[best] and abs(got[r.doc_id].confidence - max(post)) < 1e-3
+
+
+def test_pages_of_every_kind(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.where("lang = 'de'").first().text[:2000]
+    rows = [
+        (1, "https://a.de/x", f'<html lang="de"><body>{text}</body></html>'), (2, None, None), (3, "", ""), (4, "nonsense", "<html lang=de><script>" + text), (5, "http://u@b.de:80/", "<!-- " + text),
+        (6, "https://c.de", "<p>" + text * 200), (7, "https://c.de", "<" * 100_000), (8, "https://c.de", "<style>x</style>" + text + "&amp;" * 10), (8, "https://c.de", "<style>x</style>" + text + "&amp;" * 10), (None, "https://c.de", text),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit(1))
+    evidence = {(r.key, r.host): (r.text.strip() if r.text else r.text, r.declared) for r in langid.page_rows(pages).collect()}
+    assert evidence[1, "a.de"][1] == "de" and evidence[5, "b.de"][0] == "" and evidence[4, None] == ("", "de") and evidence[2, None] == (None, None)
+    got = sorted(((r.key, r.language) for r in langid.identify(langid.page_rows(pages), langid.train(langid.labelled(docs))).collect()), key=str)
+    assert got == sorted([(1, "de"), (2, "und"), (3, "und"), (4, "und"), (5, "und"), (6, "de"), (7, "und"), (8, "de"), (8, "de"), (None, "de")], key=str)
+    assert langid.identify(langid.page_rows(pages.limit(0)), langid.train(langid.labelled(docs))).count() == 0

@@ -68,3 +68,41 @@ def test_long_runs_and_runs_of_one_sort_reach_the_models(spark):
     got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.find_secrets(docs.union(tested)).where("doc_id < 0").collect()}
     assert [got[-1 - i] for i in range(2)] == [[(4, 4 + len(s))] for s in runs[:2]]
     assert got[-3] == [(4, 64)] and got[-5] == []
+
+
+def test_added_spans_equal_a_plain_sum_of_the_models(spark):
+    """The ratio of every candidate, in plain Python: transitions counted, smoothed, and summed over the whole string."""
+    from math import log
+
+    rng = random.Random(12)
+    letters = secrets.ALPHABET
+    rows = [(i, f"{' '.join(rng.choices(['alpha_beta', 'gamma_delta_epsilon', 'snake_case_words_here', 'zeta'], k=9))} token={''.join(rng.choices(letters, k=30))} x") for i in range(40)]
+    rows += [(100 + i, "".join(rng.choices([" ", *letters], weights=[3, *[1] * len(letters)], k=400))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bases = {i: brute(t) for i, t in rows}
+    values = [re.search(r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$", t[a:b])[1] if k == "assign" else t[a:b] for i, t in rows for k, a, b in bases[i]]
+    names = [w for _, t in rows for w in re.findall(r"[A-Za-z0-9+/_=-]{6,}", t)]
+    names = [w for w in names if not re.search(r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", w) and not (re.search("[0-9]", w) and len(w) >= 16)]
+
+    def table(strings):
+        n = [[secrets.SMOOTHING] * secrets.PLACES for _ in range(secrets.PLACES)]
+        for s in strings:
+            before = 0
+            for c in s:
+                n[before][letters.find(c) + 1] += 1
+                before = letters.find(c) + 1
+        return [[log(x / sum(row)) for x in row] for row in n]
+
+    random_logs, plain_logs = table(values), table(names)
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.find_secrets(docs).collect()}
+    some = 0
+    for i, t in rows:
+        want = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])", t):
+            places = [0, *(letters.find(c) + 1 for c in m[0])]
+            ratio = sum(random_logs[a][b] - plain_logs[a][b] for a, b in zip(places, places[1:], strict=False))
+            if ratio >= secrets.LEAST_RATIO and re.search("[0-9A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for _, a, b in bases[i]):
+                want.append(m.span())
+        assert got[i] == want
+        some += len(want)
+    assert some > 5
