@@ -26,9 +26,10 @@ def read_expansions(spark: SparkSession, path: str) -> DataFrame:
         as_json = False
     else:
         as_json = not whole.where(F.ltrim("value").startswith("[")).isEmpty()
-    if not as_json:
-        lines = spark.read.text(path).select(F.regexp_replace("value", "^\\uFEFF", "").alias("value")).where("trim(value) <> ''")
-        return lines.select(F.from_csv("value", PAIR, {"multiLine": "true"}).alias("p")).select("p.*")
+    if not as_json:  # a quoted field may hold line breaks
+        records = spark.read.schema(PAIR).options(multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+        bare = F.regexp_replace("source", "^\\uFEFF", "")
+        return records.select(bare.alias("source"), "destination").where("trim(source) <> '' or destination is not null")
     pairs = F.transform(F.from_json("value", "array<array<string>>"), lambda p: F.struct(F.get(p, F.lit(0)).alias("source"), F.get(p, F.lit(1)).alias("destination")))
     objects = F.from_json("value", "array<struct<source:string,destination:string>>")
     is_pairs = F.col("value").rlike(r"^\s*\[\s*\[")

@@ -69,6 +69,8 @@ def test_expansion_files(spark, tmp_path):
     for name, text in (("a.CSV", '﻿press,print\n"a,b",c\n'), ("b.json", '[["press","print"],["a,b","c"]]'), ("c.json", '[{"source":"press","destination":"print"},{"source":"a,b","destination":"c"}]'), ("d", ' [["press","print"],["a,b","c"]]'), ("e", "press,print\n\"a,b\",c")):
         (tmp_path / name).write_text(text)
         assert sorted(map(tuple, readers.read_expansions(spark, str(tmp_path / name)).collect())) == [("a,b", "c"), ("press", "print")]
+    (tmp_path / "f.csv").write_text('\ufeff"two\nlines","say ""x"""\n\na, b \n')
+    assert sorted(map(tuple, readers.read_expansions(spark, str(tmp_path / "f.csv")).collect())) == [("a", " b "), ("two\nlines", 'say "x"')]
 
 
 def test_snapshots_and_streams(spark, tmp_path):
