@@ -3,7 +3,7 @@
 Entries become integers, and the scatter of the distinct vectors is summed exactly. Its characteristic polynomial is found modulo
 many primes, each by reduction to Hessenberg form, and put together by Chinese remaindering. All roots are real, so the signs of
 the polynomial's coefficients, moved to a place, count the roots beyond it exactly: halving isolates each root, multiple ones
-included, and narrows it to many digits. A root's null space, by inverse iteration at that precision, gives its components.
+included, and narrows it to many digits (a single root by the polynomial's sign). A root's null space, by inverse iteration at that precision, gives its components.
 """
 
 from __future__ import annotations
@@ -186,6 +186,14 @@ def roots_beyond(polynomial: list[int], at: int, bits: int) -> int:
     return sum(a != b for a, b in zip(signs, signs[1:], strict=False))
 
 
+def sign_at(polynomial: list[int], at: int, bits: int) -> int:
+    """The sign of the polynomial at at / 2^bits."""
+    value = 0
+    for k, c in enumerate(reversed(polynomial)):
+        value = value * at + (c << bits * k)
+    return (value > 0) - (value < 0)
+
+
 def largest_roots(polynomial: list[int], most: int) -> list[tuple[int, int, int]]:
     """The greatest positive roots, falling: (root times 2^ROOT_BITS rounded down, number of the first, how many agree to that precision).
 
@@ -196,17 +204,21 @@ def largest_roots(polynomial: list[int], most: int) -> list[tuple[int, int, int]
     out, first = [], 0
     while first < min(most, positive):
         low, high, bits = 0, trace + 1, 0  # more than first roots exceed low / 2^bits, at most first exceed high / 2^bits
+        above, beyond = positive, 0  # how many do
         while bits < ROOT_BITS or high - low > 1:
             if high - low <= 1:
                 low, high, bits = 2 * low, 2 * high, bits + 1
             mid = (low + high) // 2
-            if roots_beyond(polynomial, mid, bits) > first:
-                low = mid
+            if above == first + 1 and beyond == first:  # a single root is left: the sign tells whether an odd number of roots exceeds the middle
+                found = first + (sign_at(polynomial, mid, bits) == (1 if first % 2 else -1))
+            else:
+                found = roots_beyond(polynomial, mid, bits)
+            if found > first:
+                low, above = mid, found
             else:
-                high = mid
-        last = roots_beyond(polynomial, low, bits)
-        out.append((low, first, last - first))
-        first = last
+                high, beyond = mid, found
+        out.append((low, first, above - first))
+        first = above
     return out
 
 
