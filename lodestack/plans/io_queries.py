@@ -128,11 +128,22 @@ def search_log(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_action_log(spark, path).select("search.search_id", "search.n_hits", "search.total_n_hits")
 
 
-@query()
+SHOWN = "'<span class=\"keyword\">'"
+
+
+@query(
+    f"""WITH hit AS (SELECT *, p_name LIKE '% ring' OR p_name LIKE 'ring %' AS named, p_type = 'ECONOMY' AS cheap FROM part)
+SELECT p_partkey AS id, 'Document: ' || replace(p_name, 'ring', {SHOWN} || 'ring</span>') AS title, 'document' AS type, '/documents/' || p_partkey AS url, {SHOWN} || p_type || '</span>' AS description,
+strftime(TIMESTAMP '2024-01-01' + to_minutes(p_partkey), '%Y-%m-%d %H:%M') AS at, CAST(102 AS BIGINT) AS rank, count(*) OVER () AS total_count FROM hit WHERE named AND cheap"""
+)
 def result_page(spark: SparkSession, sf: str) -> DataFrame:
-    request = Request("the with", types=["documents"])
-    found = search.search(documents(spark, sf), request, Dims(), keep=False)
-    return sinks.result_page(found.page, ["the", "with"], found.counts.first()["n_hits"], request.offset, request.limit)
+    """All hits of a search as an API shows them: parts play documents, with a word of the query in the title and one in the short content."""
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("p_partkey") * 60)
+    d = c.map_documents(t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit(1).cast("long").alias("project_id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), at.alias("created_on")))
+    request = Request("ring economy", limit=-1)
+    found = search.search(d, request, Dims(), keep=False)
+    page = sinks.result_page(found.page, ["ring", "economy"], found.counts.first()["n_hits"], request.offset, request.limit)
+    return page.select("id", "title", "type", "url", "description", F.date_format("datetime", "yyyy-MM-dd HH:mm").alias("at"), "rank", F.col("total_count").cast("long").alias("total_count"))
 
 
 @query("SELECT o_orderkey % 100 AS id, CAST(sum(strlen(o_orderpriority) + 1) AS BIGINT) AS n FROM orders GROUP BY 1")

@@ -809,7 +809,10 @@ def truncate_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select("doc_id", x.truncate_bytes("text", 1000).alias("cut"))
 
 
-@query()
+UNTAGGED = r"regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'), '(?s)<[/!a-zA-Z][^>]*>', '', 'g')"
+
+
+@query(rf"SELECT page_id, trim(html_unescape, chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace({UNTAGGED}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS html_unescape FROM pages)")
 def markup_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return x.markup_to_text(t(spark, sf, "pages").select("page_id", "html")).select("page_id", "text")
 
@@ -819,7 +822,17 @@ def nfkc(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select("doc_id", x.nfkc_lower("text").alias("text"))
 
 
-@query()
+WHITE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+
+@query(
+    rf"""WITH {DOCUMENTS}, line AS (SELECT source_id, unnest(string_split(replace(content, '.', '。'), chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM corpus),
+bare AS (SELECT *, trim(line, {WHITE}) AS bare, length(line) - length(ltrim(line, {WHITE})) AS indent FROM line),
+cut AS (SELECT *, bare <> '' AND (coalesce(lag(bare) OVER w, '') = '' OR left(line, indent) <> coalesce(lag(left(line, indent)) OVER w, '') OR regexp_matches(bare, '^\p{{Ps}}?\p{{N}}')) AS starts FROM bare WINDOW w AS (PARTITION BY source_id ORDER BY n)),
+paragraph AS (SELECT source_id, k, string_agg(bare, chr(10) ORDER BY n) AS text FROM (SELECT *, sum(starts::INT) OVER (PARTITION BY source_id ORDER BY n) AS k FROM cut) WHERE bare <> '' GROUP BY 1, 2),
+sentence AS (SELECT source_id, k, list_filter(list_transform(regexp_extract_all(text, '(?s)[^。]*。'), lambda s: trim(replace(s, chr(10), ' '), {WHITE})), lambda s: strlen(s) <= 2048) AS s FROM paragraph)
+SELECT source_id AS id, 'Document' AS source_type, flatten(list(s ORDER BY k)) AS sentences FROM sentence GROUP BY 1 HAVING len(flatten(list(s ORDER BY k))) > 0"""
+)
 def sentence_corpus(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).withColumn("content", F.replace("content", F.lit("."), F.lit("。")))
     return exports.sentence_corpus(d)
