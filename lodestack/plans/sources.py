@@ -12,6 +12,12 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files give fewer than half of them a task (a table of one row group gives one): searching its texts costs more than dealing them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def projects(spark: SparkSession, sf: str) -> DataFrame:
     """Nations; every seventh is archived. Regions are parents."""
     n = t(spark, sf, "nation")
@@ -53,7 +59,7 @@ JOURNALS = """journals AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderk
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus of documents: the first line as title, the source as project, the language as label; toxic ones are private."""
-    d, labels = t(spark, sf, "documents"), t(spark, sf, "labels").select("doc_id", "toxic")
+    d, labels = spread(t(spark, sf, "documents").select("doc_id", "text", "lang", "source")), t(spark, sf, "labels").select("doc_id", "toxic")
     df = d.join(labels, "doc_id", "left")
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
     return c.row(
