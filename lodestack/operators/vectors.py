@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator, Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -62,8 +63,10 @@ SLACK = 1e-6
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
+    """Vectors of length 1; zero vectors become nothing comparable (NaN)."""
     rows = np.array(column.to_pylist(), float)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms > 0, norms, np.nan)
 
 
 @dataclass
@@ -149,45 +152,75 @@ def read_vectors(spark: SparkSession, folder: str) -> VectorIndex:
     return VectorIndex(spark.read.parquet(f"{folder}/rows"), centres, column("n"), column("least"), column("most"))
 
 
-def semantic_search_many(vectors: DataFrame, queries: DataFrame, k: int = K, exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, similarity, rank): the k nearest rows of vectors (id, embedding) for every query (query_id, embedding).
+def semantic_search_many(vectors: DataFrame | VectorIndex, queries: DataFrame, k: int = K, exclude_self: bool = True, keep: Column | DataFrame | None = None, compared: Accumulator | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): the k nearest rows of vectors (id, embedding), of those that keep leaves, for every query (query_id, embedding).
 
-    Query vectors are broadcast in blocks of a set size, and each task keeps only its k best for each query before the merge by query.
+    Query vectors are broadcast in blocks of a set size, and each task keeps only its k best for each query before the merge by query. In a
+    VectorIndex a task compares the rows of a cell only with the queries whose k best so far the cell can still better; each query's
+    first bound comes from its nearest cells. Null and zero vectors are nobody's neighbours. compared, if given, adds up the pairs compared.
     """
-    context = vectors.sparkSession.sparkContext
+    index = vectors if isinstance(vectors, VectorIndex) else None
+    rows = kept(index.rows if index is not None else vectors, keep).where("embedding is not null")
+    rows = rows.select(F.col("id").cast("long"), "embedding", (F.col("_cell") if index is not None else F.lit(0)).alias("_cell"))
+    context = rows.sparkSession.sparkContext
     size = queries.select(F.size("embedding").alias("n")).agg(F.count("*"), F.max("n")).first()
     blocks = max(1, -(-(size[0] or 0) * (size[1] or 1) // BLOCK_NUMBERS))
 
-    def one(block: int) -> DataFrame:
-        own = queries.where((F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) & F.col("embedding").isNotNull()).select("query_id", "embedding").collect()
-        ids, matrix = [r[0] for r in own], np.array([r[1] for r in own], float)
-        norms = np.linalg.norm(matrix, axis=1) if len(own) else np.zeros(0)
-        shared = context.broadcast((ids, matrix, norms))
-
+    def best(rows: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, norms = shared.value
+            ids, matrix, bound, limit = shared.value
             best_s = np.full((len(ids), k), -np.inf)
             best_i = np.zeros((len(ids), k), np.int64)
             for batch in batches:
                 if not len(ids) or not batch.num_rows:
                     continue
-                own_ids = batch.column(0).to_numpy()
-                rows = np.array(batch.column(1).to_pylist(), float)
-                s = np.round(matrix @ rows.T / np.outer(norms, np.linalg.norm(rows, axis=1)), 12)
-                if exclude_self:
-                    s[np.array(ids)[:, None] == own_ids[None, :]] = -np.inf
-                s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(own_ids, (len(ids), len(own_ids)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                cells = batch.column(2).to_numpy()
+                for cell in np.unique(cells).tolist():
+                    at = np.flatnonzero(cells == cell)
+                    own_ids = batch.column(0).to_numpy()[at]
+                    own = unit_rows(batch.column(1).take(pa.array(at)))
+                    far = np.sqrt(np.maximum(0, 2 - 2 * best_s[:, -1])) + SLACK
+                    who = np.flatnonzero(bound[:, cell] <= np.minimum(limit, far))
+                    if compared is not None:
+                        compared.add(len(who) * len(at))
+                    s = np.round(matrix[who] @ own.T, 12)
+                    s[np.isnan(s)] = -np.inf
+                    if exclude_self:
+                        s[np.array(ids)[who, None] == own_ids[None, :]] = -np.inf
+                    s, i = np.concatenate([best_s[who], s], axis=1), np.concatenate([best_i[who], np.broadcast_to(own_ids, (len(who), len(own_ids)))], axis=1)
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    best_s[who], best_i[who] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             q, c = np.nonzero(np.isfinite(best_s))
             yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q], pa.int64()), pa.array(best_i[q, c]), pa.array(best_s[q, c])], names=["query_id", "id", "similarity"])
 
-        return vectors.where("embedding is not null").select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, similarity double")
+        return rows.mapInArrow(run, "query_id long, id long, similarity double")
 
-    hits = one(0)
-    for b in range(1, blocks):
-        hits = hits.unionByName(one(b))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+
+    def one(block: int) -> DataFrame:
+        own = queries.where((F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) & F.col("embedding").isNotNull()).select("query_id", "embedding").collect()
+        own = [r for r in own if any(r[1])]
+        ids, matrix = [r[0] for r in own], np.array([r[1] for r in own], float).reshape(len(own), -1 if own else 1)
+        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        limit = np.full(len(ids), np.inf)
+        if index is None or not len(ids) or not len(index.sizes):
+            return best(rows, context.broadcast((ids, matrix, np.zeros((len(ids), 1 if index is None else max(1, len(index.sizes)))), limit)))
+        to = np.sqrt(np.maximum(0, 2 - 2 * matrix @ index.centres.T))
+        bound = np.maximum(0, np.maximum(to - index.most, index.least - to) - SLACK)
+        # First the cells that are some query's nearest by their bounds, each held against those queries alone.
+        order = np.argsort(bound, axis=1, kind="stable")
+        enough = (np.cumsum(index.sizes[order], axis=1) < k + 1).sum(axis=1)
+        near = np.full(bound.shape, np.inf)
+        for i, n in enumerate(enough.tolist()):
+            near[i, order[i, : n + 1]] = 0
+        first = best(rows.where(F.col("_cell").isin(np.flatnonzero((near == 0).any(axis=0)).tolist())), context.broadcast((ids, matrix, near, np.zeros(len(ids)))))
+        least = first.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", "similarity").collect()  # a number for each query of the block
+        place = {q: i for i, q in enumerate(ids)}
+        for q, s in least:
+            limit[place[q]] = np.sqrt(max(0.0, 2 - 2 * s)) + SLACK
+        return best(rows, context.broadcast((ids, matrix, bound, limit)))
+
+    hits = reduce(DataFrame.unionByName, map(one, range(blocks)))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -682,6 +682,15 @@ def semantic_many(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "id", F.round("similarity", 9).alias("similarity"))
 
 
+@query("WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id AND e.label <> 3 WHERE q.vec_id % 20 = 0) SELECT query_id, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM p) WHERE r <= 10")
+def semantic_many_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest of the rows with another label than 3, from vectors in cells."""
+    e, path = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    vectors.write_vectors(e, path, 16)
+    found = vectors.semantic_search_many(vectors.read_vectors(spark, path), e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 10, keep=F.col("label") != 3)
+    return found.select("query_id", "id", F.round("similarity", 9).alias("similarity"))
+
+
 @query("SELECT item_id, 'query: ' || text AS text FROM benchmark")
 def embed_text_input(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "benchmark").select("item_id", vectors.embed_text_input("text", "query: ").alias("text"))

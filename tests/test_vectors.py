@@ -61,3 +61,29 @@ def test_edges(spark, tmp_path):
     assert v.semantic_search(index, [1.0, 0.0]).count() == 0 and v.semantic_search(index, None).count() == 0 and v.semantic_search(index, [0.0, 0.0]).count() == 0
     v.write_vectors(spark.createDataFrame([(1, [1.0, 2.0], 0)], TYPE), str(tmp_path / "w"))
     assert [r.id for r in v.semantic_search(v.read_vectors(spark, str(tmp_path / "w")), [-1.0, 0.0]).collect()] == [1]
+
+
+def test_many_queries_in_cells(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [*clustered(rng, 1200), (5000, None, 0), (5001, [0.0] * 12, 0)]
+    df = spark.createDataFrame(rows, TYPE)
+    v.write_vectors(df, str(tmp_path / "v"), 16)
+    index = v.read_vectors(spark, str(tmp_path / "v"))
+    queries = df.where("id % 40 = 0 or id >= 5000").select(F.col("id").alias("query_id"), "embedding")
+    for keep in (None, F.col("kind") == 1, spark.createDataFrame([(i,) for i in range(0, 1200, 7)], "id long")):
+        seen = {"None": lambda r: True, "Column": lambda r: r[2] == 1, "DataFrame": lambda r: r[0] % 7 == 0}[type(keep).__name__.replace("NoneType", "None")]
+        counted = spark.sparkContext.accumulator(0)
+        got = {}
+        for r in v.semantic_search_many(index, queries, 6, keep=keep, compared=counted).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.id
+        want = {}
+        for r in v.semantic_search_many(df, queries, 6, keep=keep).collect():
+            want.setdefault(r.query_id, {})[r["rank"]] = r.id
+        assert got == want and 5000 not in got and 5001 not in got
+        assert [got[80][i] for i in range(1, 7)] == [i for i in brute(rows, rows[80][1], 7, seen) if i != 80][:6]
+        if keep is None:
+            print("pairs compared", counted.value, "of", 30 * 1200)
+            assert counted.value < 0.5 * 30 * 1200
+    assert v.semantic_search_many(index, queries.limit(0), 6).count() == 0
+    v.write_vectors(df.limit(0), str(tmp_path / "none"))
+    assert v.semantic_search_many(v.read_vectors(spark, str(tmp_path / "none")), queries, 6).count() == 0
