@@ -27,6 +27,8 @@ from lodestack.llm.simhash import fingerprint, links
 SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
 STAR_ROUNDS = 3
+#: Texts of a bucket that one key of the last turn's join holds on either side, about.
+BLOCK_TEXTS = 500
 SKETCH_BITS = 512
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,12 +106,22 @@ def sketched(bucket: DataFrame, rows: DataFrame) -> DataFrame:
     return written(bucket.join(sketches.select("t", *[F.col("sketch")[i].alias(s) for i, s in enumerate(SKETCH)]), "t"))
 
 
+def in_blocks(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a bucket's join with itself, by key, part and other: large buckets are dealt to blocks, and each pair of blocks is a key of its own."""
+    parts = F.ceil(F.col("size") / BLOCK_TEXTS).cast("int")
+    own = F.pmod(F.xxhash64("t"), parts).cast("int")
+    sized = bucket.join(small(bucket.groupBy("key").agg(F.count("*").alias("size"))), "key")
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    left = sized.select("*", own.alias("part"), every.alias("other")).drop("size").repartition("key", "part", "other")
+    return left, sized.select("*", own.alias("other"), every.alias("part")).drop("size")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) as simhash.near_duplicates gives them, linked also by the similarity of shingle sets.
 
     A bucket's texts are first held against one of them, another one each time for STAR_ROUNDS rounds, which joins large groups of copies
     at a cost in proportion to their size. Those that are still in different components are then all held against each other by their
-    sketches, so no pair of a bucket is left out, and only pairs that may reach the similarity become rows.
+    sketches, so no pair of a bucket is left out, and only pairs that may reach the similarity become rows; a large bucket is dealt to tasks in blocks.
     """
     rows = written(prints_and_bands(docs))
     groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -119,16 +131,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     apart_bits = " + ".join(f"bit_count({s} ^ {s}_b)" for s in SKETCH)
     near = f"least(n, n_b) >= {LEAST_SIMILARITY} * greatest(n, n_b) and {apart_bits} <= (n + n_b) * {(1 - LEAST_SIMILARITY) / (1 + LEAST_SIMILARITY) + 1e-9}D"
     bucket = sketched(busy(spread), rows)
+    on = ["key"]
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
             chosen = F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("mark"), "root", "t", "n", *SKETCH)).alias("o")
             other = bucket.groupBy("key").agg(chosen).select("key", "o.*")
             apart = "root <> rb"
         else:
-            other = bucket
-            apart = "root > rb"
-        other = other.select("key", F.col("root").alias("rb"), F.col("t").alias("b"), F.col("n").alias("n_b"), *[F.col(s).alias(f"{s}_b") for s in SKETCH])
-        pairs = written(bucket.join(other, "key").where(f"{apart} and {near}").select(F.col("t").alias("a"), "b", F.col("root").alias("ra"), "rb").distinct())
+            bucket, other = in_blocks(bucket)
+            on, apart = ["key", "part", "other"], "root > rb"
+        other = other.select(*on, F.col("root").alias("rb"), F.col("t").alias("b"), F.col("n").alias("n_b"), *[F.col(s).alias(f"{s}_b") for s in SKETCH])
+        pairs = written(bucket.join(other, on).where(f"{apart} and {near}").select(F.col("t").alias("a"), "b", F.col("root").alias("ra"), "rb").distinct())
         edges = written(verified(docs, pairs))
         if not edges.isEmpty():
             part = written(connected_components(edges.toDF("u", "v")))

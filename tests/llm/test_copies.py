@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from test_simhash import brute_components, brute_fp
 
 from lodestack.llm import copies
@@ -95,3 +96,27 @@ def test_recall_on_all_documents(spark):
     edited = [(a, b) for a, b in near if sets[a] != sets[b]]
     print(f"recall {joined} of {len(near)} pairs, {sum(part[a] == part[b] for a, b in edited)} of {len(edited)} edited ones")
     assert len(edited) > 100 and joined >= 0.99 * len(near)
+
+
+def test_a_large_bucket_is_dealt_in_blocks(spark, monkeypatch):
+    """Texts that share a bucket but are no copies: every pair meets once, whatever the blocks."""
+    rows = [(k, f"t{i}", 9 + i % 3, i) for k, n in ((1, 90), (2, 7), (3, 1)) for i in range(n)]
+    bucket = spark.createDataFrame(rows, "key long, t string, n long, root long")
+    for block in (500, 10):
+        monkeypatch.setattr(copies, "BLOCK_TEXTS", block)
+        left, right = copies.in_blocks(bucket)
+        on = ["key", "part", "other"]
+        pairs = left.join(right.select(*on, F.col("root").alias("rb")), on).where("root > rb")
+        assert pairs.count() == pairs.distinct().count() == 90 * 89 // 2 + 21
+        assert left.select(*on).distinct().count() == (81 if block == 10 else 1) + 2
+    monkeypatch.setattr(copies, "STAR_ROUNDS", 0)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(60):
+        words = list(base)
+        for p in rng.sample(range(120), rng.randrange(4)):
+            words[p] = f"x{i}{p}"
+        docs.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
