@@ -15,9 +15,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestack.operators.corpus import CORPUS, KEY
 from lodestack.operators.search import (
+    POSTING,
     Result,
     build_postings,
     condition,
@@ -36,6 +38,8 @@ from lodestack.operators.visibility import Dims, Request, select_types
 
 TEXTS = ["title", "content"]
 NARROW = [c for c in CORPUS.fieldNames() if c not in TEXTS]
+#: What each part of a segment holds.
+PARTS = {"postings": POSTING, "keys": StructType([CORPUS[c] for c in NARROW]), "texts": StructType([CORPUS[c] for c in (*KEY, *TEXTS)]), "taken": StructType([CORPUS[c] for c in KEY])}
 SEGMENT = "number long, name string, whole boolean, normalized boolean"
 #: Bytes of a row group of texts: a page's rows are found by the ids that each group spans.
 GROUP_BYTES = str(4 << 20)
@@ -109,11 +113,11 @@ def read_index(spark: SparkSession, folder: str) -> Index:
     later = state[1:]
 
     def whole(part: str) -> DataFrame:
-        each = [spark.read.parquet(f"{folder}/{r['name']}/{part}").withColumn("_segment", F.lit(r["number"])) for r in state]
+        each = [spark.read.schema(PARTS[part]).parquet(f"{folder}/{r['name']}/{part}").withColumn("_segment", F.lit(r["number"])) for r in state]
         df = reduce(DataFrame.unionByName, each)
         if not later:
             return df.drop("_segment")
-        taken = [spark.read.parquet(f"{folder}/{r['name']}/taken").withColumn("_taken", F.lit(r["number"])) for r in later]
+        taken = [spark.read.schema(PARTS["taken"]).parquet(f"{folder}/{r['name']}/taken").withColumn("_taken", F.lit(r["number"])) for r in later]
         last = reduce(DataFrame.unionByName, taken).groupBy(*KEY).agg(F.max("_taken").alias("_taken"))
         return df.join(last, KEY, "left").where("_taken is null or _segment >= _taken").drop("_segment", "_taken")
 
