@@ -153,9 +153,10 @@ def search_index(index: Index, request: Request, dims: Dims, tag_dim: DataFrame
         rows = top.collect()
         top = narrow.sparkSession.createDataFrame(rows, top.schema)
         texts = index.texts.where(F.col("source_id").isin(sorted({r["source_id"] for r in rows})) & F.col("source_type").isin(sorted({r["source_type"] for r in rows})))
-        shown = texts.join(F.broadcast(top), KEY)
+        shown = texts.join(F.broadcast(top), KEY).repartition(1)  # request.limit rows
     else:
         shown = index.texts.join(top, KEY)
     words = query_words(tree)
-    shown = snippets(shown, words).withColumn("highlighted", highlight("title", words)).orderBy(*sort_columns(request))
+    shown = snippets(shown, words).withColumn("highlighted", highlight("title", words))
+    shown = shown.sortWithinPartitions(*sort_columns(request)) if request.limit >= 0 else shown.orderBy(*sort_columns(request))
     return Result(shown, hit_counts(narrow, request.types, one), type_drilldown(narrow), None if tag_dim is None else tag_drilldown(chosen, tag_dim), narrow if keep else None)
