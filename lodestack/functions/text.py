@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
+WHITE = " \t\n\v\f\r"
 #: Scripts whose runs are indexed as pairs of characters.
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー々"
 TOKEN = rf"[{CJK}]+|[\p{{L}}&&[^{CJK}]]+|\p{{N}}+"
@@ -67,13 +69,17 @@ class BodyText(HTMLParser):
             self.parts.append(data)
 
 
+NAMED = re.compile("&([A-Za-z][A-Za-z0-9]*);?")
+
+
 def body_text(html: str | None) -> str | None:
+    """Text of a page. Named references are those that end in a semicolon, others (as in a title cut short: "R&amp") stay as written."""
     if html is None:
         return None
     parser = BodyText()
-    parser.feed(html)
+    parser.feed(NAMED.sub(lambda m: m[0] if m[0][1:] in html5 and m[0][-1] == ";" else f"&amp;{m[0][1:]}", html))
     parser.close()
-    return "".join(parser.parts).strip()
+    return "".join(parser.parts).strip(f"{WHITE}\0")
 
 
 def markup_to_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
@@ -197,7 +203,6 @@ def format_elapsed(x: Column | str) -> Column:
     )
 
 
-WHITE = " \t\n\v\f\r"
 NUMBERED = regex.compile(rf"[{WHITE}]*\p{{Ps}}?\p{{N}}")
 MAX_SENTENCE_BYTES = 2048
 

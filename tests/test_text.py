@@ -45,6 +45,12 @@ def test_html(spark):
     assert one(spark, "<a href='x'>&\"", t.escape_html) == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"
 
 
+def test_references_end_in_semicolons():
+    assert t.body_text("<p>a &amp;&amp;&amp</p><p>R&am, &notit; &quo &amp; &copy;&#39; x&ampy; &nosuch;</p>") == "a &&&ampR&am, &notit; &quo & ©' x&ampy; &nosuch;"
+    assert t.body_text('<a class="wiki-anchor" href="?a&amp=1&b">x</a>&nbsp;end&nbsp;\n') == "\xa0end\xa0"
+    assert t.body_text("<script>a && b &amp</script>c &") == "c &"
+
+
 def test_parts_and_tags(spark):
     df = spark.createDataFrame([("a", "", "c")], "a string, b string, c string")
     assert df.select(t.join_parts("a", "b", "c")).first()[0] == "a\nc"
