@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 K = 50
 #: Numbers of query vectors in one broadcast block; more queries are answered in several passes.
 BLOCK_NUMBERS = 4_000_000
+#: Queries, and rows, whose similarities a task holds at a time (32 MB); similarities within SAME of the k-th are compared with it, rounded.
+TILE, SAME = 2_000, 1e-11
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,7 +66,9 @@ SLACK = 1e-6
 
 def unit_rows(column: pa.Array) -> np.ndarray:
     """Vectors of length 1; zero vectors become nothing comparable (NaN)."""
-    rows = np.array(column.to_pylist(), float)
+    lengths = np.unique(column.value_lengths().to_numpy(zero_copy_only=False))
+    even = len(lengths) == 1 and lengths[0] > 0
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if even else np.array(column.to_pylist(), float)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms > 0, norms, np.nan)
 
@@ -152,10 +156,42 @@ def read_vectors(spark: SparkSession, folder: str) -> VectorIndex:
     return VectorIndex(spark.read.parquet(f"{folder}/rows"), centres, column("n"), column("least"), column("most"))
 
 
+def merge_best(best_s: np.ndarray, best_i: np.ndarray, q: np.ndarray, i: np.ndarray, s: np.ndarray) -> None:
+    """Puts candidates (query's row, id, similarity) among the k best of their queries, in place: by similarity, then id."""
+    k = best_s.shape[1]
+    who, q = np.unique(q, return_inverse=True)
+    q = np.concatenate([np.repeat(np.arange(len(who)), k), q])
+    s, i = np.concatenate([best_s[who].ravel(), s]), np.concatenate([best_i[who].ravel(), i])
+    order = np.lexsort((i, -s, q))
+    q, s, i = q[order], s[order], i[order]
+    place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(who)))[q]
+    best_s[who], best_i[who] = s[place < k].reshape(-1, k), i[place < k].reshape(-1, k)
+
+
+def compare(matrix: np.ndarray, ids: np.ndarray, who: np.ndarray, own: np.ndarray, own_ids: np.ndarray, best_s: np.ndarray, best_i: np.ndarray, exclude_self: bool) -> None:
+    """Holds rows (own, own_ids) against the queries who of matrix, tile by tile, and keeps their k best: no more than TILE squared similarities at a time."""
+    k = best_s.shape[1]
+    for row in range(0, len(own), TILE):
+        some, some_ids = own[row : row + TILE], own_ids[row : row + TILE]
+        for first in range(0, len(who), TILE):
+            at = who[first : first + TILE]
+            s = matrix[at] @ some.T
+            s[np.isnan(s)] = -np.inf  # a zero vector is like nothing
+            if exclude_self:
+                shared = np.flatnonzero(np.isin(some_ids, ids[at]))
+                s[:, shared] = np.where(ids[at][:, None] == some_ids[shared][None, :], -np.inf, s[:, shared])
+            least = best_s[at, -1]
+            if s.shape[1] > k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+            q, c = np.nonzero((s >= (least - SAME)[:, None]) & (s > -np.inf))
+            if len(q):
+                merge_best(best_s, best_i, at[q], some_ids[c], np.round(s[q, c], 12))
+
+
 def semantic_search_many(vectors: DataFrame | VectorIndex, queries: DataFrame, k: int = K, exclude_self: bool = True, keep: Column | DataFrame | None = None, compared: Accumulator | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the k nearest rows of vectors (id, embedding), of those that keep leaves, for every query (query_id, embedding).
 
-    Query vectors are broadcast in blocks of a set size, and each task keeps only its k best for each query before the merge by query. In a
+    Query vectors are broadcast in blocks of a set size, and each task compares tiles of a set size and keeps only its k best for each query before the merge by query. In a
     VectorIndex a task compares the rows of a cell only with the queries whose k best so far the cell can still better; each query's
     first bound comes from its nearest cells. Null and zero vectors are nobody's neighbours. compared, if given, adds up the pairs compared.
     """
@@ -164,13 +200,15 @@ def semantic_search_many(vectors: DataFrame | VectorIndex, queries: DataFrame, k
     rows = rows.select(F.col("id").cast("long"), "embedding", (F.col("_cell") if index is not None else F.lit(0)).alias("_cell"))
     context = rows.sparkSession.sparkContext
     size = queries.select(F.size("embedding").alias("n")).agg(F.count("*"), F.max("n")).first()
-    blocks = max(1, -(-(size[0] or 0) * (size[1] or 1) // BLOCK_NUMBERS))
+    width = max(size[1] or 1, 0 if index is None else len(index.sizes))  # a query's numbers, and its bounds for the cells
+    blocks = max(1, -(-(size[0] or 0) * width // BLOCK_NUMBERS))
 
     def best(rows: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix, bound, limit = shared.value
             best_s = np.full((len(ids), k), -np.inf)
             best_i = np.zeros((len(ids), k), np.int64)
+            marks = np.array(ids, np.int64)
             for batch in batches:
                 if not len(ids) or not batch.num_rows:
                     continue
@@ -183,15 +221,9 @@ def semantic_search_many(vectors: DataFrame | VectorIndex, queries: DataFrame, k
                     who = np.flatnonzero(bound[:, cell] <= np.minimum(limit, far))
                     if compared is not None:
                         compared.add(len(who) * len(at))
-                    s = np.round(matrix[who] @ own.T, 12)
-                    s[np.isnan(s)] = -np.inf
-                    if exclude_self:
-                        s[np.array(ids)[who, None] == own_ids[None, :]] = -np.inf
-                    s, i = np.concatenate([best_s[who], s], axis=1), np.concatenate([best_i[who], np.broadcast_to(own_ids, (len(who), len(own_ids)))], axis=1)
-                    order = np.lexsort((i, -s), axis=1)[:, :k]
-                    best_s[who], best_i[who] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                    compare(matrix, marks, who, own, own_ids, best_s, best_i, exclude_self)
             q, c = np.nonzero(np.isfinite(best_s))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q], pa.int64()), pa.array(best_i[q, c]), pa.array(best_s[q, c])], names=["query_id", "id", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(marks[q]), pa.array(best_i[q, c]), pa.array(best_s[q, c])], names=["query_id", "id", "similarity"])
 
         return rows.mapInArrow(run, "query_id long, id long, similarity double")
 

@@ -87,3 +87,25 @@ def test_many_queries_in_cells(spark, tmp_path):
     assert v.semantic_search_many(index, queries.limit(0), 6).count() == 0
     v.write_vectors(df.limit(0), str(tmp_path / "none"))
     assert v.semantic_search_many(v.read_vectors(spark, str(tmp_path / "none")), queries, 6).count() == 0
+
+
+def test_no_task_holds_all_queries_against_a_batch():
+    """Tiles bound what is held at a time: 3,000 queries by 10,000 rows would take 240 MB for the similarities alone, and several times that sorted."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    matrix, own = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(3_000, 8)), rng.normal(size=(10_000, 8))))
+    own[17], own[5_000:5_040] = np.nan, own[4_000]
+    ids, own_ids, k = np.arange(3_000), np.arange(10_000)[::-1].copy(), 7
+    best_s, best_i = np.full((3_000, k), -np.inf), np.zeros((3_000, k), np.int64)
+    tracemalloc.start()
+    for first in range(0, 10_000, 5_000):
+        v.compare(matrix, ids, np.arange(3_000), own[first : first + 5_000], own_ids[first : first + 5_000], best_s, best_i, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    for q in range(0, 3_000, 97):
+        s = np.round(own @ matrix[q], 12)
+        s[np.isnan(s) | (own_ids == q)] = -np.inf
+        order = np.lexsort((own_ids, -s))[:k]
+        assert best_i[q].tolist() == own_ids[order].tolist() and np.allclose(best_s[q], s[order], atol=1e-11)
