@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions.text import tokenize
+from lodestack.operators.vectors import merge_best
 from lodestack.sources.folders import shared_dir
 
 #: Weights are whole numbers of 1 / UNIT.
@@ -19,6 +23,10 @@ UNIT = 10_000
 FIRST_ROUND, ROUND_FACTOR = 64, 8
 #: A term's issues are dealt to a key for each so many.
 BLOCK = 2_000
+#: Pairs are made as rows for terms of up to so many issues; issues that need more frequent ones are held against all others by blocks.
+PAIRED = 500
+#: Terms of issues in one broadcast block, and candidates that a task holds before it keeps the best.
+ASKED_ROWS, HELD = 2_000_000, 500_000
 
 
 def build_issue_contents(issues: DataFrame, journals: DataFrame, attachments: DataFrame) -> DataFrame:
@@ -111,14 +119,89 @@ def similar_issues(contents: DataFrame | Weights, issue_id: int, limit: int = 5,
     return scored.orderBy(F.desc("score"), "issue_id").limit(limit)
 
 
+def by_blocks(asked: DataFrame, weights: DataFrame, limit: int, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(issue_id, other_id, score): for every issue of asked (issue_id, term, own, least) its limit best by all its terms, none of which is below least.
+
+    A block of ASKED_ROWS terms of issues is broadcast, and a task sums up one other issue after the other for all issues of the block: no pair becomes
+    a row but the task's best of each issue. The products grow with the square of the issues; rows, memory and what is shuffled don't.
+    """
+    spark = weights.sparkSession
+    terms = kept(asked.select("term").distinct().withColumn("t", F.monotonically_increasing_id()), "terms")
+    dealt = kept(weights.join(terms, "term").select(F.col("issue_id").cast("long").alias("other_id"), "t", "w").repartitionByRange("other_id").sortWithinPartitions("other_id"), "dealt")
+    asked = kept(asked.join(terms, "term").select(F.col("issue_id").cast("long").alias("issue_id"), "t", "own", "least"), "asked")
+    blocks = max(1, -(-asked.count() // ASKED_ROWS))
+
+    def one(block: int) -> DataFrame:
+        rows = asked.where(F.pmod(F.xxhash64("issue_id"), F.lit(blocks)) == block).toArrow()
+        q, t, own, least = (rows.column(c).to_numpy() for c in ("issue_id", "t", "own", "least"))
+        ids, first, q = np.unique(q, return_index=True, return_inverse=True)
+        order = np.argsort(t, kind="stable")
+        marks, starts = np.unique(t[order], return_index=True)
+        shared = spark.sparkContext.broadcast((ids, least[first], marks, np.append(starts, len(t)), q[order].astype(np.int32), own[order]))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, least, marks, starts, q, own = shared.value
+            best_s, best_i = np.full((len(ids), limit), -np.inf), np.zeros((len(ids), limit), np.int64)
+            least = np.maximum(least, 0.5)  # sums are whole numbers
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def keep_best() -> None:
+                if held:
+                    merge_best(best_s, best_i, *map(np.concatenate, zip(*held)))
+                    np.maximum(least, best_s[:, -1], out=least)
+                    held.clear()
+
+            def add(other: int, at: np.ndarray, w: np.ndarray) -> int:
+                spans = [slice(starts[a], starts[a + 1]) for a in at]
+                parts = np.concatenate([own[x] for x in spans])
+                parts *= np.repeat(w, starts[at + 1] - starts[at])
+                score = np.bincount(np.concatenate([q[x] for x in spans]), parts, len(ids))
+                who = np.flatnonzero(score >= least)
+                who = who[ids[who] != other]
+                held.append((who, np.full(len(who), other), score[who]))
+                return len(who)
+
+            n = 0
+            for other, t, w in whole(batches):
+                at = np.searchsorted(marks, t)
+                known = marks[np.minimum(at, len(marks) - 1)] == t if len(marks) else np.zeros(len(t), bool)
+                if known.any():
+                    n += add(other, at[known], w[known])
+                if n > HELD:
+                    keep_best()
+                    n = 0
+            keep_best()
+            found, c = np.nonzero(np.isfinite(best_s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(best_i[found, c]), pa.array(best_s[found, c])], names=["issue_id", "other_id", "score"])
+
+        return kept(dealt.mapInArrow(run, "issue_id long, other_id long, score double"), f"block{block}")
+
+    return reduce(DataFrame.unionByName, map(one, range(blocks)))
+
+
+def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(other_id, terms, weights) of issues whose rows follow each other, over the ends of batches."""
+    rest = None
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns)]
+        ends = np.flatnonzero(np.diff(columns[0])) + 1
+        for a, b in zip(np.append(0, ends[:-1]), ends):
+            yield int(columns[0][a]), columns[1][a:b], columns[2][a:b]
+        rest = [c[ends[-1] if len(ends) else 0 :] for c in columns]
+    if rest is not None and len(rest[0]):
+        yield int(rest[0][0]), rest[1], rest[2]
+
+
 def similar_pairs(contents: DataFrame | Weights, limit: int = 5, top_terms: int = 30, report: list[dict] | None = None) -> DataFrame:
     """(issue_id, other_id, score, rank): similar_issues() for every issue at once, exactly.
 
     An issue's terms are taken in the order of their frequency, in rounds. Rare terms bring other issues in; what the terms still to come can
     add at most (own weight times the term's largest) bounds every issue that has not been met. As soon as the limit-th
     best sum so far is above that, no unmet issue can be among the best: only those met that can still reach it are looked
-    into, by issue, and the frequent terms' pairs are never made. A frequent term's issues are dealt to several keys, so no key has
-    more than BLOCK squared of its pairs, about. report, if given, gets a row for each round: the greatest frequency, issues asked and pairs made.
+    into, by issue, and the frequent terms' pairs are never made. Issues that terms of up to PAIRED issues don't settle are held against all others by
+    blocks (by_blocks). A frequent term's issues are dealt to several keys, so no key has more than BLOCK squared of its pairs, about. report, if given, gets a row for each round: the greatest frequency, issues asked and pairs made.
     """
     w = weights_of(contents)
     spark = w.by_term.sparkSession
@@ -167,4 +250,13 @@ def similar_pairs(contents: DataFrame | Weights, limit: int = 5, top_terms: int
         if high >= top or active.isEmpty():
             break
         low, high, turn = high, high * ROUND_FACTOR, turn + 1
+        if min(high, top) > PAIRED:
+            asked = source.join(state.where("not settled").select("issue_id", "least"), "issue_id")
+            if report is not None:
+                report.append({"most_df": top, "issues": active.count(), "pairs": asked.agg(F.sum("df")).first()[0]})
+            late = by_blocks(asked.select("issue_id", "term", "own", "least"), w.by_issue.select("issue_id", "term", "w"), limit, kept)
+            kind = source.schema["issue_id"].dataType
+            late = late.select(F.col("issue_id").cast(kind).alias("issue_id"), F.col("other_id").cast(kind).alias("other_id"), "score")
+            done.append(late.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit))
+            break
     return reduce(DataFrame.unionByName, done).select("issue_id", "other_id", (F.col("score") / UNIT**2).alias("score"), "rank")

@@ -51,6 +51,24 @@ def test_pairs_equal_brute_force_and_shrink(spark, monkeypatch):
     assert [r["issues"] for r in report] == sorted((r["issues"] for r in report), reverse=True)
 
 
+def test_issues_of_frequent_terms_are_compared_by_blocks_without_rows_for_pairs(spark, monkeypatch):
+    rows = contents(random.Random(9), 260, ["hot", "warm", "mild"])
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(similar, "FIRST_ROUND", 4)
+    monkeypatch.setattr(similar, "PAIRED", 20)
+    monkeypatch.setattr(similar, "ASKED_ROWS", 700)
+    monkeypatch.setattr(similar, "HELD", 100)
+    written = []
+    whole = similar.by_blocks
+    monkeypatch.setattr(similar, "by_blocks", lambda a, w, n, kept: whole(a, w, n, lambda d, name: written.append((name, kept(d, name))) or written[-1][1]))
+    report = []
+    assert {tuple(r) for r in similar.similar_pairs(df, 3, report=report).collect()} == brute(rows, 3)
+    blocks = [d for name, d in written if name.startswith("block")]
+    assert len(blocks) > 1 and len(report) == 2
+    # At most the best of every issue in each task, though the products are many.
+    assert all(d.count() <= 3 * report[-1]["issues"] * 4 for d in blocks) and sum(d.count() for d in blocks) < report[-1]["pairs"] / 2
+
+
 def test_one_issue_equals_pairs(spark, tmp_path):
     rows = contents(random.Random(5), 60, ["hot"])
     df = spark.createDataFrame(rows, SCHEMA)
