@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー々"
 TOKEN = rf"[{CJK}]+|[\p{{L}}&&[^{CJK}]]+|\p{{N}}+"
 ASCII = r"^[\x00-\x7F]*$"
 MAX_BYTES = 4 << 20
+#: Rows that Python turns into results at a time.
+SLICE_BYTES = 1 << 20
 
 
 def col(x: Column | str) -> Column:
@@ -30,6 +33,25 @@ def widened(df: DataFrame, name: str, kind: DataType) -> StructType:
     return StructType([*(f for f in df.schema.fields if f.name != name), StructField(name, kind)])
 
 
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about size bytes, of a row at least."""
+    step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+    return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
+def with_column(df: DataFrame, name: str, out: str, kind: DataType, arrow: pa.DataType, f: Callable[[str | None], object]) -> DataFrame:
+    """df with f of a text column; Python holds SLICE_BYTES of rows and their results at a time, however many a batch has."""
+    others = [c for c in df.columns if c != out]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, SLICE_BYTES):
+                made = pa.array([f(x.as_py()) for x in part.column(name)], arrow)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), made], names=[*others, out])
+
+    return df.mapInArrow(run, widened(df, out, kind))
+
+
 class BodyText(HTMLParser):
     """Text inside body (or of a fragment without one), without scripts and without what a wiki anchor holds directly."""
 
@@ -85,11 +107,7 @@ def body_text(html: str | None) -> str | None:
 def markup_to_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """df with the text of an HTML column; blank becomes "", null stays null."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(**{out: pdf[html].map(body_text)})
-
-    return df.mapInPandas(run, widened(df, out, StringType()))
+    return with_column(df, html, out, StringType(), pa.string(), body_text)
 
 
 def clean_text(x: Column | str) -> Column:
@@ -260,11 +278,7 @@ def sentences_of(text: str | None) -> list[str]:
 def split_sentences(df: DataFrame, text: str = "content", out: str = "sentences") -> DataFrame:
     """df with an array of the sentences of a text column."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(**{out: pdf[text].map(sentences_of)})
-
-    return df.mapInPandas(run, widened(df, out, ArrayType(StringType())))
+    return with_column(df, text, out, ArrayType(StringType()), pa.list_(pa.string()), sentences_of)
 
 
 def truncate_words(x: Column | str, n: int = 255) -> Column:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as t
@@ -86,3 +87,15 @@ def test_unclosed_and_nested_elements_take_linear_time():
     assert t.body_text("<p><title>a</p>b" * 30_000) == "b" * 30_000
     assert time.perf_counter() - began < 20
     assert t.body_text("<div>a<title>b</div>c") == "ac"
+
+
+def test_python_holds_a_slice_of_a_batch(spark):
+    """A batch of 24 MB of texts comes back in parts, each of about the bytes that a task may hold, with all rows in their order."""
+    df = spark.range(600).coalesce(1).select("id", F.repeat(F.lit("一つ。"), 4_000).alias("content"))
+    found = t.split_sentences(df)
+    got = found.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.column(0)[0].as_py()])], names=["n", "first"]) for b in batches), "n long, first long").collect()
+    assert found.agg(F.sum(F.size("sentences")), F.count("*")).first()[:] == (600 * 4_000, 600)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["一つ。" * 4_000] * 600)], names=["id", "content"])
+    parts = list(t.slices(batch, t.SLICE_BYTES))
+    assert len(parts) > 15 and max(p.nbytes for p in parts) <= t.SLICE_BYTES and sum((p.column(0).to_pylist() for p in parts), []) == list(range(600))
+    assert sum(r.n for r in got) == 600
