@@ -48,15 +48,15 @@ def read_expansions_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as lines of an action log, a file for every user: views are searches, clicks visits, the rest extractions."""
+    """Events as lines of an action log, which rolls over by time: views are searches, clicks visits, the rest extractions."""
     e = t(spark, sf, "events").select("*", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
     body = F.to_json(F.struct((F.col("event_id") % 50).cast("string").alias("search_id"), F.col("props").alias("q"), "user_id", (F.floor("value") % 4).alias("n_hits"), (F.floor("value") % 4).alias("total_n_hits"), (F.col("value") / 100).alias("elapsed_time"), F.col("at").alias("timestamp")))
     record = F.concat(F.lit("[ActiveJob] [Job] [1] [full-text-search][text-extract] "), F.when(F.col("event_type") == "error", "Failed to extract").otherwise("Extracted"), F.lit(": Target: <"), F.col("event_id").cast("string"), F.lit(">: path: </a."), "event_type", F.lit(">: elapsed time: <"), F.col("value").cast("string"), F.lit("s>: memory usage: <1.5GiB>: memory usage diff: <2MiB>"))
     visit = F.concat(F.lit('Started GET "/x" for ::1 at '), "at", F.lit(' +0000\n  Parameters: {"search_id"=>"'), (F.col("event_id") % 50).cast("string"), F.lit('", "search_n"=>"'), (F.floor("value") % 10).cast("string"), F.lit('"}\n  Current user: u (id='), F.col("user_id").cast("string"), F.lit(")"))
     line = F.when(F.col("event_type") == "view", F.concat(F.lit("[full-text-search][search] "), body)).when(F.col("event_type") == "click", visit).otherwise(record)
     path = folder(spark)
-    e.select("user_id", "ts", "event_id", line.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "value").write.partitionBy("user_id").text(path)
-    return readers.read_action_log(spark, f"{path}/*")
+    e.select("ts", "event_id", line.alias("value")).repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").select("value").write.text(path)
+    return readers.read_action_log(spark, path)
 
 
 @query("SELECT CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'user' ELSE 'text-extract' END AS kind, count(*) AS n, CAST(coalesce(sum(CASE WHEN event_type = 'view' THEN floor(value) % 4 END), 0) AS BIGINT) AS hits, round(coalesce(sum(CASE WHEN event_type NOT IN ('view', 'click') THEN value END), 0), 3) AS elapsed FROM events GROUP BY 1")

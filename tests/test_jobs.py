@@ -138,3 +138,17 @@ def test_upsert_of_equal_times(spark):
     titles = [{r.source_id: r.title for r in sync.upsert(corpus, spark.createDataFrame(some, CORPUS).repartition(n)).collect()} for some, n in ((changes, 1), (changes[::-1], 4))]
     assert titles[0] == titles[1] and titles[0][1] in ("a", "b") and titles[0][2] == "kept" and titles[0][3] == "e"
     assert sync.upsert(corpus, corpus.limit(0)).count() == 2
+
+
+def test_an_action_log_has_files_by_time_and_none_for_each_user(spark, tmp_path):
+    from lodestack.plans.io_queries import log_lines
+
+    events = spark.range(600).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 7 % 601).alias("ts"), (F.col("id") % 300).alias("user_id"), F.when(F.col("id") % 2 == 0, "click").otherwise("view").alias("event_type"), (F.col("id") % 9).cast("double").alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    lines = log_lines(spark, str(tmp_path))
+    assert lines.select("file").distinct().count() <= 8
+    found = logs.visits(lines)
+    assert {(r.user_id, r.search_id, r.search_n, r.n) for r in found.groupBy("user_id", "search_id", "search_n").agg(F.count("*").alias("n")).collect()} == {
+        (r.user_id, r.search_id, r.search_n, r.n)
+        for r in events.where("event_type = 'click'").groupBy("user_id", (F.col("event_id") % 50).cast("string").alias("search_id"), F.floor("value").alias("search_n")).agg(F.count("*").alias("n")).collect()
+    }
