@@ -59,3 +59,24 @@ def test_a_projects_files_are_one_array(spark, tmp_path):
     empty = issue_histories(issues.limit(0), *rest)
     sinks.export_issue_histories(empty, str(tmp_path / "none"))
     assert not list(Path(tmp_path / "none").glob("project=*"))
+
+
+def test_notes_and_changes_meet_by_issue_once(spark):
+    """Nothing that holds a history is shuffled, and details that know their issue aren't joined to their journals."""
+    issues, journals, details, *rest = tables(spark)
+    own = journals.select(F.col("id").alias("journal_id"), F.col("journalized_id").alias("issue_id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = issue_histories(issues, journals, details.join(F.broadcast(own), "journal_id"), *rest)
+        shuffles = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(shuffles) <= 3, shuffles  # notes with changes, issues, hours
+    assert sorted(map(str, found.collect())) == sorted(map(str, issue_histories(issues, journals, details, *rest).collect()))
+
+
+def test_files_may_be_compressed(spark, tmp_path):
+    sinks.export_issue_histories(issue_histories(*tables(spark)), str(tmp_path / "out"), "gzip")
+    assert list(Path(tmp_path / "out").glob("project=5/part-*.gz"))
+    lines = spark.read.text(str(tmp_path / "out")).orderBy("project", "value").select("value").collect()
+    assert len(lines) == 3 and sum(r.value.startswith("[") for r in lines) == 2 and sum(r.value.endswith("]") for r in lines) == 2
