@@ -108,7 +108,7 @@ def export_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def export_issue_histories(spark: SparkSession, sf: str) -> DataFrame:
     """The records of the projects' JSON arrays, as read back from the files."""
     path, found = folder(spark), histories(spark, sf)
-    sinks.export_issue_histories(found, path)
+    sinks.export_issue_histories(found, path, "gzip")
     line = F.regexp_replace("value", r"^[\[,]|\]$", "")
     return flat_history(spark.read.text(path).select("project", F.from_json(line, found.schema["issue"].dataType).alias("issue")))
 
