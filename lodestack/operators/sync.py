@@ -43,12 +43,18 @@ def synchronize(corpus: DataFrame, sources: dict[str, tuple[DataFrame, Callable[
 
     sources: for each source type its rows and the function that maps some of them to corpus rows. only narrows what is new.
     """
+    archived = projects.where(F.col("status") == ARCHIVED).select(F.col("id").alias("project_id")).distinct()
+    live = projects.where(F.col("status") != ARCHIVED).select(F.col("id").alias("project_id")).distinct()
     out = None
-    for source_type, (source, mapper) in sources.items():
+    for source_type, (source, mapper) in sources.items():  # all meet by id, so that each side is dealt once
         own = corpus.where(F.col("source_type") == source_type)
-        changed = find_new(source, corpus, source_type, projects, only).select(*source.columns).unionByName(find_outdated(source, corpus, source_type))
-        keys = find_orphans(source, corpus, source_type, projects).union(changed.select(F.lit(source_type).alias("source_type"), F.col("id").alias("source_id")))
-        part = own.join(keys.distinct(), KEY, "left_anti").select(*corpus.columns).unionByName(mapper(changed.join(projects.where(F.col("status") != ARCHIVED).select(F.col("id").alias("project_id")), "project_id", "left_semi").select(*source.columns)))
+        seen = own.select(F.col("source_id").alias("id"), F.col("last_modified_at").alias("_seen"), F.lit(True).alias("_known"))
+        outdated = F.coalesce(F.col("_seen") < F.col("updated_on"), F.lit(False)) if "updated_on" in source.columns else F.lit(False)
+        new = F.col("_known").isNull() & (F.col("project_id").isin(only) if only is not None else F.lit(True))
+        changed = source.join(seen, "id", "left").where(new | outdated).select(*source.columns)
+        kept = own.join(source.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        kept = kept.join(find_outdated(source, corpus, source_type).select(F.col("id").alias("source_id")), "source_id", "left_anti").join(archived, "project_id", "left_anti")
+        part = kept.select(*corpus.columns).unionByName(mapper(changed.join(live, "project_id", "left_semi").select(*source.columns)))
         out = part if out is None else out.unionByName(part)
     rest = corpus.where(~F.col("source_type").isin(list(sources)))
     return rest if out is None else rest.unionByName(out)

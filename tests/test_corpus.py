@@ -84,3 +84,10 @@ def test_cascade_and_labels(spark):
     assert {r.source_id: tagged(r) for r in more.collect()}[6] == [("label", "a"), ("label", "b")]
     less = sync.remove_label(more, labels.where("label = 'a'"))
     assert {r.source_id: tagged(r) for r in less.collect()}[6] == [("label", "b")]
+
+
+def test_synchronizing_joins_each_side_by_id_alone(spark):
+    row = "id long, project_id long, tracker_id long, status_id long, author_id long, subject string, description string, is_private boolean, created_on timestamp, updated_on timestamp"
+    issues, projects = spark.createDataFrame([], row), spark.createDataFrame([], "id long, status string")
+    plan = sync.synchronize(c.map_issues(issues), {"Issue": (issues, c.map_issues)}, projects)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") <= 6, plan
