@@ -51,7 +51,7 @@ def count(spark: SparkSession, folder: str) -> int:
 
 def _write(rows: DataFrame, folder: str, number: int, buckets: int, touched: list[int]) -> None:
     spark, name = rows.sparkSession, uuid.uuid4().hex
-    dealt = rows.select(*CORPUS.fieldNames(), bucket_of(buckets).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", *KEY)
+    dealt = rows.select(*CORPUS.fieldNames(), bucket_of(buckets).alias("bucket")).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *KEY)  # a large bucket is written by several tasks
     dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/{name}")
     at = spark.read.schema(f"bucket int, {KEY[1]} long").parquet(f"{folder}/{name}")
     filled = sorted(r[0] for r in at.select("bucket").distinct().collect())

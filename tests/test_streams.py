@@ -93,3 +93,14 @@ def test_visits_are_the_same_wherever_a_file_is_cut(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(want) > 50 and logs.visits(df.where(F.lit(False))).count() == 0
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = c.row(spark.range(20_000), "Issue", source_id="id", content=F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512)))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        buckets.create_buckets(rows.repartition(8), str(tmp_path / "b"), 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "b").glob("*/bucket=0/part-*"))) > 1
+    assert buckets.read_buckets(spark, str(tmp_path / "b")).select("source_id").distinct().count() == 20_000
