@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,12 +128,14 @@ def build_tag_dim(corpus: DataFrame, statuses: DataFrame | None = None, trackers
     A tag whose status, tracker or user no longer exists has no row.
     """
     found = corpus.select(F.explode("tags").alias("t")).select("t.type", "t.name").distinct()
-    parts = found.where(~F.col("type").isin("issue-status", "tracker", "user")).withColumn("value", F.col("name"))
-    for kind, dim in (("issue-status", statuses), ("tracker", trackers), ("user", users)):
-        if dim is not None:
-            d = dim.select(F.col("id").cast("string").alias("name"), F.col("name").alias("value"))
-            parts = parts.unionByName(found.where(F.col("type") == kind).join(d, "name"))
-    return parts
+    looked_up = ("issue-status", "tracker", "user")
+    dims = [(kind, dim) for kind, dim in zip(looked_up, (statuses, trackers, users), strict=True) if dim is not None]
+    if not dims:
+        return found.where(~F.col("type").isin(*looked_up)).withColumn("value", F.col("name"))
+    names = reduce(DataFrame.unionByName, [dim.select(F.lit(kind).alias("type"), F.col("id").cast("string").alias("name"), F.col("name").cast("string").alias("_value"), F.lit(True).alias("_there")) for kind, dim in dims])
+    known = found.join(names, ["type", "name"], "left")  # one join, so that the corpus is read once
+    value = F.when(F.col("type").isin(*looked_up), F.col("_value")).otherwise(F.col("name"))
+    return known.where(~F.col("type").isin(*looked_up) | F.col("_there")).select("type", "name", value.alias("value"))
 
 
 def backfill_registered_at(corpus: DataFrame, created: DataFrame) -> DataFrame:

@@ -91,3 +91,10 @@ def test_synchronizing_joins_each_side_by_id_alone(spark):
     issues, projects = spark.createDataFrame([], row), spark.createDataFrame([], "id long, status string")
     plan = sync.synchronize(c.map_issues(issues), {"Issue": (issues, c.map_issues)}, projects)._jdf.queryExecution().analyzed().toString()
     assert plan.count("Join ") <= 6, plan
+
+
+def test_tag_dim_reads_the_corpus_once(spark):
+    rows = spark.createDataFrame([([("issue-status", "1"), ("label", "a")],), ([("issue-status", "9"), ("user", "3"), ("tracker", "2")],)], "tags array<struct<type:string,name:string>>")
+    dim = sync.build_tag_dim(rows, spark.createDataFrame([(1, "New")], "id long, name string"), None, spark.createDataFrame([(3, None)], "id long, name string"))
+    assert {tuple(r) for r in dim.collect()} == {("issue-status", "1", "New"), ("label", "a", "a"), ("user", "3", None)}
+    assert dim._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
