@@ -32,6 +32,8 @@ CORPUS = StructType(
 SOURCE_TYPES = ("Issue", "Journal", "WikiPage", "CustomValue", "Project", "News", "Document", "Message", "Attachment", "Changeset", "Change")
 TAG_TYPES = ("extension", "identifier", "issue-status", "text-extraction", "tracker", "user", "label")
 KEY = ["source_type", "source_id"]
+#: Deleted paths are broadcast up to so many.
+BROADCAST_PATHS = 200_000
 
 
 def tags(*found: Column) -> Column:
@@ -173,7 +175,9 @@ def apply_deletions(targets: DataFrame, changes: DataFrame) -> DataFrame:
     last = gone.groupBy("repository_id", F.col("path").alias("_above")).agg(F.max("changeset_id").alias("_deleted"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    keys = targets.select("repository_id", "path", "changeset_id").distinct()
+    keys = targets.select("repository_id", "path", "changeset_id")
+    few = last.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+    keys, last = (keys, F.broadcast(last)) if few else (keys.distinct(), last)
     hit = keys.withColumn("_above", F.explode(above)).join(last, ["repository_id", "_above"]).where("changeset_id < _deleted").select("repository_id", "path", "changeset_id").distinct()
     return targets.join(hit, ["repository_id", "path", "changeset_id"], "left_anti")
 

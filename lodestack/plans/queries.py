@@ -423,7 +423,9 @@ last AS (SELECT repository_id, path, max(changeset_id) AS deleted FROM gone GROU
 SELECT id FROM dated t WHERE action <> 'D' AND NOT EXISTS (SELECT 1 FROM last l WHERE l.repository_id = t.repository_id AND t.changeset_id < deleted AND (l.path = t.path OR t.path LIKE l.path || '/%'))"""
 )
 def apply_deletions(spark: SparkSession, sf: str) -> DataFrame:
-    dated = changes(spark, sf).join(changesets(spark, sf).select(F.col("id").alias("changeset_id"), "repository_id", "revision"), "changeset_id")
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    changes(spark, sf).join(changesets(spark, sf).select(F.col("id").alias("changeset_id"), "repository_id"), "changeset_id").write.parquet(path)
+    dated = spark.read.parquet(path)  # read four times
     return c.apply_deletions(dated.where("action <> 'D'"), dated).select("id")
 
 
