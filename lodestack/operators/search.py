@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,29 +241,46 @@ def match(corpus: DataFrame, tree: object, titles_only: bool = False, normalized
 POSTING = "term string, field string, source_type string, source_id long, tf long, positions array<int>"
 
 
-def grouped_positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of rows (source_type, source_id, field, tokens): a row's tokens are sorted among themselves, nothing is shuffled."""
-    for batch in batches:
-        step = max(1, int(batch.num_rows * (8 << 20) / max(batch.nbytes, 1)))
-        for own in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
-            sizes = own.column(3).value_lengths().to_numpy(zero_copy_only=False)
-            coded = own.column(3).flatten().dictionary_encode()
-            codes, row = coded.indices.to_numpy(), np.repeat(np.arange(own.num_rows), sizes)
-            key = row * max(1, len(coded.dictionary)) + codes
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
-            positions = (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order].astype(np.int32)
-            of, ends = row[order][starts], np.append(starts, len(key))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(positions))
-            columns = [coded.dictionary.take(pa.array(codes[order][starts])), *(own.column(c).take(pa.array(of)) for c in (2, 0, 1)), pa.array(np.diff(ends), pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "field", *KEY, "tf", "positions"])
-
-
-def build_postings(corpus: DataFrame, normalized: bool = True) -> DataFrame:
+#: Rows are looked through for up to so many words before they are tokenised.
+LOOKED_FOR = 20
+
+
+def grouped_positions(terms: list[str] | None = None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes postings, all or those of some terms, of rows (source_type, source_id, field, tokens): a row's tokens are sorted among themselves, nothing is shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if terms is None else pa.array(terms, pa.string())
+        for batch in batches:
+            step = max(1, int(batch.num_rows * (8 << 20) / max(batch.nbytes, 1)))
+            for own in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                sizes = own.column(3).value_lengths().to_numpy(zero_copy_only=False)
+                coded = own.column(3).flatten().dictionary_encode()
+                codes, row = coded.indices.to_numpy(), np.repeat(np.arange(own.num_rows), sizes)
+                positions = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+                if wanted is not None:
+                    kept = pc.is_in(coded.dictionary, wanted).to_numpy(zero_copy_only=False)[codes]
+                    codes, row, positions = codes[kept], row[kept], positions[kept]
+                key = row * max(1, len(coded.dictionary)) + codes
+                order = np.argsort(key, kind="stable")
+                starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+                of, ends = row[order][starts], np.append(starts, len(key))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(positions[order]))
+                columns = [coded.dictionary.take(pa.array(codes[order][starts])), *(own.column(c).take(pa.array(of)) for c in (2, 0, 1)), pa.array(np.diff(ends), pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "field", *KEY, "tf", "positions"])
+
+    return run
+
+
+def build_postings(corpus: DataFrame, normalized: bool = True, terms: list[str] | None = None) -> DataFrame:
     """(term, field, source_type, source_id, tf, positions): the inverted index of title, content and tag names.
 
-    A target's n-th identifier has a field "identifier n" of its own besides, as it must meet a query by itself.
+    A target's n-th identifier has a field "identifier n" of its own besides, as it must meet a query by itself. With terms only their
+    postings are made; of few terms, rows that don't contain any aren't tokenised.
     """
+    if terms is not None and normalized and len(terms) <= LOOKED_FOR:
+        names = F.transform(F.coalesce("tags", F.array().cast("array<struct<type:string,name:string>>")), lambda t: t["name"])
+        text = F.lower(F.concat_ws("\n", "title", "content", names))
+        corpus = corpus.where(reduce(lambda a, b: a | b, [text.contains(t) for t in terms], F.lit(False)))
     tokened = with_tokens(corpus, normalized)
     tags = F.coalesce("tags", F.array().cast("array<struct<type:string,name:string>>"))
     tag_tokens = F.flatten(F.transform(tags, lambda t: tokenize(F.lower(t["name"]))))
@@ -271,7 +289,7 @@ def build_postings(corpus: DataFrame, normalized: bool = True) -> DataFrame:
         F.filter(tags, lambda t: t["type"] == "identifier"), lambda t, n: F.struct(F.concat(F.lit("identifier "), n.cast("string")).alias("field"), tokenize(F.lower(t["name"])).alias("tokens"))
     )
     each = tokened.select(*KEY, F.explode(F.concat(fields, identifiers)).alias("f")).where("size(f.tokens) > 0").select(*KEY, "f.field", "f.tokens")
-    return each.mapInArrow(grouped_positions, POSTING)
+    return each.mapInArrow(grouped_positions(terms), POSTING)
 
 
 def write_postings(corpus: DataFrame, folder: str, normalized: bool = True) -> None:
@@ -535,8 +553,12 @@ def search_many(corpus: DataFrame | None, queries: DataFrame, k: int | None = 10
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.lower("text")))).alias("term"))
     wanted = asked.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_WORDS else wanted
-    p = (build_postings(corpus) if postings is None else postings).where(F.col("field").isin("title", "content")).join(wanted, "term", "left_semi")
+    few = wanted.limit(BROADCAST_WORDS + 1).collect() if postings is None else None
+    terms = sorted(r["term"] for r in few) if few is not None and len(few) <= BROADCAST_WORDS else None  # with them the other words' postings aren't made
+    if terms is None:
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_WORDS else wanted
+    p = (build_postings(corpus, terms=terms) if postings is None else postings).where(F.col("field").isin("title", "content"))
+    p = p if terms is not None else p.join(wanted, "term", "left_semi")
     weight = F.when(F.col("field") == "title", F.col("tf") * TITLE_WEIGHT).otherwise(F.least("tf", F.lit(CONTENT_CAP)))
     found = p.groupBy("term", *KEY).agg(F.sum(weight).cast("long").alias("s"))
     folder = f"{shared_dir(queries.sparkSession)}/{uuid.uuid4().hex}"

@@ -141,3 +141,11 @@ def test_many_queries_on_postings(spark, tmp_path, monkeypatch):
     assert {(r.query_id, r.source_id) for r in best if r["rank"] == 1} == {(q, min(i for p, i, n in want if p == q and n == max(m for o, _, m in want if o == q))) for q in {x[0] for x in want}}
     looked = s.search_many(None, queries, None, postings=stored)._jdf.queryExecution().executedPlan().toString()
     assert "p/part" not in looked  # the postings were met before; what is left reads the asked words' rows
+
+
+def test_postings_of_some_terms_are_those_among_all(spark):
+    corpus = spark.createDataFrame([("Issue", 1, "Of the", "the of the x", [("identifier", "The")]), ("Issue", 2, "none", None, None), ("Issue", 3, None, "other", [("label", "of 7")])], "source_type string, source_id long, title string, content string, tags array<struct<type:string,name:string>>")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(s.build_postings(corpus).where("term in ('of', 'the')"))
+    assert rows(s.build_postings(corpus, terms=["of", "the"])) == want and len(want) == 7
+    assert rows(s.build_postings(corpus, terms=["of", "the", *(f"w{i}" for i in range(30))])) == want and not rows(s.build_postings(corpus, terms=[]))
