@@ -292,10 +292,28 @@ def build_postings(corpus: DataFrame, normalized: bool = True, terms: list[str]
     return each.mapInArrow(grouped_positions(terms), POSTING)
 
 
+#: Bytes of texts whose postings one task sorts (some 200 MB), and rows of a page, which a search passes over by its terms.
+SORTED_TEXT, PAGE_ROWS = 16 << 20, "4000"
+
+
+def dealt_by_text(corpus: DataFrame) -> int:
+    """How many tasks have SORTED_TEXT bytes of the corpus' texts each, or one task a core if that is more."""
+    size = corpus.agg(F.sum(F.coalesce(F.octet_length("title"), F.lit(0)) + F.coalesce(F.octet_length("content"), F.lit(0)))).first()[0] or 0
+    return max(corpus.sparkSession.sparkContext.defaultParallelism, -(-size // SORTED_TEXT))
+
+
+def write_sorted(postings: DataFrame, folder: str) -> None:
+    """Writes postings, which are dealt by target, sorted by term within each task: none of them is shuffled for it."""
+    writer = postings.sortWithinPartitions("term", "field", *KEY).write.mode("overwrite")
+    writer.option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.block.size", str(SORTED_TEXT)).parquet(folder)
+
+
 def write_postings(corpus: DataFrame, folder: str, normalized: bool = True) -> None:
-    """Writes the index sorted by term, so that a search reads only its terms' row groups; frequent terms are cut by target."""
-    order = ["term", "field", *KEY]
-    build_postings(corpus, normalized).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(folder)
+    """Writes the index in parts, each of some targets and sorted by term, so that a search reads only its terms' pages of every part.
+
+    Texts are dealt, which are smaller than their postings, and a row is tokenised once; a task sorts SORTED_TEXT bytes of texts, however many there are.
+    """
+    write_sorted(build_postings(corpus.select(*KEY, "title", "content", "tags").repartition(dealt_by_text(corpus), *KEY), normalized), folder)
 
 
 def read_postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -319,8 +337,8 @@ def has_where(tree: object) -> bool:
 def match_postings(postings: DataFrame, tree: object, titles_only: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """(source_type, source_id, score) of what meets a condition of words, from an inverted index: what match() finds.
 
-    Only the query's terms are read (the written index is sorted by term, so others are skipped). Words of a phrase meet at the
-    position where the phrase starts. A condition that a target can meet without any of its words (a negation) needs targets, all rows
+    Only the query's terms are read (the parts of the written index are sorted by term, so others are skipped). Words of a phrase meet
+    by target, and the positions where the phrase would start are intersected. A condition that a target can meet without any of its words (a negation) needs targets, all rows
     with their keys and tags; for others the index is enough. A condition on columns (Where) can't be met from an index.
     """
     if has_where(tree):
@@ -340,9 +358,12 @@ def match_postings(postings: DataFrame, tree: object, titles_only: bool = False,
     p = postings.where(some & (fields | F.col("field").startswith("identifier "))).select(*KEY, "field", "tf", "positions", F.explode(F.array_compact(F.array(*parts))).alias("a"))
     hit = p.where("a.size = 1").select(*KEY, "field", "a.leaf", "tf")
     if any(a[4] > 1 for a in asked):
-        starts = p.where("a.size > 1").select(*KEY, "field", "a.leaf", "a.form", "a.size", F.explode(F.transform("positions", lambda at: at - F.col("a.place"))).alias("start"))
-        whole = starts.groupBy(*KEY, "field", "leaf", "form", "size", "start").agg(F.count("*").alias("n")).where("n = size")
-        hit = hit.unionByName(whole.select(*KEY, "field", "leaf", F.lit(1).cast("long").alias("tf")))
+        shifted = F.struct(F.col("a.place"), F.transform("positions", lambda at: at - F.col("a.place")).alias("starts"))
+        placed = p.where("a.size > 1").select(*KEY, "field", "a.leaf", "a.form", "a.size", shifted.alias("p")).groupBy(*KEY, "field", "leaf", "form", "size").agg(F.collect_list("p").alias("all"))
+        starts = lambda place: F.flatten(F.transform(F.filter("all", lambda p: p["place"] == place), lambda p: p["starts"]))
+        whole = F.aggregate(F.sequence(F.lit(1), F.col("size") - 1), starts(F.lit(0)), lambda before, place: F.array_intersect(before, starts(place)))
+        times = placed.select(*KEY, "field", "leaf", F.size(whole).cast("long").alias("tf")).where("tf > 0")
+        hit = hit.unionByName(times)
     at = {x: (F.col(f"_title_{i}"), F.col(f"_content_{i}")) for i, x in enumerate(found)}
     flags = [F.sum(F.when((F.col("leaf") == i) & (F.col("field") == c), F.col("tf")).otherwise(0)).alias(f"_{c}_{i}") for i in range(len(found)) for c in ("title", "content")]
     named = F.collect_set(F.when(F.col("field").startswith("identifier "), F.struct("field", "leaf"))).alias("_named")
