@@ -1,7 +1,7 @@
 """A written search index that follows changes, and whole searches on it.
 
-An index is a row of segments in a folder. Each holds postings sorted by term, the narrow columns of its rows, and their texts, both
-sorted by id. The first segment is a whole corpus. A later one holds rows that changed, and the keys that it takes back from all
+An index is a row of segments in a folder. Each holds postings, sorted by term in parts of some rows each, and its rows, sorted by id,
+of which a search reads the narrow columns and the texts of a page. The first segment is a whole corpus. A later one holds rows that changed, and the keys that it takes back from all
 segments before it; nothing else is read or written for a change. Merging makes one segment of all, without reading a text again for its words.
 
 A list of the segments is written last, so that readers see whole ones only, and those who read an older state aren't disturbed.
@@ -21,8 +21,8 @@ from lodestack.operators.corpus import CORPUS, KEY
 from lodestack.operators.search import (
     POSTING,
     Result,
-    build_postings,
     condition,
+    dealt_by_text,
     find,
     has_where,
     highlight,
@@ -33,15 +33,17 @@ from lodestack.operators.search import (
     sort_columns,
     tag_drilldown,
     type_drilldown,
+    write_postings,
+    write_sorted,
 )
 from lodestack.operators.visibility import Dims, Request, select_types
 
 TEXTS = ["title", "content"]
 NARROW = [c for c in CORPUS.fieldNames() if c not in TEXTS]
 #: What each part of a segment holds.
-PARTS = {"postings": POSTING, "keys": StructType([CORPUS[c] for c in NARROW]), "texts": StructType([CORPUS[c] for c in (*KEY, *TEXTS)]), "taken": StructType([CORPUS[c] for c in KEY])}
+PARTS = {"postings": POSTING, "rows": CORPUS, "taken": StructType([CORPUS[c] for c in KEY])}
 SEGMENT = "number long, name string, whole boolean, normalized boolean"
-#: Bytes of a row group of texts: a page's rows are found by the ids that each group spans.
+#: Bytes of a row group of rows: a page's rows are found by the ids that each group spans.
 GROUP_BYTES = str(4 << 20)
 
 
@@ -50,12 +52,19 @@ class Index:
     """An index as it was when it was read. keys: the corpus without texts; texts: keys, title and content."""
 
     postings: DataFrame
-    keys: DataFrame
-    texts: DataFrame
+    rows: DataFrame
     normalized: bool
 
+    @property
+    def keys(self) -> DataFrame:
+        return self.rows.select(*NARROW)
+
+    @property
+    def texts(self) -> DataFrame:
+        return self.rows.select(*KEY, *TEXTS)
+
     def corpus(self) -> DataFrame:
-        return self.keys.join(self.texts, KEY).select(*CORPUS.fieldNames())
+        return self.rows
 
 
 def segments(spark: SparkSession, folder: str) -> list:
@@ -68,12 +77,11 @@ def segments(spark: SparkSession, folder: str) -> list:
     return [r for r in rows if r["number"] >= last]
 
 
-def _write(folder: str, name: str, postings: DataFrame, keys: DataFrame, texts: DataFrame) -> None:
-    order = ["term", "field", *KEY]
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{folder}/{name}/postings")
-    ids = ["source_id", "source_type"]
-    keys.repartitionByRange(*ids).sortWithinPartitions(*ids).write.parquet(f"{folder}/{name}/keys")
-    texts.repartitionByRange(*ids).sortWithinPartitions(*ids).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/{name}/texts")
+def _write_rows(corpus: DataFrame, folder: str, name: str) -> DataFrame:
+    """Writes the rows of a segment, all columns at once, and gives them as written."""
+    ids, path = ["source_id", "source_type"], f"{folder}/{name}/rows"
+    corpus.select(*CORPUS.fieldNames()).repartitionByRange(*ids).sortWithinPartitions(*ids).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return corpus.sparkSession.read.schema(CORPUS).parquet(path)
 
 
 def _enter(spark: SparkSession, folder: str, name: str, whole: bool, normalized: bool) -> None:
@@ -85,7 +93,7 @@ def _enter(spark: SparkSession, folder: str, name: str, whole: bool, normalized:
 def write_index(corpus: DataFrame, folder: str, normalized: bool = True) -> None:
     """Writes the index of a whole corpus, as a new state of the folder's index. normalized false: words meet after NFKC."""
     name = uuid.uuid4().hex
-    _write(folder, name, build_postings(corpus, normalized), corpus.select(*NARROW), corpus.select(*KEY, *TEXTS))
+    write_postings(_write_rows(corpus, folder, name), f"{folder}/{name}/postings", normalized)
     _enter(corpus.sparkSession, folder, name, True, normalized)
 
 
@@ -98,11 +106,10 @@ def change_index(folder: str, fresh: DataFrame, gone: DataFrame | None = None) -
     state = segments(spark, folder)
     if not state:
         raise ValueError("there is no index to change")
-    fresh.select(*CORPUS.fieldNames()).write.parquet(f"{folder}/{name}/fresh")
-    fresh = spark.read.schema(CORPUS).parquet(f"{folder}/{name}/fresh")
+    fresh = _write_rows(fresh, folder, name)
     taken = fresh.select(*KEY) if gone is None else fresh.select(*KEY).unionByName(gone.select(*KEY))
     taken.distinct().write.parquet(f"{folder}/{name}/taken")
-    _write(folder, name, build_postings(fresh, state[0]["normalized"]), fresh.select(*NARROW), fresh.select(*KEY, *TEXTS))
+    write_postings(fresh, f"{folder}/{name}/postings", state[0]["normalized"])
     _enter(spark, folder, name, False, state[0]["normalized"])
 
 
@@ -122,13 +129,14 @@ def read_index(spark: SparkSession, folder: str) -> Index:
         return df.join(last, KEY, "left").where("_taken is null or _segment >= _taken").drop("_segment", "_taken")
 
     postings = whole("postings").select("term", "field", *KEY, "tf", "positions")
-    return Index(postings, whole("keys").select(*NARROW), whole("texts").select(*KEY, *TEXTS), state[0]["normalized"])
+    return Index(postings, whole("rows").select(*CORPUS.fieldNames()), state[0]["normalized"])
 
 
 def merge_index(spark: SparkSession, folder: str) -> None:
     """One segment in place of all; answers stay the same."""
     now, name = read_index(spark, folder), uuid.uuid4().hex
-    _write(folder, name, now.postings, now.keys, now.texts)
+    rows = _write_rows(now.rows, folder, name)
+    write_sorted(now.postings.repartition(dealt_by_text(rows), *KEY), f"{folder}/{name}/postings")
     _enter(spark, folder, name, True, now.normalized)
 
 

@@ -2,6 +2,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.operators import index as ix
 from lodestack.operators import search as s
@@ -149,3 +150,20 @@ def test_postings_of_some_terms_are_those_among_all(spark):
     want = rows(s.build_postings(corpus).where("term in ('of', 'the')"))
     assert rows(s.build_postings(corpus, terms=["of", "the"])) == want and len(want) == 7
     assert rows(s.build_postings(corpus, terms=["of", "the", *(f"w{i}" for i in range(30))])) == want and not rows(s.build_postings(corpus, terms=[]))
+
+
+def test_postings_of_a_row_are_written_where_it_was_tokenised(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def title(i):
+        made.add(1)
+        return f"the the the fish{i % 9} of{i}"
+
+    df = spark.createDataFrame([row(i, "", "red the the") for i in range(300)], CORPUS).withColumn("title", F.udf(title, "string")("source_id"))
+    ix.write_index(df, str(tmp_path / "i"))
+    assert made.value <= 2 * 300  # one pass finds the ranges of ids, one writes the rows
+    index = ix.read_index(spark, str(tmp_path / "i"))
+    files = index.postings.select("source_id", F.input_file_name().alias("file")).distinct().collect()
+    assert len(files) == 300 and len({r.file for r in files}) > 1
+    for phrase in (s.Word((("the", "the"),)), s.Word((("the", "fis"),), prefix=True), s.Word((("fish", "0"), ("red", "the", "the")))):
+        assert hits(s.find(index.keys, Request(phrase), Dims(), postings=index.postings)) == hits(s.find(index.corpus(), Request(phrase), Dims()))
