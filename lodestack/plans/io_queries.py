@@ -100,7 +100,7 @@ def export_sentences(spark: SparkSession, sf: str) -> DataFrame:
     path = folder(spark)
     lines = F.filter(F.split("text", "\n"), lambda s: s != "")
     sinks.export_sentences(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), lines.alias("sentences")), path, 1 << 16)
-    out = spark.read.option("lineSep", "\n").schema("value string, bucket int").text(path)
+    out = sinks.read_sentences(spark, path)
     return out.groupBy("bucket").agg(F.count("*").alias("lines"), F.count_if(F.col("value") == "").alias("blank"), F.sum(F.octet_length("value") + 1).alias("bytes"))
 
 

@@ -1,3 +1,4 @@
+import pathlib
 import random
 import tempfile
 
@@ -76,3 +77,17 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "id long, sentences array<string>").withColumn("bytes", F.lit("clash"))
     got = sorted((str(r.id), r.text, r.bucket) for r in sinks.sentence_buckets(df, 10).collect())
     assert got == [("3", "x" * 50, 1), ("4", "a", 2), ("4", "a", 2), ("None", "b", 0)]
+
+
+def test_many_exported_files_are_listed_by_few_tasks(spark):
+    df = spark.range(300).select("id", F.array(F.lit("x" * 50)).alias("sentences"))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/out"
+    sinks.export_sentences(df, folder, 60)
+    assert not list(pathlib.Path(folder).rglob("bucket=*/*.crc"))
+    spark.sparkContext.setJobGroup("listing", "listing")
+    lines = sinks.read_sentences(spark, folder)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and all(tracker.getStageInfo(s).numTasks <= 4 * spark.sparkContext.defaultParallelism for s in stages)
+    assert lines.where("value <> ''").count() == 300 and spark.conf.get(sinks.LISTING, None) in (None, "10000")
