@@ -560,7 +560,7 @@ def backfill_change_titles(spark: SparkSession, sf: str) -> DataFrame:
 def attach_text(spark: SparkSession, sf: str) -> DataFrame:
     d = t(spark, sf, "documents")
     rows = c.row(d, "Attachment", source_id="doc_id", content=F.lit("about"), tags=c.tags(c.tag("text-extraction", F.lit("yet"))))
-    texts = d.where("doc_id % 3 > 0").select(F.col("doc_id").alias("attachment_id"), F.when(F.col("doc_id") % 3 == 1, F.col("text")).alias("text"))
+    texts = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("attachment_id"), F.when(F.col("doc_id") % 3 == 1, F.col("text")).alias("text"))
     return sync.attach_text(rows, texts).select("source_id", "content", tag_strings().alias("tags"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import corpus as c
 from lodestack.operators import sync
+from lodestack.plans.queries import QUERIES
 
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 ISSUE = "id long, project_id long, tracker_id long, status_id long, author_id long, subject string, description string, is_private boolean, created_on timestamp, updated_on timestamp"
@@ -98,3 +99,11 @@ def test_tag_dim_reads_the_corpus_once(spark):
     dim = sync.build_tag_dim(rows, spark.createDataFrame([(1, "New")], "id long, name string"), None, spark.createDataFrame([(3, None)], "id long, name string"))
     assert {tuple(r) for r in dim.collect()} == {("issue-status", "1", "New"), ("label", "a", "a"), ("user", "3", None)}
     assert dim._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_attach_text_of_negative_ids(spark, tmp_path):
+    """As in the query's SQL: a remainder other than 0 and 1, -1 and -2 too, is a failed extraction."""
+    spark.createDataFrame([(i, f"text {i}") for i in range(-3, 4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source_id: (r.content, r.tags) for r in QUERIES["attach_text"](spark, str(tmp_path)).collect()}
+    yet, failed = ("about", ["text-extraction:yet"]), ("about", ["text-extraction:error"])
+    assert got == {-3: yet, -2: failed, -1: failed, 0: yet, 1: ("about\ntext 1", []), 2: failed, 3: yet}
