@@ -43,8 +43,12 @@ def names_of(df: DataFrame, **more: Column) -> DataFrame:
     return df.select(*[c.alias(k) for k, c in more.items()], F.col("id").cast("string").alias("id"), F.col("name").cast("string").alias("name"), *extra)
 
 
+def few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else df
+    return F.broadcast(df) if few(df) else df
 
 
 def thing(kind: Column, id: Column, name: Column, closed: Column, number: Column) -> Column:
@@ -70,11 +74,34 @@ def used_names(dims: dict[str, DataFrame], used: DataFrame) -> DataFrame | None:
     parts = []
     for attribute, df in dims.items():
         n = names_of(df, attribute=F.lit(attribute))
-        small = df.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-        parts.append(n if small else n.join(used.where(F.col("attribute") == attribute).select("id"), "id", "left_semi").select(n.columns))
+        parts.append(n if few(df) else n.join(used.where(F.col("attribute") == attribute).select("id"), "id", "left_semi").select(n.columns))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def changed_values(d: DataFrame, attribute: Column, names: DataFrame | None) -> DataFrame:
+    """Details with the things that they change, old and new, by names (attribute, id, name, is_closed, number)."""
+    for c, out in (("old_value", "old"), ("value", "new")):
+        d = d.withColumn("_attribute", attribute)
+        kind = F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("_attribute")], F.col("_attribute"))
+        text = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("type", "string"), ("id", "string"), ("name", "string"), ("is_closed", "boolean"), ("number", "long"))], F.col(c).alias("text"))
+        if names is None:
+            d = d.withColumns({"_name": F.lit(None).cast("string"), "_closed": F.lit(None).cast("boolean"), "_number": F.lit(None).cast("long")})
+        else:
+            n = names.select(F.col("attribute").alias("_attribute"), F.col("id").alias(c), F.col("name").alias("_name"), F.col("is_closed").alias("_closed"), F.col("number").alias("_number"))
+            d = d.join(n, ["_attribute", c], "left")
+        found = thing(kind, F.col(c), F.col("_name"), F.col("_closed"), F.col("_number"))
+        d = d.withColumn(out, F.when(F.col("_attribute").isNotNull(), found).when(F.col(c).isNotNull(), text)).drop("_attribute", "_name", "_closed", "_number")
+    return d
+
+
+def changed_fields(d: DataFrame, fields: DataFrame | None) -> DataFrame:
+    """Details with the custom field that they change, by fields (property, prop_key, _field)."""
+    if fields is None:
+        return d.withColumn("custom_field", F.lit(None).cast("struct<id:string,name:string>"))
+    field = F.when(F.col("property") == "cf", F.struct(F.col("prop_key").alias("id"), F.col("_field").alias("name")))
+    return d.join(fields, ["property", "prop_key"], "left").withColumn("custom_field", field).drop("_field")
+
+
 def issue_histories(
     issues: DataFrame, journals: DataFrame, details: DataFrame, dims: dict[str, DataFrame], time_entries: DataFrame, custom_fields: DataFrame | None = None
 ) -> DataFrame:
@@ -93,34 +120,27 @@ def issue_histories(
     if "issue_id" not in details.columns:
         d = d.join(j.select(F.col("id").alias("journal_id"), F.col("journalized_id").alias("_issue")).repartition("journal_id").distinct(), "journal_id")
     notes = j.select(F.col("id").alias("journal_id"), F.col("journalized_id").alias("_issue"), "user_id", "notes", "created_on", F.lit(True).alias("_note"))
-    d = notes.unionByName(d, allowMissingColumns=True).repartition("_issue")  # narrow rows meet by issue, once; names come afterwards
-    if names is not None:
-        names = broadcast_if_small(names)
-    for c, out in (("old_value", "old"), ("value", "new")):
-        d = d.withColumn("_attribute", attribute)
-        kind = F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("_attribute")], F.col("_attribute"))
-        text = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("type", "string"), ("id", "string"), ("name", "string"), ("is_closed", "boolean"), ("number", "long"))], F.col(c).alias("text"))
-        if names is None:
-            d = d.withColumns({"_name": F.lit(None).cast("string"), "_closed": F.lit(None).cast("boolean"), "_number": F.lit(None).cast("long")})
-        else:
-            n = names.select(F.col("attribute").alias("_attribute"), F.col("id").alias(c), F.col("name").alias("_name"), F.col("is_closed").alias("_closed"), F.col("number").alias("_number"))
-            d = d.join(n, ["_attribute", c], "left")
-        found = thing(kind, F.col(c), F.col("_name"), F.col("_closed"), F.col("_number"))
-        d = d.withColumn(out, F.when(F.col("_attribute").isNotNull(), found).when(F.col(c).isNotNull(), text)).drop("_attribute", "_name", "_closed", "_number")
-    field = F.lit(None).cast("struct<id:string,name:string>")
-    if custom_fields is not None:
-        f = custom_fields.select(F.lit("cf").alias("property"), F.col("id").cast("string").alias("prop_key"), F.col("name").cast("string").alias("_field"))
-        d = d.join(broadcast_if_small(f), ["property", "prop_key"], "left")
-        field = F.when(F.col("property") == "cf", F.struct(F.col("prop_key").alias("id"), F.col("_field").alias("name")))
+    people = dims["user"] if "user" in dims else dims.get("author")
+    if people is not None and not few(people):  # those who wrote notes may be few
+        people = people.join(j.select(F.col("user_id").cast("string").alias("_user")).distinct(), F.col("id").cast("string") == F.col("_user"), "left_semi")
+    fields = None if custom_fields is None else custom_fields.select(F.lit("cf").alias("property"), F.col("id").cast("string").alias("prop_key"), F.col("name").cast("string").alias("_field"))
+    few_names, few_people, few_fields = (x is None or few(x) for x in (names, people, fields))
+    if not few_names:  # what is too large to be broadcast shuffles details or notes alone, while they are narrow
+        d = changed_values(d, attribute, names)
+    if not few_fields:
+        d = changed_fields(d, fields)
+    if not few_people:
+        notes = named_value(notes, "user", "user_id", people, "user").drop("user_id")
+    d = notes.unionByName(d, allowMissingColumns=True).repartition("_issue")  # narrow rows meet by issue, once; names that are broadcast come afterwards
+    if few_names:
+        d = changed_values(d, attribute, None if names is None else F.broadcast(names))
+    if few_people:
+        d = named_value(d, "user", "user_id", None if people is None else F.broadcast(people), "user")
+    if few_fields:
+        d = changed_fields(d, None if fields is None else F.broadcast(fields))
     kind = F.when(F.col("property") == "attr", F.coalesce(attribute, "prop_key")).when(F.col("property") == "cf", "custom_field").otherwise(F.col("property"))
-    change = F.struct(F.col("id").alias("id"), kind.alias("type"), field.alias("custom_field"), "old", "new")
+    change = F.struct(F.col("id").alias("id"), kind.alias("type"), "custom_field", "old", "new")
     without_id = lambda c: F.struct(*[c[n].alias(n) for n in ("type", "custom_field", "old", "new")])
-    people = dims["user"] if "user" in dims else dims.get("author")
-    if people is not None and people.limit(BROADCAST_NAMES + 1).count() > BROADCAST_NAMES:  # those who wrote notes may be few
-        people = broadcast_if_small(people.join(j.select(F.col("user_id").cast("string").alias("_user")).distinct(), F.col("id").cast("string") == F.col("_user"), "left_semi"))
-    elif people is not None:
-        people = F.broadcast(people)
-    d = named_value(d, "user", "user_id", people, "user")
     note = F.struct(F.col("created_on").alias("created_at"), "user", F.col("notes").alias("comment"))
     each = d.groupBy("_issue", "journal_id").agg(F.collect_list(F.when(F.col("_note"), note)).alias("notes"), F.transform(F.sort_array(F.collect_list(F.when(F.col("_note").isNull(), change))), without_id).alias("changes"))
     each = each.select("_issue", F.col("journal_id").alias("id"), F.explode("notes").alias("note"), "changes")

@@ -745,7 +745,7 @@ def char_counts(spark: SparkSession, sf: str) -> DataFrame:
 def histories(spark: SparkSession, sf: str) -> DataFrame:
     """Every order's history: its lines as notes, with changes of every kind."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    journals(spark, sf).write.parquet(path)  # read for notes, changes and hours
+    journals(spark, sf).write.option("compression", "zstd").parquet(path)  # read for notes, changes and hours
     j = spark.read.parquet(path)
     users = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     places = t(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))

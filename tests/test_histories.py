@@ -4,6 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from lodestack.operators import exports
 from lodestack.operators.exports import issue_histories
 from lodestack.sources import sinks
 
@@ -75,6 +76,24 @@ def test_notes_and_changes_meet_by_issue_once(spark):
     assert sorted(map(str, found.collect())) == sorted(map(str, issue_histories(issues, journals, details, *rest).collect()))
 
 
+def test_names_too_many_to_broadcast_meet_narrow_rows(spark, monkeypatch):
+    """They shuffle notes or details alone; the wide rows of an issue stay where its narrow ones met."""
+    expected = sorted(map(str, issue_histories(*tables(spark)).collect()))
+    monkeypatch.setattr(exports, "BROADCAST_NAMES", 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = issue_histories(*tables(spark))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(str, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert rows == expected and "BroadcastHashJoin" not in plan
+    assert not [x for x in shuffles if "journal_id" in x and "_issue" in x], shuffles
+
+
 def test_files_may_be_compressed(spark, tmp_path):
     sinks.export_issue_histories(issue_histories(*tables(spark)), str(tmp_path / "out"), "gzip")
     assert list(Path(tmp_path / "out").glob("project=5/part-*.gz"))
